@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkfield.operators.ranking import exact_quantiles, keep_first
+from larkfield.session import durable
 
 
 def table_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
@@ -98,7 +99,8 @@ def split_by_fences(df: DataFrame, column: str, **kw) -> DataFrame:
 def remove_outliers(df: DataFrame, columns: Sequence[str], **kw) -> DataFrame:
     """Drop outliers column by column; each column sees the rows left by the one before."""
     for c in columns:
-        df = split_by_fences(df, c, **kw).filter(~F.col("outlier")).drop("outlier")
+        # The input is read once per fence, so it is written once first.
+        df = split_by_fences(durable(df), c, **kw).filter(~F.col("outlier")).drop("outlier")
     return df
 
 
