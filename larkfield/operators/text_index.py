@@ -15,11 +15,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkfield.functions import text as tx
+from larkfield.session import durable
 
 
-def doc_terms(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    """``(key, term, tf)`` out of an array of terms per row."""
-    return (df.repartition(key).select(key, F.explode(terms).alias("term"))
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by ``key`` before rows are exploded.
+
+    The number of parts is fixed, because runtime coalescing looks at the
+    small rows before the explode. Small local sessions use few parts.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        parts = min(parts, 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, key)
+
+
+def doc_terms(df: DataFrame, key: str, terms: Column, ngrams: int = 1) -> DataFrame:
+    """``(key, term, tf)`` out of an array of terms per row, with n-grams if asked for.
+
+    The array is a column of its own before grams are cut from it; inlined, it
+    would be evaluated again for every use.
+    """
+    arrays = spread(df, key).select(key, terms.alias("_toks"))
+    every = tx.with_ngrams(F.col("_toks"), ngrams) if ngrams > 1 else F.col("_toks")
+    return (arrays.select(key, F.explode(every).alias("term"))
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -75,19 +95,25 @@ def field_tokens(title: Column, topics: Column, category: Column, description: C
 
 
 def bm25(docs: DataFrame, doc_key: str, tokens: Column, queries: DataFrame, query_key: str, query_tokens: Column,
-         k1: float = 1.4, b: float = 0.75, name: str = "bm25") -> DataFrame:
+         k1: float = 1.4, b: float = 0.75, ngrams: int = 3, name: str = "bm25") -> DataFrame:
     """BM25 of every query-document pair that shares a term; query terms count once.
 
-    Only terms of the queries are kept from the documents before counting, so
-    the posting table has the size of the matches.
+    Texts are tokenised once. Only terms of the queries are kept, so the
+    written posting table has the size of the matches; a row without a term
+    carries the length of each document.
     """
-    q = queries.select(query_key, F.explode(F.array_distinct(query_tokens)).alias("term"))
-    sized = docs.repartition(doc_key).select(doc_key, tokens.alias("_toks")).withColumn("dl", F.size("_toks"))
-    stats = docs.select(F.size(tokens).alias("dl")).agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("v")).scalar()
-    postings = (sized.select(doc_key, "dl", F.explode("_toks").alias("term"))
-                .join(q.select("term").distinct(), "term", "left_semi")
-                .groupBy(doc_key, "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("tf")))
+    q = doc_terms(queries, query_key, query_tokens, ngrams).select(query_key, "term")
+    wanted = q.select("term").distinct()
+    arrays = spread(docs, doc_key).select(doc_key, tokens.alias("_toks"))
+    grams = arrays.select(doc_key, tx.with_ngrams(F.col("_toks"), ngrams).alias("_terms"))
+    rows = grams.select(doc_key, F.size("_terms").alias("dl"), F.explode(
+        F.concat(F.array(F.lit(None).cast("string")), F.col("_terms"))).alias("term"))
+    hits = rows.join(wanted.withColumn("_hit", F.lit(True)), "term", "left").filter(
+        F.col("term").isNull() | F.col("_hit"))
+    index = durable(hits.groupBy(doc_key, "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("tf")))
+    lengths = index.filter("term IS NULL")
+    stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("v")).scalar()
+    postings = index.filter("term IS NOT NULL")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_s", stats)
     idf = df.select("term", "_s.avgdl", F.log(1 + (F.col("_s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = (F.col("idf") * F.col("tf") * (k1 + 1)
@@ -98,6 +124,7 @@ def bm25(docs: DataFrame, doc_key: str, tokens: Column, queries: DataFrame, quer
 
 def min_max(scores: DataFrame, query_key: str, name: str, n_docs: Column) -> DataFrame:
     """Scale each query's scores to [0, 1]; unmatched documents count as 0, all-equal becomes 0."""
+    scores = durable(scores)
     ends = scores.groupBy(query_key).agg(F.min(name).alias("_lo"), F.max(name).alias("_hi"),
                                          F.count(F.lit(1)).alias("_n"))
     ends = ends.withColumn("_lo", F.when(F.col("_n") < n_docs, F.least(F.lit(0.0), F.col("_lo"))).otherwise(F.col("_lo")))

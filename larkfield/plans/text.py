@@ -198,7 +198,7 @@ GRAMS_SQL = f"""grams AS (
 @query("h2_2_ngram_counts", f"WITH {GRAMS_SQL} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs "
                             "FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 3")
 def ngram_counts(t: Tables) -> DataFrame:
-    terms = ti.doc_terms(t.documents, "doc_id", tx.with_ngrams(tx.tokens(F.col("text"))))
+    terms = ti.doc_terms(t.documents, "doc_id", tx.tokens(F.col("text")), 3)
     counts = terms.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_docs"))
     return counts.filter("n_docs >= 3")
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that suit both a laptop and a cluster; everything else is left to
 # the cluster's own defaults file.
@@ -60,18 +60,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage so that losing executors loses no work."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back.
 
-
-def scalar_of(df: DataFrame, expr: Column) -> Column:
-    """One aggregate value of ``df`` as a scalar subquery (no join, no collect)."""
-    return df.select(expr.alias("v")).scalar()
+    Cuts lineage so that losing executors loses no work, keeps the rows
+    columnar, and gives later joins the real size of the table.
+    """
+    folder = work_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder, for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    stamp = spark.range(1).select(F.uuid()).first()[0]
-    return os.path.join(base, f"{name}-{stamp}")
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4()}")
