@@ -84,25 +84,35 @@ def _long_words_inside(wanted: Column, name: str) -> Column:
     return F.size(F.filter(wanted, lambda w: (F.length(w) > 3) & F.contains(F.lit(bare), w)))
 
 
-def field_terms(items: DataFrame, name: str, lex: Lexicon) -> DataFrame:
-    """1-3-gram counts of one weighted field: ``item_id, term, tf``."""
-    toks = ti.field_tokens(*[F.col(c) for c in ("title", "topics", "category", "description", "type")], name, lex.stop)
-    return ti.doc_terms(items, "item_id", toks, 3)
+def field_terms(items: DataFrame, names: Sequence[str], lex: Lexicon) -> DataFrame:
+    """1-3-gram counts of weighted fields in one pass: ``item_id, field, term, tf``."""
+    columns = [F.col(c) for c in ("title", "topics", "category", "description", "type")]
+    arrays = ti.spread(items, "item_id").select(
+        "item_id", *[ti.field_tokens(*columns, name, lex.stop).alias(f"_{name}") for name in names])
+    tagged = F.array(*[F.struct(F.lit(name).alias("field"), tx.with_ngrams(F.col(f"_{name}")).alias("terms")) for name in names])
+    return (arrays.select("item_id", F.explode(tagged).alias("f"))
+            .select("item_id", "f.field", F.explode("f.terms").alias("term"))
+            .groupBy("item_id", "field", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def tfidf_scores(items: DataFrame, queries: DataFrame, lex: Lexicon,
                  weights: Mapping[str, float] | None = None) -> DataFrame:
-    """Weighted cosine over the title, topics and full fields: ``query_id, item_id, tfidf``."""
-    n = ti.row_total(items)
-    total = None
-    q_terms = durable(ti.doc_terms(queries, "query_id", tx.tokens(F.col("query"), lex.stop), 3))
-    for name, w in (weights or nm.FIELD_WEIGHTS).items():
-        terms = durable(field_terms(items, name, lex))
-        vocab = durable(ti.vocabulary(terms, n, lex.max_df, lex.max_features))
-        scores = ti.cosine(ti.tfidf(terms, "item_id", vocab), ti.tfidf(q_terms, "query_id", vocab), "item_id",
-                           "query_id", "s").select("query_id", "item_id", (F.col("s") * w).alias("s"))
-        total = scores if total is None else total.unionByName(scores)
-    return total.groupBy("query_id", "item_id").agg(F.sum("s").alias("tfidf"))
+    """Weighted cosine over the title, topics and full fields: ``query_id, item_id, tfidf``.
+
+    Term counts and the bounded vocabularies are written once, since idf,
+    norms and scores all read them.
+    """
+    weights = dict(weights or nm.FIELD_WEIGHTS)
+    terms = durable(field_terms(items, list(weights), lex))
+    vocab = durable(ti.field_vocabulary(terms, list(weights), ti.row_total(items), max_df=lex.max_df,
+                                        max_features=lex.max_features))
+    q_terms = ti.doc_terms(queries, "query_id", tx.tokens(F.col("query"), lex.stop), 3)
+    share = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    q = ti.tfidf(q_terms, "query_id", vocab, fields=["field"], term_fields=[])
+    docs = ti.tfidf(terms, "item_id", vocab, fields=["field"])
+    q = durable(q.select("query_id", "field", "term", (F.col("weight") * share[F.col("field")]).alias("_qw")))
+    return docs.join(q, ["field", "term"]).groupBy("query_id", "item_id").agg(
+        F.sum(F.col("weight") * F.col("_qw")).alias("tfidf"))
 
 
 def item_text() -> Column:

@@ -61,12 +61,27 @@ def vocabulary(terms: DataFrame, n_docs: Column, max_df: float = 0.88, max_featu
     return stats.withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).drop("n_docs")
 
 
-def tfidf(terms: DataFrame, key: str, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
-    """Unit-length ``(key, term, weight)`` rows over the vocabulary."""
+def field_vocabulary(terms: DataFrame, names: Sequence[str], n_docs: Column, **kw) -> DataFrame:
+    """Vocabulary of every field of a written term table ``(field, term, tf)``."""
+    out = None
+    for name in names:
+        one = vocabulary(terms.filter(F.col("field") == name), n_docs, **kw).withColumn("field", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def tfidf(terms: DataFrame, key: str, vocab: DataFrame, sublinear: bool = True, fields: Sequence[str] = (),
+          term_fields: Sequence[str] | None = None) -> DataFrame:
+    """Unit-length ``(key, *fields, term, weight)`` rows over the vocabulary.
+
+    ``term_fields`` names the field columns the term table has; terms without
+    fields (queries) are weighted for every field.
+    """
+    on = [*(fields if term_fields is None else term_fields), "term"]
     tf = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
-    raw = terms.join(vocab.select("term", "idf"), "term").select(key, "term", (tf * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
+    raw = terms.join(vocab.select(*fields, "term", "idf"), on).select(key, *fields, "term", (tf * F.col("idf")).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key, *fields)))
+    return raw.select(key, *fields, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def cosine(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, name: str = "score") -> DataFrame:

@@ -126,7 +126,7 @@ def shown(df: DataFrame, score: str = "score") -> DataFrame:
        "SELECT term, df, cast(cc AS BIGINT) AS corpus_count, round(idf, 9) AS idf FROM v")
 def tfidf_vocabulary(t: Tables) -> DataFrame:
     c = items(t)
-    terms = durable(search.field_terms(c, "full", LEXICON))
+    terms = durable(search.field_terms(c, ["full"], LEXICON).drop("field"))
     return ti.vocabulary(terms, ti.row_total(c)).withColumn("idf", F.round("idf", 9))
 
 
@@ -134,7 +134,7 @@ def tfidf_vocabulary(t: Tables) -> DataFrame:
        f"{weight_sql('w', 'item_id', 'g', 'v')} SELECT item_id, term, round(w, 9) AS weight FROM w")
 def tfidf_title_weights(t: Tables) -> DataFrame:
     c = items(t)
-    terms = durable(search.field_terms(c, "title", LEXICON))
+    terms = durable(search.field_terms(c, ["title"], LEXICON).drop("field"))
     return ti.tfidf(terms, "item_id", ti.vocabulary(terms, ti.row_total(c))).withColumn("weight", F.round("weight", 9))
 
 

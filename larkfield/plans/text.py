@@ -89,7 +89,7 @@ def clean_catalog_counts(t: Tables) -> DataFrame:
 
 def topics_col(title):
     """Topics of a driver document: the distinct words of its title line with more than three letters."""
-    return F.array_sort(F.array_distinct(F.filter(tx.words(title), lambda w: F.length(w) > 3)))
+    return F.sort_array(F.array_distinct(F.filter(tx.words(title), lambda w: F.length(w) > 3)))
 
 
 def topics_sql(x: str) -> str:
