@@ -128,7 +128,7 @@ def _blank_word(text: Column) -> Column:
 
 
 def _joined(parts: Column) -> Column:
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda x: x != ""), ", ")
+    return F.array_join(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), ", ")
 
 
 def clean_topics(text: Column) -> Column:

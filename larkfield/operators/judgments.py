@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkfield.operators.catalog import number_rows
 from larkfield.operators.ranking import top_per_group
 
 
@@ -38,28 +39,32 @@ def seeded(*parts, seed: int):
     return F.xxhash64(*parts, F.lit(seed))
 
 
-def labelling_sample(qrels: DataFrame, items: DataFrame, per_query: int, seed: int) -> DataFrame:
-    """Per query a third of grade 2, a third of grade 1, and the rest unlisted items.
+def random_unlisted(needs: DataFrame, listed: DataFrame, items: DataFrame, seed: int) -> DataFrame:
+    """``need`` seeded random items per query that are not listed for it.
 
-    Negatives: every query walks a seeded ring order of the items from its own
-    starting point. The first ``need + listed`` items of the walk are enough to
-    find ``need`` unlisted ones, so no query-by-item table is built.
+    ``needs(query_id, need)``, ``listed(query_id, item_id)``. Every query walks
+    one seeded ring of all items from its own start. The first ``need +
+    listed`` places hold enough unlisted items, so no query-by-item table is built.
     """
-    third = max(1, per_query // 3)
-    picked = (top_per_group(qrels, ["query_id", "grade"], [seeded("query_id", "item_id", seed=seed), F.col("item_id")], third)
-              .select("query_id", "item_id", "grade"))
-    need = picked.groupBy("query_id").agg(F.greatest(F.lit(1), per_query - F.count(F.lit(1))).alias("_need"))
-    listed = qrels.groupBy("query_id").agg(F.count(F.lit(1)).alias("_listed"))
-    from larkfield.operators.catalog import number_rows
     ring = number_rows(items.select("item_id").distinct(), [seeded("item_id", seed=seed), F.col("item_id")], "_slot", 0)
     size = ring.agg(F.count(F.lit(1)).alias("v")).scalar()
-    walks = (need.join(listed, "query_id").withColumn("_size", size)
+    counts = listed.groupBy("query_id").agg(F.count(F.lit(1)).alias("_listed"))
+    walks = (needs.join(counts, "query_id", "left").withColumn("_size", size)
              .withColumn("_start", F.pmod(seeded("query_id", seed=seed + 1), F.col("_size")))
-             .withColumn("_len", F.least(F.col("_need") + F.col("_listed"), F.col("_size"))))
-    steps = walks.select("query_id", "_need", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_len") - 1)).alias("_step"),
+             .withColumn("_len", F.least(F.col("need") + F.coalesce("_listed", F.lit(0)), F.col("_size"))))
+    steps = walks.select("query_id", "need", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_len") - 1)).alias("_step"),
                          "_start", "_size")
     visited = steps.withColumn("_slot", F.pmod(F.col("_start") + F.col("_step"), F.col("_size"))).join(ring, "_slot")
-    free = visited.join(qrels.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-    negatives = (top_per_group(free, ["query_id"], [F.col("_step")], per_query).filter(F.col("rank") <= F.col("_need"))
-                 .select("query_id", "item_id", F.lit(0).alias("grade")))
-    return picked.unionByName(negatives)
+    free = visited.join(listed.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    w = Window.partitionBy("query_id").orderBy("_step")
+    return free.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("need")).select("query_id", "item_id")
+
+
+def labelling_sample(qrels: DataFrame, items: DataFrame, per_query: int, seed: int) -> DataFrame:
+    """Per query a third of grade 2, a third of grade 1, and the rest unlisted items."""
+    third = max(1, per_query // 3)
+    picked = (top_per_group(qrels, ["query_id", "grade"], [seeded("query_id", "item_id", seed=seed), F.col("item_id")], third)
+              .select("query_id", "item_id", "grade"))
+    needs = picked.groupBy("query_id").agg(F.greatest(F.lit(1), per_query - F.count(F.lit(1))).alias("need"))
+    negatives = random_unlisted(needs, qrels, items, seed)
+    return picked.unionByName(negatives.withColumn("grade", F.lit(0)))
