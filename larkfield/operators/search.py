@@ -109,10 +109,9 @@ def tfidf_scores(items: DataFrame, queries: DataFrame, lex: Lexicon,
     q_terms = ti.doc_terms(queries, "query_id", tx.tokens(F.col("query"), lex.stop), 3)
     share = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     q = ti.tfidf(q_terms, "query_id", vocab, fields=["field"], term_fields=[])
-    docs = ti.tfidf(terms, "item_id", vocab, fields=["field"])
-    q = durable(q.select("query_id", "field", "term", (F.col("weight") * share[F.col("field")]).alias("_qw")))
-    return docs.join(q, ["field", "term"]).groupBy("query_id", "item_id").agg(
-        F.sum(F.col("weight") * F.col("_qw")).alias("tfidf"))
+    q = durable(q.select("query_id", "field", "term", (F.col("weight") * share[F.col("field")]).alias("qw")))
+    raw = ti.raw_weights(terms, "item_id", vocab, fields=["field"])
+    return ti.match_weights(raw, "item_id", q, "query_id", ["field"], "tfidf")
 
 
 def item_text() -> Column:
@@ -134,8 +133,8 @@ def char_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
     terms = durable(ti.doc_terms(docs, "item_id", tx.char_grams(F.col("_text"))))
     vocab = ti.vocabulary(terms, ti.row_total(items), max_df=1.0, max_features=None)
     q_terms = ti.doc_terms(queries, "query_id", tx.char_grams(F.col("query")))
-    return ti.cosine(ti.tfidf(terms, "item_id", vocab, sublinear=False),
-                     ti.tfidf(q_terms, "query_id", vocab, sublinear=False), "item_id", "query_id", "char")
+    q = durable(ti.tfidf(q_terms, "query_id", vocab, sublinear=False).withColumnRenamed("weight", "qw"))
+    return ti.match_weights(ti.raw_weights(terms, "item_id", vocab, sublinear=False), "item_id", q, "query_id", name="char")
 
 
 def topic_scores(items: DataFrame, queries: DataFrame, lex: Lexicon) -> DataFrame:

@@ -70,18 +70,37 @@ def field_vocabulary(terms: DataFrame, names: Sequence[str], n_docs: Column, **k
     return out
 
 
-def tfidf(terms: DataFrame, key: str, vocab: DataFrame, sublinear: bool = True, fields: Sequence[str] = (),
-          term_fields: Sequence[str] | None = None) -> DataFrame:
-    """Unit-length ``(key, *fields, term, weight)`` rows over the vocabulary.
+def raw_weights(terms: DataFrame, key: str, vocab: DataFrame, sublinear: bool = True, fields: Sequence[str] = (),
+                term_fields: Sequence[str] | None = None) -> DataFrame:
+    """``(key, *fields, term, raw)``: damped counts times idf, before norming.
 
     ``term_fields`` names the field columns the term table has; terms without
     fields (queries) are weighted for every field.
     """
     on = [*(fields if term_fields is None else term_fields), "term"]
     tf = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
-    raw = terms.join(vocab.select(*fields, "term", "idf"), on).select(key, *fields, "term", (tf * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key, *fields)))
-    return raw.select(key, *fields, "term", (F.col("raw") / norm).alias("weight"))
+    return terms.join(vocab.select(*fields, "term", "idf"), on).select(key, *fields, "term", (tf * F.col("idf")).alias("raw"))
+
+
+def tfidf(terms: DataFrame, key: str, vocab: DataFrame, **kw) -> DataFrame:
+    """Unit-length ``(key, *fields, term, weight)`` rows over the vocabulary."""
+    raw = raw_weights(terms, key, vocab, **kw)
+    part = [key, *kw.get("fields", ())]
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*part)))
+    return raw.select(*part, "term", (F.col("raw") / norm).alias("weight"))
+
+
+def match_weights(raw: DataFrame, key: str, queries: DataFrame, query_key: str, fields: Sequence[str] = (),
+                  name: str = "score") -> DataFrame:
+    """Cosines of documents with weighted queries ``(query_key, *fields, term, qw)``.
+
+    Document norms are aggregated apart, so only rows that match a query term
+    are carried on; vectors are never sorted or rebuilt.
+    """
+    part = [key, *fields]
+    norms = raw.groupBy(*part).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"))
+    dots = raw.join(queries, [*fields, "term"]).groupBy(query_key, *part).agg(F.sum(F.col("raw") * F.col("qw")).alias("_dot"))
+    return dots.join(norms, part).groupBy(query_key, key).agg(F.sum(F.col("_dot") / F.col("_norm")).alias(name))
 
 
 def cosine(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, name: str = "score") -> DataFrame:
