@@ -30,15 +30,17 @@ def _scored_blocks(vectors: DataFrame, queries: DataFrame, keep, schema: str) ->
     n_v = max(_blocks(vectors, VECTORS_PER_BLOCK), min(parts, _blocks(vectors, 100)))
     n_q = _blocks(queries, QUERIES_PER_BLOCK)
     left = vectors.select(F.pmod(F.xxhash64("item_id"), F.lit(n_v)).cast("int").alias("vb"),
-                          F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), "item_id", "vector")
+                          F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), "item_id",
+                          F.col("vector").alias("item_vector"))
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"),
-                           F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), "query_id", "vector")
+                           F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), "query_id",
+                           F.col("vector").alias("query_vector"))
 
     def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if v.empty or q.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        a = np.stack(q["vector"].to_numpy()).astype("float64")
-        b = np.stack(v["vector"].to_numpy()).astype("float64")
+        a = np.stack(q["query_vector"].to_numpy()).astype("float64")
+        b = np.stack(v["item_vector"].to_numpy()).astype("float64")
         return keep(q["query_id"].to_numpy(), v["item_id"].to_numpy(), a @ b.T)
 
     return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(run, schema)
