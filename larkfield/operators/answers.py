@@ -56,8 +56,8 @@ def context_results(items: DataFrame, queries: DataFrame, expanded: DataFrame, l
     Results under the minimum are dropped, except when nothing better leads.
     """
     # Both forms are searched in one plan: even numbers are the queries, odd ones their expansions.
-    both = queries.select((F.col("query_id") * 2).alias("query_id"), "query").unionByName(
-        expanded.select((F.col("query_id") * 2 + 1).alias("query_id"), "query"))
+    both = durable(queries.select((F.col("query_id") * 2).alias("query_id"), "query").unionByName(
+        expanded.select((F.col("query_id") * 2 + 1).alias("query_id"), "query")))
     lists = search.lexical_search(items, both, lex, per_list).select(
         F.floor(F.col("query_id") / 2).alias("query_id"), "item_id", "rank")
     topics = search.topic_scores(items, queries, lex).select("query_id", "item_id", F.col("topic_contain").alias("score"))

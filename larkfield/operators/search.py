@@ -317,17 +317,21 @@ ABLATIONS = {
 
 
 def first_signals(candidates: DataFrame, items: DataFrame, queries: DataFrame, lex: Lexicon,
-                  use: frozenset = ALL_SIGNALS) -> DataFrame:
-    """Candidate score plus weighted category, topic and title signals."""
+                  use: frozenset = ALL_SIGNALS, ready: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Candidate score plus weighted category, topic and title signals.
+
+    ``ready`` may hold tables of signals that were computed before.
+    """
+    ready = ready or {}
     key = ["query_id", "item_id"]
     w = nm.QUERY_ITEM_WEIGHTS
     out, total = candidates, F.col("score")
     if "topic" in use:
-        out = out.join(topic_scores(items, queries, lex), key, "left")
+        out = out.join(ready["topic"] if "topic" in ready else topic_scores(items, queries, lex), key, "left")
         total = (total + w["topic_jaccard"] * F.coalesce("topic_jaccard", F.lit(0.0))
                  + w["topic_contain"] * F.coalesce("topic_contain", F.lit(0.0)))
     if "title" in use:
-        out = out.join(title_scores(items, queries, lex), key, "left")
+        out = out.join(ready["title"] if "title" in ready else title_scores(items, queries, lex), key, "left")
         total = total + w["title_overlap"] * F.coalesce("title_overlap", F.lit(0.0))
     if "category" in use:
         out = (out.join(items.select("item_id", "category"), "item_id")
@@ -337,11 +341,19 @@ def first_signals(candidates: DataFrame, items: DataFrame, queries: DataFrame, l
 
 
 def staged_ranking(stages: Stages, items: DataFrame, queries: DataFrame, lex: Lexicon,
-                   dense: Callable[[DataFrame], DataFrame], vectors: DataFrame, n: int) -> DataFrame:
+                   dense: Callable[[DataFrame], DataFrame], vectors: DataFrame, n: int,
+                   ready: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Candidates, cheap signals, pool re-ranking, diversification: ``query_id, item_id, score, rank``.
 
     ``dense(queries)`` returns the fused dense channel for a table of queries.
+    ``ready`` may hold channels computed before: ``tfidf``, ``bm25``,
+    ``embedding``, ``topic``, ``title``.
     """
+    ready = ready or {}
+
+    def channel(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return ready[name] if name in ready else build()
+
     if stages.source == "rag_fusion":
         variants = query_variants(queries)
         per_variant = top_per_group(
@@ -350,29 +362,38 @@ def staged_ranking(stages: Stages, items: DataFrame, queries: DataFrame, lex: Le
         back = per_variant.join(variants.select(F.col("variant_id").alias("query_id"),
                                                 F.col("query_id").alias("origin")), "query_id")
         base = reciprocal_rank_fusion(back.select(F.col("origin").alias("query_id"), "item_id", "rank"))
-    elif stages.source == "tfidf":
-        base = tfidf_scores(items, queries, lex).withColumnRenamed("tfidf", "score")
-    elif stages.source == "bm25":
-        base = bm25_scores(items, queries, lex).withColumnRenamed("bm25", "score")
-    elif stages.source == "lexical":
-        w = nm.QUERY_ITEM_WEIGHTS
-        both = tfidf_scores(items, queries, lex).join(bm25_scores(items, queries, lex), ["query_id", "item_id"], "full")
-        base = both.select("query_id", "item_id", (
-            (w["tfidf"] * F.coalesce("tfidf", F.lit(0.0)) + w["bm25"] * F.coalesce("bm25", F.lit(0.0)))
-            / (w["tfidf"] + w["bm25"])).alias("score"))
+    elif stages.source == "embedding":
+        base = channel("embedding", lambda: dense(queries))
     else:
-        base = dense(queries)
-    ranked = top_n(base, stages.candidates)
+        tfidf = channel("tfidf", lambda: tfidf_scores(items, queries, lex)) if stages.source != "bm25" else None
+        bm = channel("bm25", lambda: bm25_scores(items, queries, lex)) if stages.source != "tfidf" else None
+        if stages.source == "tfidf":
+            base = tfidf.withColumnRenamed("tfidf", "score")
+        elif stages.source == "bm25":
+            base = bm.withColumnRenamed("bm25", "score")
+        elif stages.source == "lexical":
+            w = nm.QUERY_ITEM_WEIGHTS
+            both = tfidf.join(bm, ["query_id", "item_id"], "full")
+            base = both.select("query_id", "item_id", (
+                (w["tfidf"] * F.coalesce("tfidf", F.lit(0.0)) + w["bm25"] * F.coalesce("bm25", F.lit(0.0)))
+                / (w["tfidf"] + w["bm25"])).alias("score"))
+        else:
+            raise ValueError(f"unknown source {stages.source}")
+    # Every later step reads the ranking more than once; it is bounded by
+    # queries x candidates, so it is written between steps.
+    ranked = durable(top_n(base, stages.candidates))
     if stages.signals:
         start = ranked if stages.source != "rag_fusion" else ranked.withColumn("score", F.lit(0.0))
-        ranked = top_n(first_signals(start.drop("rank"), items, queries, lex, stages.signals), stages.candidates)
+        ranked = top_n(first_signals(start.drop("rank"), items, queries, lex, stages.signals, ready), stages.candidates)
+        ranked = durable(ranked) if stages.rerank or stages.diversify else ranked
     if stages.rerank:
         texts = items.select("item_id", F.concat_ws(". ", "title", "category", F.array_join("topics", ", "), "description")
                              .alias("text"))
         ranked = rerank_pool(ranked, queries, texts, stages.pool).select("query_id", "item_id", "score", "rank")
+        ranked = durable(ranked) if stages.diversify else ranked
     if stages.diversify:
         size = max(stages.pool, stages.mmr_k * 3)
-        head = mmr(ranked.filter(F.col("rank") <= size).join(vectors, "item_id"), stages.mmr_k, stages.mmr_lambda)
+        head = durable(mmr(ranked.filter(F.col("rank") <= size).join(vectors, "item_id"), stages.mmr_k, stages.mmr_lambda))
         # Items without a vector cannot be compared; they follow the diversified ones.
         lost = ranked.join(head.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
         both = head.withColumn("stage", F.lit(0)).unionByName(

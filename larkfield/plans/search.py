@@ -422,9 +422,13 @@ def mmr(t: Tables) -> DataFrame:
 @query("i15_staged_ranking")
 def staged_ranking(t: Tables) -> DataFrame:
     """All named configurations of the staged ranking, ten results each."""
+    c, q = items(t), queries(t)
+    ready = {name: durable(df) for name, df in (
+        ("tfidf", search.tfidf_scores(c, q, LEXICON)), ("bm25", search.bm25_scores(c, q, LEXICON)),
+        ("topic", search.topic_scores(c, q, LEXICON)), ("title", search.title_scores(c, q, LEXICON)), ("embedding", fused(t, q)))}
     out = None
     for name, stages in search.ABLATIONS.items():
-        one = search.staged_ranking(stages, items(t), queries(t), LEXICON, lambda q: fused(t, q), vectors(t), 10)
+        one = search.staged_ranking(stages, c, q, LEXICON, lambda x: fused(t, x), vectors(t), 10, ready)
         one = shown(one).select(F.lit(name).alias("config"), "query_id", "item_id", "score", "rank")
         out = one if out is None else out.unionByName(one)
     return out
