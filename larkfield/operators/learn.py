@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from larkfield.functions import text as tx
 from larkfield.functions.numbers import box_cox
+from larkfield.session import durable
 
 
 def stratified_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
@@ -50,14 +51,16 @@ def grid_search(train: DataFrame, key: str, costs: Sequence[float], folds: int =
     A cost C is ``regParam = 1 / (C * n)``. Folds come from a hash of the key.
     """
     n = train.count()
-    pipe = sentiment_pipeline(vocab_size)
-    lr = pipe.getStages()[-1]
+    *weighting, lr = sentiment_pipeline(vocab_size).getStages()
+    # Term weights are fitted once; folds and parameters only refit the classifier.
+    fold = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(folds)).cast("int")
+    rows = durable(Pipeline(stages=weighting).fit(train).transform(train).select("label", "features", fold.alias("fold")))
+    lr.setMaxIter(25)
     grid = (ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in costs])
             .addGrid(lr.elasticNetParam, [0.0, 1.0]).build())
-    fold = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(folds)).cast("int")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, foldCol="fold", parallelism=2, seed=seed,
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, numFolds=folds, foldCol="fold", parallelism=4, seed=seed,
                         evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"))
-    return cv.fit(train.withColumn("fold", fold))
+    return cv.fit(rows)
 
 
 def predict(model, rows: DataFrame) -> DataFrame:
