@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from larkfield.llm.chat import ENTITIES, format_chats, read_chats
+from larkfield.llm.common import Scratch
 from larkfield.llm.near_dedup import near_duplicates
 from larkfield.llm.packing import pack
+from larkfield.llm.quality import quality_scores
+from larkfield.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +40,56 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def op3_best_two_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"))
+
+
+def _scores(spark: SparkSession, folder: str, scorer, label: str, folds: int, held: int) -> DataFrame:
+    """Scores of all documents, learned from the labels outside the held-out fold."""
+    fold = lambda column: F.pmod(F.crc32(F.col(column).cast("string")), F.lit(folds)) == held
+    labels = _table(spark, folder, "labels").where(~fold("doc_id"))
+    scored = scorer(_table(spark, folder, "documents"), labels, label_col=label)
+    return scored.select("doc_id", fold("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query()
+def op6_quality_nb_svm(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder, quality_scores, "quality", 5, 0)
+
+
+@_query()
+def op9_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder, toxicity_scores, "toxic", 4, 2)
+
+
+def _escaped_length(column: str) -> str:
+    for plain, entity in ENTITIES:
+        column = f"replace({column}, '{plain}', '{entity}')"
+    return f"length({column})"
+
+
+OP8_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS opens FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum({_escaped_length('text')} + CASE WHEN opens THEN 6 + {_escaped_length('role')} ELSE 3 END))::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
+@_query(OP8_SQL)
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    chats = Scratch(spark).keep(format_chats(rows.unionByName(probe)), "chats")
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read_chats(chats).select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
