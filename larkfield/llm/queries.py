@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkfield.llm.chat import ENTITIES, format_chats, read_chats
-from larkfield.llm.common import Scratch
+from larkfield.llm.common import Scratch, shared_folder
 from larkfield.llm.near_dedup import near_duplicates
 from larkfield.llm.packing import pack
 from larkfield.llm.quality import quality_scores
 from larkfield.llm.toxicity import toxicity_scores
+from larkfield.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +94,19 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
         F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@_query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS winner FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND winner != page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND winner != page_id THEN winner END AS refers_to
+FROM w
+""")
+def op2_warc_shards(spark: SparkSession, folder: str) -> DataFrame:
+    archives = shared_folder(spark, "archives")
+    write_archives(_table(spark, folder, "pages"), archives)
+    return read_archives(spark, archives, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
