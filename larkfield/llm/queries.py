@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkfield.llm.chat import ENTITIES, format_chats, read_chats
 from larkfield.llm.common import Scratch, shared_folder
+from larkfield.llm.extract import extract_text
 from larkfield.llm.near_dedup import near_duplicates
 from larkfield.llm.packing import pack
 from larkfield.llm.quality import quality_scores
@@ -110,3 +111,9 @@ def op2_warc_shards(spark: SparkSession, folder: str) -> DataFrame:
     write_archives(_table(spark, folder, "pages"), archives)
     return read_archives(spark, archives, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query()
+def op4_wrapper_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    texts = extract_text(_table(spark, folder, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
