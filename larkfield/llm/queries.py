@@ -13,6 +13,7 @@ from larkfield.llm.extract import extract_text
 from larkfield.llm.near_dedup import near_duplicates
 from larkfield.llm.packing import pack
 from larkfield.llm.quality import quality_scores
+from larkfield.llm.suffixes import repeated_passages
 from larkfield.llm.toxicity import toxicity_scores
 from larkfield.llm.warc import read_archives, write_archives
 
@@ -117,3 +118,9 @@ def op2_warc_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op4_wrapper_extraction(spark: SparkSession, folder: str) -> DataFrame:
     texts = extract_text(_table(spark, folder, "pages"))
     return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@_query()
+def op5_sparse_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_passages(_table(spark, folder, "documents"))
+    return found.select("doc_id", "spans", F.size("spans").alias("n_spans"), F.length("rest").cast("bigint").alias("rest_chars"))
