@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkfield.llm.chat import ENTITIES, format_chats, read_chats
 from larkfield.llm.common import Scratch, shared_folder
+from larkfield.llm.decontaminate import leaked_passages
 from larkfield.llm.extract import extract_text
 from larkfield.llm.near_dedup import near_duplicates
 from larkfield.llm.packing import pack
@@ -124,3 +125,8 @@ def op4_wrapper_extraction(spark: SparkSession, folder: str) -> DataFrame:
 def op5_sparse_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = repeated_passages(_table(spark, folder, "documents"))
     return found.select("doc_id", "spans", F.size("spans").alias("n_spans"), F.length("rest").cast("bigint").alias("rest_chars"))
+
+
+@_query()
+def op10_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_passages(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
