@@ -14,16 +14,14 @@ task is bounded; every block meets all documents.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.llm.common import Scratch
+from larkfield.llm.common import Scratch, mixed
 
 BLOCK = 1024
 BUCKETS = 1 << 17
@@ -31,47 +29,87 @@ RANK = 256
 STEP = 8
 SCALES = (24, 32, 48, 64, 96)
 PASSAGE, PASSAGE_STEP = 64, 32
-_WORD = re.compile(r"[^\W_]+")
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
-
-
-def bucket_of(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8")) & (BUCKETS - 1)
-
-
-class Lookup(dict):
-    """Word to a row of the tables ``bucket`` and ``term`` (-1 outside the vocabulary); starts anew when full."""
-
-    room = 300_000
-
-    def __init__(self, terms: dict[str, int]):
-        self.terms = terms
-        self.bucket, self.term = np.empty(self.room, np.int64), np.empty(self.room, np.int64)
-
-    def __missing__(self, word: str) -> int:
-        self[word] = place = len(self)
-        if place >= len(self.bucket):
-            self.bucket, self.term = (np.concatenate([x, np.empty_like(x)]) for x in (self.bucket, self.term))
-        self.bucket[place] = bucket_of(word)
-        self.term[place] = self.terms.get(word, -1)
-        return place
-
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.room:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+CHUNK = 4 << 20
+_IS_WORD = np.zeros(256, bool)
+_IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones(1, np.uint64)
+
+
+class Words:
+    """The words of a text: runs of ASCII letters, digits and non-ASCII characters, in lower case, with their hashes."""
+
+    def __init__(self, text: str | None):
+        self.data = (text or "").lower().encode("utf-8")
+        parts = [self._read(low, high) for low, high in self._chunks()]
+        self.starts, self.ends, self.hashes = (np.concatenate(x) for x in zip(*parts))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def at(self, low: int, high: int) -> list[bytes]:
+        return [self.data[a:b] for a, b in zip(self.starts[low:high].tolist(), self.ends[low:high].tolist())]
+
+    def _chunks(self) -> list[tuple[int, int]]:
+        """Cuts of long texts, none inside a word."""
+        cuts, at = [0], CHUNK
+        while at < len(self.data):
+            while at < len(self.data) and _IS_WORD[self.data[at]]:
+                at += 1
+            cuts.append(at)
+            at += CHUNK
+        return list(zip(cuts, [*cuts[1:], len(self.data)]))
+
+    def _read(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        global _powers
+        raw = np.frombuffer(self.data, np.uint8, high - low, low)
+        word = np.zeros(len(raw) + 2, bool)
+        word[1:-1] = _IS_WORD[raw]
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            return starts, ends, np.empty(0, np.uint64)
+        lengths = ends - starts
+        while len(_powers) < lengths.max():
+            more = _powers * np.uint64(pow(_BASE, len(_powers), 1 << 64))
+            _powers = np.concatenate([_powers, more])
+        firsts = np.cumsum(lengths) - lengths
+        letters = raw[word[1:-1]].astype(np.uint64) + np.uint64(1)
+        place = np.arange(len(letters)) - np.repeat(firsts, lengths)
+        return starts + low, ends + low, mixed(np.add.reduceat(letters * _powers[place], firsts))
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+class Vocabulary:
+    """Terms by hash; a table of buckets passes over most words that are none."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        self.some = np.zeros(BUCKETS, bool)
+        self.some[bucket_of(self.hashes)] = True
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each word, -1 for words outside."""
+        out = np.full(len(hashes), -1, np.int64)
+        maybe = np.flatnonzero(self.some[bucket_of(hashes)])
+        at = np.searchsorted(self.hashes, hashes[maybe]).clip(max=len(self.hashes) - 1)
+        same = self.hashes[at] == hashes[maybe]
+        out[maybe[same]] = at[same]
+        return out
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: in how many documents each bucket occurs; bucket -1 counts the documents."""
     sums, total = np.zeros(BUCKETS, np.int64), 0
-    lookup = Lookup({})
     for batch in batches:
         for text in batch.column(0):
-            sums[np.unique(lookup.bucket[lookup.of(words_of(text.as_py()))])] += 1
+            sums[np.unique(bucket_of(Words(text.as_py()).hashes))] += 1
         total += batch.num_rows
     some = np.flatnonzero(sums)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(sums[some], total))], ["bucket", "n"])
@@ -82,32 +120,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row, part, texts = [], [], []
         for i, text in enumerate(batch.column(1)):
-            words = words_of(text.as_py())
+            words = Words(text.as_py())
             for k, at in enumerate(range(0, max(len(words) - PASSAGE_STEP, 1), PASSAGE_STEP) if len(words) > PASSAGE else range(min(len(words), 1))):
                 row.append(i)
                 part.append(k)
-                texts.append(" ".join(words[at:at + PASSAGE]))
+                texts.append(b" ".join(words.at(at, at + PASSAGE)).decode("utf-8"))
         take = pa.array(row, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(take), pa.array(part, pa.int32()), pa.array(texts, pa.string()), batch.column(2).take(take)],
             ["item", "part", "words", "answer"])
 
 
-def passage_vector(words: list[str], terms: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def passage_vector(words: str, terms: Vocabulary, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms and unit TF-IDF weights of a passage."""
-    at, times = np.unique([terms[w] for w in words], return_counts=True)
+    at, times = np.unique(terms.of(Words(words).hashes), return_counts=True)
     weights = times * idf[at]
     return at, weights / max(np.sqrt((weights ** 2).sum()), 1e-12)
 
 
-def _product(terms: dict[str, int], idf: np.ndarray, basis: np.ndarray):
+def _product(terms: Vocabulary, idf: np.ndarray, basis: np.ndarray):
     """Per task: the sum of a' (a basis) over the passage rows a, as blocks of term rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(basis.shape)
         for batch in batches:
             for words in batch.column(0).to_pylist():
-                at, weights = passage_vector(words.split(" "), terms, idf)
+                at, weights = passage_vector(words, terms, idf)
                 out[at] += np.outer(weights, weights @ basis[at])
         blocks = range(0, len(out), 256)
         yield pa.RecordBatch.from_arrays(
@@ -121,7 +159,7 @@ def _block_sum(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "rows": pa.array([total.tobytes()], pa.binary())})
 
 
-def randomised_factors(passages: DataFrame, terms: dict[str, int], idf: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:
+def randomised_factors(passages: DataFrame, terms: Vocabulary, idf: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:
     """Leading right singular vectors (terms x rank) of the passages' TF-IDF matrix A.
 
     A random start is multiplied by A'A (with one power step) and made orthonormal; the small matrix of A'A on that
@@ -141,9 +179,9 @@ def randomised_factors(passages: DataFrame, terms: dict[str, int], idf: np.ndarr
     return (basis @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, by one pass of bit operations."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, word in enumerate(a):
         places[word] = places.get(word, 0) | 1 << i
     full = state = (1 << len(a)) - 1
@@ -153,62 +191,86 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - state.bit_count()
 
 
-def _holds(words: list[str], wanted: list[str]) -> bool:
+def _holds(words: list, wanted: list) -> bool:
     n = len(wanted)
     return any(words[i:i + n] == wanted for i in range(len(words) - n + 1))
 
 
 def _search(index: dict, least_cosine: float, share: float, share_without_answer: float):
-    terms, idf, bucket_idf, factors, vectors = (index[k] for k in ("terms", "idf", "bucket_idf", "factors", "vectors"))
+    terms, bucket_idf, factors, vectors = (index[k] for k in ("terms", "bucket_idf", "factors", "vectors"))
     items, parts, texts, answers = (index[k] for k in ("items", "parts", "texts", "answers"))
     sizes = np.array([len(t) for t in texts])
+    members = np.zeros((len(texts), len(terms)), bool)
+    for i, words in enumerate(texts):
+        members[i, terms.of(Words(b" ".join(words).decode("utf-8")).hashes)] = True
 
-    def windows(at: np.ndarray, lookup: Lookup) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Windows that may reach the least cosine, with their cosines to all passages."""
-        own = lookup.term[at]
-        weight = bucket_idf[lookup.bucket[at]].astype(np.float64)
+    def candidates(words: Words, own: np.ndarray) -> list[tuple[float, int, int, int]]:
+        """Windows and passages with at least the least cosine: ``(-cosine, first word, end, passage)``."""
         known = own >= 0
-        inside = np.append(0, np.cumsum(np.where(known, weight ** 2, 0)))
-        whole = np.append(0, np.cumsum(weight ** 2))
-        n = len(at)
-        spans = []
+        weight = bucket_idf[bucket_of(words.hashes)].astype(np.float64)
+        squares = weight ** 2
+        n = len(words)
+        inside, whole = (np.append(0, np.cumsum(x)) for x in (np.where(known, squares, 0), squares))
+        lows, highs = [], []
         for scale in SCALES:
             low = np.arange(0, max(n - scale, 0) + STEP, STEP) if n > scale else np.zeros(1, np.int64)
             high = np.minimum(low + scale, n)
-            # A word that comes twice counts twice in the sums, at most doubling what it adds to either length.
+            # A word that comes again counts again in both sums; the true length of the window is no smaller.
             good = inside[high] - inside[low] >= least_cosine ** 2 * (whole[high] - whole[low])
-            spans += zip(low[good].tolist(), high[good].tolist())
+            lows.append(low[good])
+            highs.append(high[good])
             if n <= scale:
                 break
-        for low, high in spans:
-            part = own[low:high]
-            part = part[part >= 0]
-            if not len(part):
-                continue
-            q = idf[part] @ factors[part]
-            cosines = (vectors @ q) / math.sqrt(whole[high] - whole[low])
-            yield low, high, cosines
+        low, high = np.concatenate(lows), np.concatenate(highs)
+        if not len(low):
+            return []
+        # Factor sums of steps of words, then of windows; only steps in some window are looked up.
+        steps = -(-n // STEP)
+        used = np.zeros(steps + 1, np.int64)
+        np.add.at(used, low // STEP, 1)
+        np.add.at(used, -(-high // STEP), -1)
+        used = np.cumsum(used)[:steps] > 0
+        at = np.flatnonzero(known & used[np.arange(n) // STEP])
+        sums = np.zeros((steps + 1, factors.shape[1]), np.float32)
+        if len(at):
+            firsts = np.flatnonzero(np.append(True, np.diff(at // STEP) > 0))
+            sums[at[firsts] // STEP + 1] = np.add.reduceat(factors[own[at]] * weight[at, None].astype(np.float32), firsts, axis=0)
+        sums = np.cumsum(sums, axis=0)
+        found = []
+        for part in range(0, len(low), 4096):
+            a, b = low[part:part + 4096], high[part:part + 4096]
+            cosines = (sums[-(-b // STEP)] - sums[a // STEP]) @ vectors.T / np.sqrt(whole[b] - whole[a])[:, None]
+            # Words that come again make a window longer than the sums say.
+            for i in np.flatnonzero((cosines >= least_cosine).any(axis=1)).tolist():
+                _, first, times = np.unique(words.hashes[a[i]:b[i]], return_index=True, return_counts=True)
+                if len(times) < b[i] - a[i]:
+                    again = squares[a[i] + first]
+                    cosines[i] *= math.sqrt((again * times).sum() / (again * times ** 2).sum())
+            row, k = np.nonzero(cosines >= least_cosine)
+            found += zip((-cosines[row, k]).tolist(), a[row].tolist(), b[row].tolist(), k.tolist())
+        return sorted(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(terms)
         for batch in batches:
             rows = []
             for row, text in enumerate(batch.column(1)):
-                words = words_of(text.as_py())
-                if not words:
+                words = Words(text.as_py())
+                if not len(words):
                     continue
                 best: dict[int, tuple] = {}
-                found = []
-                for low, high, cosines in windows(lookup.of(words), lookup):
-                    found += [(-float(cosines[k]), low, high, k) for k in np.flatnonzero(cosines >= least_cosine).tolist()]
-                for minus, low, high, k in sorted(found):
+                own = terms.of(words.hashes)
+                for minus, low, high, k in candidates(words, own):
                     if k in best:
                         continue
                     margin = int(sizes[k]) // 2
                     low, high = max(0, low - margin), min(len(words), high + margin)
-                    common = common_subsequence(texts[k], words[low:high])
-                    part = common / sizes[k]
-                    answered = answers[k] is None or _holds(words[low:high], answers[k])
+                    near = own[low:high]
+                    # No common subsequence is longer than the words of the window that the passage has at all.
+                    if members[k, near[near >= 0]].sum() < share * sizes[k]:
+                        continue
+                    near = words.at(low, high)
+                    part = common_subsequence(texts[k], near) / sizes[k]
+                    answered = answers[k] is None or _holds(near, answers[k])
                     if part >= (share if answered else share_without_answer):
                         best[k] = (row, items[k], parts[k], -minus, part, answered and answers[k] is not None, low, high)
                 rows += best.values()
@@ -222,11 +284,11 @@ def _search(index: dict, least_cosine: float, share: float, share_without_answer
 
 
 def leaked_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                    item_text_col: str = "text", answer_col: str | None = None, least_cosine: float = 0.45, share: float = 0.6,
+                    item_text_col: str = "text", answer_col: str | None = None, least_cosine: float = 0.5, share: float = 0.6,
                     share_without_answer: float = 0.8, rank: int = RANK) -> DataFrame:
     """``<doc id>, <item id>, part, cosine, share, answered, first_word, end_word`` per document row and leaked passage.
 
-    Texts are read as runs of letters and digits in lower case. Null and wordless documents and items match nothing; an
+    Texts are read as runs of letters, digits and non-ASCII characters in lower case. Null and wordless documents and items match nothing; an
     empty benchmark or corpus gives no rows. Repeated rows are searched each; a benchmark item that
     repeats is found once per repeat. Other columns are ignored, also those of the same name in both tables.
     """
@@ -252,21 +314,20 @@ def leaked_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     for block in range(blocks):
         own = passages.where(F.pmod(F.xxhash64("item", "part"), F.lit(blocks)) == block)
         rows = own.orderBy("item", "part", "words").toArrow()  # about BLOCK passages
-        lists = [w.split(" ") for w in rows.column("words").to_pylist()]
+        lists = rows.column("words").to_pylist()
         if not lists:
             continue
-        vocabulary = sorted({w for ws in lists for w in ws})
-        terms = {w: i for i, w in enumerate(vocabulary)}
-        idf = bucket_idf[[bucket_of(w) for w in vocabulary]].astype(np.float64)
+        terms = Vocabulary(np.concatenate([Words(w).hashes for w in lists]))
+        idf = bucket_idf[bucket_of(terms.hashes)].astype(np.float64)
         factors = randomised_factors(own, terms, idf, rank)
         vectors = np.zeros((len(lists), factors.shape[1]), np.float32)
-        for i, ws in enumerate(lists):
-            at, weights = passage_vector(ws, terms, idf)
+        for i, words in enumerate(lists):
+            at, weights = passage_vector(words, terms, idf)
             vectors[i] = weights @ factors[at]
-        answers = [words_of(a) or None for a in rows.column("answer").to_pylist()]
-        index = {"terms": terms, "idf": idf.astype(np.float32), "bucket_idf": bucket_idf, "factors": factors, "vectors": vectors,
+        answers = [(w.at(0, len(w)) or None) for w in map(Words, rows.column("answer").to_pylist())]
+        index = {"terms": terms, "bucket_idf": bucket_idf, "factors": factors, "vectors": vectors,
                  "items": rows.column("item").to_pylist(), "item_type": rows.schema.field("item").type, "parts": rows.column("part").to_pylist(),
-                 "texts": lists, "answers": answers}
+                 "texts": [w.encode("utf-8").split(b" ") for w in lists], "answers": answers}
         out = out.unionByName(texts.mapInArrow(_search(index, least_cosine, share, share_without_answer), shape)) if block else \
             texts.mapInArrow(_search(index, least_cosine, share, share_without_answer), shape)
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})
