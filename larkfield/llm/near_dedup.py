@@ -6,9 +6,11 @@ batch of signature positions, the posterior of the similarity (uniform prior) sa
 reaches the threshold, and the pair is dropped once that is below ``miss``. Survivors are confirmed on
 their full sets.
 
-Large bands are not turned into all pairs. Each node is first compared with its band's smallest node;
-only bands that still hold more than one component afterwards are looked at pair by pair, and only across
-components. No link between components is lost, and a group of near copies costs one pair per member.
+Large bands are not turned into all pairs. Each node is first compared with its band's smallest node. Bands
+that still hold more than one component afterwards are looked at again, only across components: small ones
+as pairs of rows, large ones inside tasks, where the nodes outside the band's main component meet blocks of
+all its nodes and only links that join components come out. So no link between components is lost, and no
+group of near copies becomes rows for all its pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from larkfield.llm.common import Scratch, WordHashes, ascii_words, components, g
 BAND_ROWS = 5
 BANDS = 40
 BATCH = 20
+#: Bands of more nodes than this are compared inside tasks, in blocks of at most about BLOCK nodes.
+PAIRS_UP_TO = 16
+BLOCK = 512
 
 
 def shingle_hashes(text: str | bytes | None, n: int, hashes: WordHashes) -> np.ndarray:
@@ -147,6 +152,60 @@ def _confirmed(n: int, percent: int):
     return run
 
 
+def _blocks(n: int, percent: int, miss: float, seed: int):
+    """Links that join components between the nodes of side x and those of side y of one block."""
+    factors, shifts = _permutations(BANDS * BAND_ROWS, seed)
+    least = least_matches(BANDS * BAND_ROWS, BATCH, percent / 100, miss)
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes = WordHashes()
+        nodes, roots, first = (table.column(c).to_pylist() for c in ("node", "root", "first"))
+        order: dict[int, int] = {}
+        sets = []
+        for row, node in enumerate(nodes):
+            if node not in order:
+                order[node] = len(sets)
+                sets.append(shingle_hashes(table.column("text")[row].as_py(), n, hashes))
+        signs = np.array([signature(s, factors, shifts) for s in sets])
+        sizes = np.array([len(s) for s in sets])
+        root = np.zeros(len(sets), np.int64)
+        for node, r in zip(nodes, roots):
+            root[order[node]] = r
+        y = np.array(sorted({order[node] for node, f in zip(nodes, first) if not f}), np.int64)
+        found = []
+        for i in sorted({order[node] for node, f in zip(nodes, first) if f}):
+            alive = y[(root[y] != root[i]) & (100 * np.minimum(sizes[y], sizes[i]) >= percent * np.maximum(sizes[y], sizes[i]))]
+            matched = np.zeros(len(alive), np.int64)
+            for k, need in enumerate(least):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                matched += (signs[alive, part] == signs[i, part]).sum(axis=1)
+                alive, matched = alive[matched >= need], matched[matched >= need]
+            for j in alive[np.argsort(-matched, kind="stable")].tolist():
+                if root[j] == root[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    found.append((i, j))
+                    root[root == root[j]] = root[i]
+        names = {at: node for node, at in order.items()}
+        return pa.table({"a": pa.array([names[i] for i, _ in found], pa.int64()), "b": pa.array([names[j] for _, j in found], pa.int64())})
+
+    return run
+
+
+def _block_links(units: DataFrame, texts: DataFrame, n: int, percent: int, miss: float, seed: int) -> DataFrame:
+    """Links across components inside each unit (``unit, node, root``): outsiders against all nodes, in blocks."""
+    outside = F.col("root") != F.col("unit")
+    sizes = units.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("columns"),
+                                      F.ceil(F.count_if(outside) / BLOCK).cast("int").alias("lines"))
+    rows = units.join(sizes, "unit").join(texts, "node")
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    x = rows.where(outside).select("unit", "node", "root", "text", F.lit(True).alias("first"), own("lines").alias("line"), every("columns").alias("column"))
+    y = rows.select("unit", "node", "root", "text", F.lit(False).alias("first"), own("columns").alias("column"), every("lines").alias("line"))
+    return x.unionByName(y).groupBy("unit", "line", "column").applyInArrow(_blocks(n, percent, miss, seed), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2,
                     percent: int = 80, miss: float = 1e-6, seed: int = 7) -> DataFrame:
     """Component of near-duplicates per document: ``<id>, n_shingles, component_id, kept``.
@@ -165,6 +224,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signs = rows.join(firsts, ["node", "doc"]).select("node", "size", "sign")
     bands = scratch.keep(signs.mapInArrow(_bands, "key long, node long, size long").distinct(), "bands")
 
+    def texts_of(nodes: DataFrame, name: str) -> DataFrame:
+        """One text per node."""
+        wanted = nodes.select("node").distinct().join(firsts, "node")
+        own = texts.join(wanted, "doc").select("node", "text").mapInArrow(_only_own(shingle), "node long, text string")
+        return scratch.keep(own, f"{name}_texts")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         left = signs.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sign").alias("sign_a"))
         right = signs.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sign").alias("sign_b"))
@@ -172,10 +237,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         likely = scratch.keep(
             pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "sign_a", "sign_b")
             .mapInArrow(_plausible(threshold, miss), "a long, b long").distinct(), f"{name}_likely")
-        wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(firsts, "node")
-        full = scratch.keep(
-            texts.join(wanted, "doc").join(rows.select("doc", "node").distinct(), ["doc", "node"])
-            .select("node", "text").mapInArrow(_only_own(shingle), "node long, text string"), f"{name}_texts")
+        full = texts_of(likely.select(F.col("a").alias("node")).union(likely.select("b")), name)
         one = full.select(F.col("node").alias("a"), F.col("text").alias("one"))
         other = full.select(F.col("node").alias("b"), F.col("text").alias("other"))
         links = scratch.keep(
@@ -191,16 +253,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = bands.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     mixed_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     rest = scratch.keep(placed.join(mixed_keys, "key"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
+    counts = rest.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.max_by("root", "count").alias("unit"))
+    few = rest.join(counts.where(F.col("n") <= PAIRS_UP_TO).select("key"), "key")
+    x, y = few.alias("x"), few.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
                     & (F.col("x.size") * 100 >= F.col("y.size") * percent) & (F.col("y.size") * 100 >= F.col("x.size") * percent))
     across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = verified(scratch.keep(across, "across"), "across")
-    roots = components(links.union(more), scratch, "second")
+    many = scratch.keep(rest.join(counts.where(F.col("n") > PAIRS_UP_TO).select("key", "unit"), "key").select("unit", "node", "root").distinct(), "units")
+    in_blocks = _block_links(many, texts_of(many, "unit"), shingle, percent, miss, seed)
+    roots = components(links.union(more).union(in_blocks), scratch, "second")
     named = firsts.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc").alias("component"))
     of_node = named.join(smallest, "root").select("node", "component")
-    scratch.drop("bands", "rest", "stars", "across")
+    scratch.drop("bands", "rest", "stars", "across", "units", "unit_texts")
     component = F.coalesce("component", F.col("doc"))
     return rows.select("doc", "size", "node").join(of_node, "node", "left").select(
         F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"),
