@@ -17,9 +17,20 @@ M3 = np.uint64(0x94D049BB133111EB)
 class Scratch:
     """Intermediate tables in the shared folder, by name; ``drop`` deletes those no later step reads."""
 
-    def __init__(self, spark: SparkSession):
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession, lasting: bool = False):
         self.spark = spark
         self.folders: dict[str, str] = {}
+        if not lasting:
+            Scratch._open.append(self)
+
+    @classmethod
+    def drop_finished(cls) -> None:
+        """Delete the tables of all operators called before; only once their results were written."""
+        while cls._open:
+            scratch = cls._open.pop()
+            scratch.drop(*scratch.folders)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and read it back: lost executors lose no work, and joins know real sizes."""

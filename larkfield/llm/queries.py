@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from larkfield.llm.packing import pack
 from larkfield.llm.quality import quality_scores
 from larkfield.llm.suffixes import repeated_passages
 from larkfield.llm.toxicity import toxicity_scores
+from larkfield.llm.vectors import near_vectors
 from larkfield.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +132,13 @@ def op5_sparse_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def op10_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_passages(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query()
+def op7_pruned_graph_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
+@_query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,15 +138,8 @@ def _spans(length: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                      window: int = WINDOW) -> DataFrame:
-    """``doc, text, spans, rest`` of the documents that repeat passages of documents with smaller ids.
-
-    A span covers every passage of at least ``length`` words (between ASCII blanks, A-Z read as a-z) that the document
-    with the smallest id among its holders keeps and this one repeats; ``rest`` is the text without
-    its spans. Null ids, null and short texts repeat nothing. Rows that repeat an id count as one
-    document and don't repeat each other; they get one row each. Other columns are ignored.
-    """
+def _repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """``doc, text`` of rows with an id, and ``doc, starts``: first words of repeated passages."""
     scratch = Scratch(docs.sparkSession)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = texts.schema["doc"].dataType.simpleString()
@@ -158,5 +152,39 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     heads = passages.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").select("key", "head")
     starts = scratch.keep(passages.join(heads, "key").where("doc > head").groupBy("doc").agg(F.collect_list("start").alias("starts")), "starts")
     scratch.drop("passages")
+    return texts, starts
+
+
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                      window: int = WINDOW) -> DataFrame:
+    """``doc, text, spans, rest`` of the documents that repeat passages of documents with smaller ids.
+
+    A span covers every passage of at least ``length`` words (between ASCII blanks, A-Z read as a-z) that the document
+    with the smallest id among its holders keeps and this one repeats; ``rest`` is the text without
+    its spans. Null ids, null and short texts repeat nothing. Rows that repeat an id count as one
+    document and don't repeat each other; they get one row each. Other columns are ignored.
+    """
+    texts, starts = _repeated_starts(docs, id_col, text_col, length, window)
+    kind = texts.schema["doc"].dataType.simpleString()
     shape = (f"doc {kind}, text string, spans array<struct<first_word: int, last_word: int, start: int, end: int>>, rest string")
     return texts.join(starts, "doc").select("doc", "text", "starts").mapInArrow(_spans(length), shape).withColumnRenamed("doc", id_col)
+
+
+def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the spans of ``repeated_passages`` cut from the texts; all rows and other columns stay as they are."""
+    _, starts = _repeated_starts(docs, id_col, text_col, length, window)
+    place, kinds = docs.columns.index(text_col), ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
+    spans = _spans(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place)
+            own = pa.RecordBatch.from_arrays([texts, texts, batch.column(batch.num_columns - 1)], ["doc", "text", "starts"])
+            rest = next(spans(iter([own]))).column(3)
+            columns = [pa.compute.if_else(pa.compute.is_valid(texts), rest, None) if i == place else batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, docs_names)
+
+    docs_names = docs.columns
+    found = starts.select(F.col("doc").alias("__id"), F.col("starts").alias("__starts"))
+    joined = docs.join(found, docs[id_col] == found["__id"], "left").drop("__id")
+    return joined.mapInArrow(run, kinds)
