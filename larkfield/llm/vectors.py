@@ -4,7 +4,7 @@ Vectors of one label (and dimension) are given to their three nearest clusters a
 about as near as the nearest; centres are fitted on a bounded sample. A shard of more than ``BLOCK`` vectors is split by hash, and its blocks meet
 pairwise. Each block gets a graph: candidate neighbours pruned so that none is much nearer to a kept neighbour
 than to the node. The adjacency lists of a vector from all its shards are united. Queries walk a block's
-graph greedily from its medoid and then spread from every hit over neighbours within the range. Hits are
+graph greedily from medoids of its parts and then spread from every hit over neighbours within the range. Hits are
 verified in double precision. A pair found in several shards counts in the first shard both share.
 Tasks return a count and a local root per vector, never the pairs.
 """
@@ -25,7 +25,7 @@ SAMPLE = 4000
 SHARD, BLOCK = 800, 1500
 CLUSTERS = 128
 LEAST_HOMES, MARGIN = 3, 0.06
-DEGREE, BEAM, STEPS, SLACK = 24, 48, 48, 0.08
+DEGREE, MEDOIDS, BEAM, STEPS, SLACK = 24, 16, 48, 48, 0.08
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +112,20 @@ def _graph(table: pa.Table) -> pa.Table:
     """Adjacency lists of a block, as vector ids; a ring keeps the graph connected."""
     vecs = table.column("vec").to_numpy()
     x = _matrix(table.column("unit"))
-    near = robust_prune(x @ x.T, DEGREE)
+    sims = x @ x.T
+    near = robust_prune(sims.copy(), DEGREE)
     ring = np.roll(np.arange(len(vecs)), -1)
-    lists = [vecs[np.append(row[row >= 0], ring[i])].tolist() for i, row in enumerate(near)]
+    # Edges go both ways; of those that come back, a node keeps its nearest.
+    source, target = np.repeat(np.arange(len(vecs)), near.shape[1])[near.ravel() >= 0], near.ravel()[near.ravel() >= 0]
+    order = np.lexsort((-sims[source, target], target))
+    firsts = np.searchsorted(target[order], np.arange(len(vecs) + 1))
+    back = [source[order[a:min(b, a + 2 * DEGREE)]] for a, b in zip(firsts, firsts[1:])]
+    lists = [vecs[np.unique(np.concatenate([row[row >= 0], back[i], ring[i:i + 1]]))].tolist() for i, row in enumerate(near)]
     return pa.table({"vec": table.column("vec"), "near": pa.array(lists, pa.list_(pa.int64()))})
 
 
 def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float, own_rows: np.ndarray | None = None) -> np.ndarray:
-    """Which rows of ``x`` each query reaches with at least ``least``, by a greedy walk from the medoid and spreading.
+    """Which rows of ``x`` each query reaches with at least ``least``, by a greedy walk from medoids and spreading.
 
     ``own_rows`` are the queries' own places in the graph, if they are in it: spreading starts there too.
     """
@@ -128,13 +134,13 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: f
     seen[:, n] = True  # stands for no neighbour
     hits = np.zeros((m, n), bool)
     rows = np.arange(m)
-    medoid = int((x @ x.mean(axis=0)).argmax())
+    medoids = np.unique((x @ fit_centres(x, MEDOIDS, 3).T).argmax(axis=0))
     beam = np.full((m, BEAM), n)
     sims = np.full((m, BEAM), -2.0)
     open_ = np.zeros((m, BEAM), bool)
-    beam[:, 0], sims[:, 0], open_[:, 0] = medoid, queries @ x[medoid], True
-    seen[:, medoid] = True
-    hits[:, medoid] = sims[:, 0] >= least
+    beam[:, :len(medoids)], sims[:, :len(medoids)], open_[:, :len(medoids)] = medoids, queries @ x[medoids].T, True
+    seen[:, medoids] = True
+    hits[:, medoids] = sims[:, :len(medoids)] >= least
     for _ in range(STEPS):
         best = np.where(open_, sims, -3).argmax(axis=1)
         if not open_[rows, best].any():
