@@ -70,9 +70,9 @@ def _suffixes(length: int, window: int):
                 own = np.unique(firsts[kept[kept < len(firsts)]])
                 keys.append(own)
                 rows.append(np.full(len(own), row))
-            docs = batch.column(0).take(pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)))
+            take = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
             all_keys = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([docs, pa.array(all_keys)], ["doc", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(all_keys)], ["doc", "mark", "key"])
 
     return run
 
@@ -89,13 +89,13 @@ def _passages(length: int, window: int):
                 whole = prefix_hashes(hashes, length)
                 kept = kept_words(hashes, window)
                 kept = kept[kept < len(firsts)]
-                known = np.frombuffer(np.array(batch.column(2)[row].as_py(), np.int64).tobytes(), np.uint64)
+                known = np.frombuffer(np.array(batch.column(3)[row].as_py(), np.int64).tobytes(), np.uint64)
                 kept = kept[np.isin(firsts[kept], known)]
                 starts = np.unique((kept[:, None] - np.arange(window)).ravel())
                 starts = starts[(starts >= 0) & (starts < len(whole))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.full(len(starts), row))), pa.array(whole[starts].view(np.int64)),
-                     pa.array(starts.astype(np.int32))], ["doc", "key", "start"])
+                    [*(batch.column(i).take(pa.array(np.full(len(starts), row))) for i in (0, 2)), pa.array(whole[starts].view(np.int64)),
+                     pa.array(starts.astype(np.int32))], ["doc", "mark", "key", "start"])
 
     return run
 
@@ -139,18 +139,22 @@ def _spans(length: int):
 
 
 def _repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int, window: int) -> tuple[DataFrame, DataFrame]:
-    """``doc, text`` of rows with an id, and ``doc, starts``: first words of repeated passages."""
+    """``doc, text`` of rows with an id, and ``doc, mark, starts``: first words of repeated passages.
+
+    ``mark`` tells apart the texts of rows that repeat an id.
+    """
     scratch = Scratch(docs.sparkSession)
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"),
+                                                       F.xxhash64(text_col).alias("mark"))
     kind = texts.schema["doc"].dataType.simpleString()
-    suffixes = scratch.keep(texts.mapInArrow(_suffixes(length, window), f"doc {kind}, key long"), "suffixes")
+    suffixes = scratch.keep(texts.mapInArrow(_suffixes(length, window), f"doc {kind}, mark long, key long"), "suffixes")
     shared = suffixes.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
-    known = scratch.keep(suffixes.join(shared, "key").groupBy("doc").agg(F.collect_set("key").alias("keys")), "known")  # a text's own
-    passages = scratch.keep(texts.join(known, "doc").select("doc", "text", "keys").mapInArrow(
-        _passages(length, window), f"doc {kind}, key long, start int"), "passages")
+    known = scratch.keep(suffixes.join(shared, "key").groupBy("doc", "mark").agg(F.collect_set("key").alias("keys")), "known")  # a text's own
+    passages = scratch.keep(texts.join(known, ["doc", "mark"]).select("doc", "text", "mark", "keys").mapInArrow(
+        _passages(length, window), f"doc {kind}, mark long, key long, start int"), "passages")
     scratch.drop("suffixes", "known")
     heads = passages.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").select("key", "head")
-    starts = scratch.keep(passages.join(heads, "key").where("doc > head").groupBy("doc").agg(F.collect_list("start").alias("starts")), "starts")
+    starts = scratch.keep(passages.join(heads, "key").where("doc > head").groupBy("doc", "mark").agg(F.collect_set("start").alias("starts")), "starts")
     scratch.drop("passages")
     return texts, starts
 
@@ -167,7 +171,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     texts, starts = _repeated_starts(docs, id_col, text_col, length, window)
     kind = texts.schema["doc"].dataType.simpleString()
     shape = (f"doc {kind}, text string, spans array<struct<first_word: int, last_word: int, start: int, end: int>>, rest string")
-    return texts.join(starts, "doc").select("doc", "text", "starts").mapInArrow(_spans(length), shape).withColumnRenamed("doc", id_col)
+    return texts.join(starts, ["doc", "mark"]).select("doc", "text", "starts").mapInArrow(_spans(length), shape).withColumnRenamed("doc", id_col)
 
 
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
@@ -185,6 +189,6 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(columns, docs_names)
 
     docs_names = docs.columns
-    found = starts.select(F.col("doc").alias("__id"), F.col("starts").alias("__starts"))
-    joined = docs.join(found, docs[id_col] == found["__id"], "left").drop("__id")
+    found = starts.select(F.col("doc").alias("__id"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
+    joined = docs.join(found, (docs[id_col] == found["__id"]) & (F.xxhash64(docs[text_col]) == found["__mark"]), "left").drop("__id", "__mark")
     return joined.mapInArrow(run, kinds)
