@@ -153,29 +153,48 @@ def clean_link(link: Column) -> Column:
     return F.when(t.rlike(r"(?i)^https?://"), t).otherwise("")
 
 
-def collapse_repeats(text: Column, longest: int = 4, passes: int = 3) -> Column:
+def collapse_repeats(text: Column, longest: int = 4) -> Column:
     """Phrases of up to ``longest`` words said several times in a row are said once.
 
-    Longer phrases go first; the whole round is repeated because one removal
-    can bring equal phrases together.
+    Longer phrases go first. One removal can bring equal phrases together, so rounds go on until
+    nothing changes; every round but the last takes words away, so there are fewer rounds than words.
     """
-    out = squeeze(text)
-    for _ in range(passes):
+    def once(t: Column) -> Column:
         for k in range(longest, 0, -1):
             lead = rf"(?:\S+ ){{{k - 1}}}" if k > 1 else ""
-            out = F.regexp_replace(out, rf"(?iu)(?<!\S)({lead}\S+)(?: \1)+(?!\S)", "$1")
-    return out
+            t = F.regexp_replace(t, rf"(?iu)(?<!\S)({lead}\S+)(?: \1)+(?!\S)", "$1")
+        return t
+
+    def step(state: Column, _: Column) -> Column:
+        # The one-element array gives the new text a name, so that it is made once.
+        moved = F.transform(F.array(once(state["t"])), lambda new: F.struct(new.alias("t"), (new == state["t"]).alias("still")))
+        return F.when(state["still"], state).otherwise(F.get(moved, F.lit(0)))
+
+    start = squeeze(text)
+    rounds = F.sequence(F.lit(0), F.size(F.split(start, " ")))
+    return F.when(text.isNotNull(), F.aggregate(rounds, F.struct(start.alias("t"), F.lit(False).alias("still")), step, lambda s: s["t"]))
+
+
+CLOSING = ",;:!?"
 
 
 def clean_display(text: Column) -> Column:
-    """Readable text: no stuttering, tidy spaces at punctuation, split glued sentences, capital start."""
-    t = collapse_repeats(text)
-    t = F.regexp_replace(t, r"\s+([,;:!?])", "$1")
-    t = F.regexp_replace(t, r"\s+\.(?=\s|$)", ".")
-    t = F.regexp_replace(t, r"([,;:])(?=\p{L})", "$1 ")
-    t = F.regexp_replace(t, r"(?<=\p{Ll}{2})([.!?])(?=\p{Lu}\p{Ll})", "$1 ")
-    t = squeeze(t)
-    return F.concat(F.upper(F.left(t, F.lit(1))), F.substring(t, 2, 2147483647))
+    """Readable text: no stuttering, tidy spaces at punctuation, split glued sentences, capital start.
+
+    Works word by word: a word that is only closing signs joins the word before; a pause sign or the end of a
+    sentence inside a word, with a letter after it, opens a new word there.
+    """
+    def spread(word: Column) -> Column:
+        opened = F.regexp_replace(word, rf"([,;:])(\p{{L}})", "$1 $2")
+        return F.regexp_replace(opened, r"(\p{Ll}\p{Ll}[.!?])(\p{Lu}\p{Ll})", "$1 $2")
+
+    def glued(word: Column) -> Column:
+        head = F.left(word, F.lit(1))
+        return F.when(F.lit(CLOSING).contains(head) | (word == "."), word).otherwise(F.concat(F.lit(" "), word))
+
+    parts = F.transform(F.filter(F.split(collapse_repeats(text), " "), lambda w: w != ""), lambda w: glued(spread(w)))
+    shown = F.trim(F.array_join(parts, ""))
+    return F.concat(F.upper(F.left(shown, F.lit(1))), F.substring(shown, 2, 2147483647))
 
 
 # Named entities that pages use most; the ampersand comes last so that
@@ -198,11 +217,11 @@ def html_to_text(html: Column) -> Column:
 REVIEW_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def clean_review(text: Column) -> Column:
-    """Lower case without links, tags, signs and pictographs."""
+def clean_review(text: Column, signs: str = REVIEW_SIGNS) -> Column:
+    """Lower case without links, tags, the given signs and pictographs."""
     t = F.regexp_replace(F.lower(text), r"http\S+", "")
     t = F.regexp_replace(t, r"<[^>]*?>", "")
-    t = F.translate(t, REVIEW_SIGNS, "")
+    t = F.translate(t, signs, "")
     t = squeeze(t)
     return F.trim(F.regexp_replace(t, r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]+", ""))
 
@@ -213,8 +232,16 @@ def first_sentence(text: Column) -> Column:
 
 
 def video_id(url: Column) -> Column:
-    """Eleven-character video id of the usual link forms, or the bare id."""
-    pattern = r"(?:youtu\.be/|youtube\.com/(?:watch\?v=|embed/|shorts/|v/))([A-Za-z0-9_-]{11})"
-    found = F.regexp_extract(F.trim(url), pattern, 1)
-    bare = F.trim(url).rlike(r"^[A-Za-z0-9_-]{11}$")
-    return F.when(found != "", found).when(bare, F.trim(url))
+    """Video id of a link to a video page or its short form, or the bare id: eleven letters, digits, ``_`` or ``-``.
+
+    Short hosts carry the id as the path; video pages carry it in the query or after a folder of the path.
+    """
+    link = F.trim(url)
+    whole = F.when(link.contains("://"), link).otherwise(F.concat(F.lit("https://"), link))
+    host = F.regexp_replace(F.lower(F.try_parse_url(whole, F.lit("HOST"))), r"^(www|m)\.", "")
+    path = F.split(F.try_parse_url(whole, F.lit("PATH")), "/")
+    named = F.when(F.lower(F.get(path, F.lit(1))).isin("embed", "shorts", "v"), F.get(path, F.lit(2)))
+    found = (F.when(host == "youtu.be", F.get(path, F.lit(1)))
+             .when(host == "youtube.com", F.coalesce(F.try_parse_url(whole, F.lit("QUERY"), F.lit("v")), named))
+             .when(~link.contains("/") & ~link.contains("."), link))
+    return F.when(found.rlike(r"^[\w-]{11}$"), found)

@@ -50,28 +50,27 @@ SCHEMA = "query_id long, item_id long, score double"
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
-    """Exact top ``k`` items per query by dot product, ties by item id.
+    """Exact top ``k`` items per query by dot product, ties (to nine places) by item id.
 
     ``vectors(item_id, vector)`` and ``queries(query_id, vector)`` hold unit vectors.
     """
     def keep(qids, iids, scores):
         order = np.argsort(iids, kind="stable")
-        iids, scores = iids[order], np.round(scores[:, order], 9)
+        iids, scores = iids[order], scores[:, order]
         if skip_self:
             scores = np.where(qids[:, None] == iids[None, :], -np.inf, scores)
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        top = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"query_id": np.repeat(qids, top.shape[1]), "item_id": iids[top].ravel(),
                             "score": np.take_along_axis(scores, top, 1).ravel()})
         return out[np.isfinite(out["score"])]
 
     found = _scored_blocks(vectors, queries, keep, SCHEMA)
-    return top_per_group(found, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+    return top_per_group(found, ["query_id"], [F.desc(F.round("score", 9)), F.asc("item_id")], k)
 
 
 def above(vectors: DataFrame, queries: DataFrame, floor: float, skip_self: bool = False) -> DataFrame:
     """All query-item pairs whose dot product reaches ``floor``."""
     def keep(qids, iids, scores):
-        scores = np.round(scores, 9)
         hit = scores >= floor
         if skip_self:
             hit &= qids[:, None] != iids[None, :]

@@ -34,14 +34,18 @@ def resolve_shares(posts: DataFrame, key: str, shared_from: str) -> DataFrame:
 
     Each round doubles the distance covered, so a chain of length n needs about
     log2(n) rounds. Rounds are cut with durable copies and stop when nothing moves.
-    A post whose parent is unknown ends its chain at that parent.
+    A post whose parent is unknown ends its chain at that parent. Posts that share each other in a
+    circle have no origin; they are still moving after enough rounds for any chain, which is an error.
     """
+    rounds = posts.count().bit_length() + 1
     links = posts.select(F.col(key).alias("_id"), F.coalesce(shared_from, key).alias("_up"))
-    while True:
+    for _ in range(rounds):
         step = links.select(F.col("_id").alias("_up"), F.col("_up").alias("_next"))
         moved = durable(links.join(step, "_up", "left").select(
             "_id", F.coalesce("_next", "_up").alias("_up"), (F.col("_next") != F.col("_up")).alias("_moved")))
         links = moved.drop("_moved")
         if moved.filter("_moved").isEmpty():
             break
+    else:
+        raise ValueError("posts share each other in a circle")
     return posts.join(links.select(F.col("_id").alias(key), F.col("_up").alias("origin")), key)

@@ -17,16 +17,18 @@ from pyspark.sql import functions as F
 
 from larkfield.functions import text as tx
 from larkfield.functions.numbers import box_cox
+from larkfield.operators.ranking import group_positions
 from larkfield.session import durable
 
 
-def stratified_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """Add ``part``: a seeded hash sends about ``share`` of every class to training."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000000)) / 1000000
-    return df.withColumn("part", F.when(u < share, "train").otherwise("test"))
+def stratified_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42, label: str = "label") -> DataFrame:
+    """Add ``part``: of every class the ``share`` of rows with the smallest seeded hashes trains, to the row."""
+    drawn = df.withColumn("_draw", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000000)))
+    placed = group_positions(drawn, [label], [F.col("_draw"), F.col(key)], F.floor(F.col("_draw") / 10000), "_pos", "_all")
+    return placed.withColumn("part", F.when(F.col("_pos") <= F.round(F.col("_all") * share), "train").otherwise("test")).drop("_draw", "_pos", "_all")
 
 
-def sentiment_pipeline(vocab_size: int = 15000, reg: float = 0.01, elastic: float = 0.0) -> Pipeline:
+def sentiment_pipeline(vocab_size: int = 1 << 24, reg: float = 0.01, elastic: float = 0.0) -> Pipeline:
     """Term counts, idf weights and a logistic classifier over ``tokens``.
 
     Spark's idf is ``ln((n + 1) / (df + 1))``, one less than the smoothed idf of
@@ -45,7 +47,7 @@ def review_tokens(text: Column) -> Column:
 
 
 def grid_search(train: DataFrame, key: str, costs: Sequence[float], folds: int = 5, seed: int = 42,
-                vocab_size: int = 15000) -> CrossValidatorModel:
+                vocab_size: int = 1 << 24) -> CrossValidatorModel:
     """k-fold search over inverse regularisation and penalty kind by accuracy.
 
     A cost C is ``regParam = 1 / (C * n)``. Folds come from a hash of the key.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,8 +40,8 @@ class Lexicon:
     categories: Sequence[str] = ()
     related: Sequence[tuple[str, str]] = ()
     stop: Sequence[str] = tuple(tx.STOP_WORDS)
-    max_df: float = 0.88
-    max_features: int = 12000
+    max_df: float = 1.0
+    max_features: int | None = None
 
 
 def detect_category(query: Column, lex: Lexicon) -> Column:
@@ -165,15 +165,18 @@ def _bonus(lex: Lexicon) -> Column:
                              tx.words(F.coalesce("hint", F.lit(""))), tx.words(F.col("category")))
 
 
-def signals(items: DataFrame, queries: DataFrame, lex: Lexicon, heads: int) -> DataFrame:
+def signals(items: DataFrame, queries: DataFrame, lex: Lexicon, heads: int, item_type: str | None = None) -> DataFrame:
     """All lexical signals of every pair that has one.
 
     Pairs whose only signal is the category tie in score, so per category only
     the ``heads`` smallest ids can reach a result of ``heads`` rows; adding
     those keeps the ranking exact without pairing queries with whole categories.
+    With ``item_type`` only items of that type are returned, and the heads are
+    taken among them; the text statistics still cover all items.
     """
     hinted = with_hints(queries, lex)
-    first = top_per_group(items.select("item_id", "category"), ["category"], [F.col("item_id")], heads).drop("rank")
+    shown = items if item_type is None else items.filter(F.col("type") == item_type)
+    first = top_per_group(shown.select("item_id", "category"), ["category"], [F.col("item_id")], heads).drop("rank")
     asked = hinted.select("query_id", "hint").filter(F.col("hint").isNotNull())
     linked = asked.select("query_id", F.col("hint").alias("category"))
     for a, b in lex.related:
@@ -184,7 +187,7 @@ def signals(items: DataFrame, queries: DataFrame, lex: Lexicon, heads: int) -> D
     out = tfidf_scores(items, queries, lex).join(bm25_scores(items, queries, lex), key, "full")
     out = out.join(topic_scores(items, queries, lex), key, "full").join(title_scores(items, queries, lex), key, "full")
     out = out.join(by_category.distinct(), key, "full")
-    out = out.join(items.select("item_id", "category", "type"), "item_id").join(
+    out = out.join(shown.select("item_id", "category", "type"), "item_id").join(
         hinted.select("query_id", "hint"), "query_id")
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("tfidf", "bm25", "topic_jaccard", "topic_contain", "title_overlap")}
     return out.withColumns(zero).withColumn("category_bonus", _bonus(lex))
@@ -192,10 +195,8 @@ def signals(items: DataFrame, queries: DataFrame, lex: Lexicon, heads: int) -> D
 
 def lexical_search(items: DataFrame, queries: DataFrame, lex: Lexicon, n: int, item_type: str | None = None) -> DataFrame:
     """Best items per query by the full query-item score; items without any signal are left out."""
-    found = signals(items, queries, lex, n)
-    match = F.lit(0.0)
-    if item_type is not None:
-        found, match = found.filter(F.col("type") == item_type), F.lit(1.0)
+    found = signals(items, queries, lex, n, item_type)
+    match = F.lit(0.0 if item_type is None else 1.0)
     scored = found.withColumns({"category_signal": F.col("category_bonus"), "type_match": match})
     weights = {("category_signal" if k == "category" else k): w for k, w in nm.QUERY_ITEM_WEIGHTS.items()}
     return top_n(scored.withColumn("score", nm.weighted(weights)), n)
@@ -290,30 +291,33 @@ def rerank_pool(ranked: DataFrame, queries: DataFrame, texts: DataFrame, pool: i
 
 # ------------------------------------------------------------- staged ranking
 
+ALL_SIGNALS = frozenset({"category", "topic", "title"})
+
+
 @dataclass(frozen=True)
-class Stages:
-    """Which steps a ranking uses."""
+class Candidates:
+    """Where a ranking starts: a channel, or a fusion of query forms, and how many rows it hands on."""
 
-    source: str = "embedding"
-    signals: frozenset = field(default_factory=frozenset)
-    rerank: bool = False
-    diversify: bool = False
-    candidates: int = 600
-    pool: int = 48
-    mmr_k: int = 10
-    mmr_lambda: float = 0.7
+    channel: str
+    most: int = 600
 
 
-ALL_SIGNALS = frozenset({"category", "topic", "title"})
-ABLATIONS = {
-    "tfidf": Stages("tfidf"),
-    "bm25": Stages("bm25"),
-    "lexical": Stages("lexical"),
-    "embedding": Stages("embedding"),
-    "signals": Stages("embedding", ALL_SIGNALS),
-    "rerank": Stages("embedding", ALL_SIGNALS, rerank=True),
-    "full": Stages("rag_fusion", ALL_SIGNALS, rerank=True, diversify=True),
-}
+@dataclass(frozen=True)
+class Diversify:
+    """Greedy choice of ``k`` rows that trades score against likeness to those chosen."""
+
+    k: int = 10
+    weight: float = 0.7
+
+
+@dataclass(frozen=True)
+class Ranking:
+    """Steps of one staged ranking; a step that is None or empty is left out."""
+
+    candidates: Candidates
+    signals: frozenset = frozenset()
+    rerank_pool: int | None = None
+    diversify: Diversify | None = None
 
 
 def first_signals(candidates: DataFrame, items: DataFrame, queries: DataFrame, lex: Lexicon,
@@ -340,7 +344,17 @@ def first_signals(candidates: DataFrame, items: DataFrame, queries: DataFrame, l
     return out.withColumn("_total", total).select("query_id", "item_id", F.col("_total").alias("score"))
 
 
-def staged_ranking(stages: Stages, items: DataFrame, queries: DataFrame, lex: Lexicon,
+def diversified(ranked: DataFrame, vectors: DataFrame, how: Diversify, size: int) -> DataFrame:
+    """The first ``size`` rows diversified; rows that were not chosen or have no vector follow in their order."""
+    head = durable(mmr(ranked.filter(F.col("rank") <= size).join(vectors, "item_id"), how.k, how.weight))
+    lost = ranked.join(head.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    both = head.withColumn("stage", F.lit(0)).unionByName(
+        lost.select("query_id", "item_id", "score", "rank", F.lit(1).alias("stage")))
+    w = Window.partitionBy("query_id").orderBy("stage", "rank")
+    return both.withColumn("rank", F.row_number().over(w)).drop("stage")
+
+
+def staged_ranking(plan: Ranking, items: DataFrame, queries: DataFrame, lex: Lexicon,
                    dense: Callable[[DataFrame], DataFrame], vectors: DataFrame, n: int,
                    ready: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Candidates, cheap signals, pool re-ranking, diversification: ``query_id, item_id, score, rank``.
@@ -354,52 +368,46 @@ def staged_ranking(stages: Stages, items: DataFrame, queries: DataFrame, lex: Le
     def channel(name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return ready[name] if name in ready else build()
 
-    if stages.source == "rag_fusion":
+    if plan.candidates.channel == "rag_fusion":
         variants = query_variants(queries)
         per_variant = top_per_group(
             dense(variants.withColumnRenamed("query_id", "origin").withColumnRenamed("variant_id", "query_id")),
-            ["query_id"], by_score(), stages.candidates)
+            ["query_id"], by_score(), plan.candidates.most)
         back = per_variant.join(variants.select(F.col("variant_id").alias("query_id"),
                                                 F.col("query_id").alias("origin")), "query_id")
         base = reciprocal_rank_fusion(back.select(F.col("origin").alias("query_id"), "item_id", "rank"))
-    elif stages.source == "embedding":
+    elif plan.candidates.channel == "embedding":
         base = channel("embedding", lambda: dense(queries))
     else:
-        tfidf = channel("tfidf", lambda: tfidf_scores(items, queries, lex)) if stages.source != "bm25" else None
-        bm = channel("bm25", lambda: bm25_scores(items, queries, lex)) if stages.source != "tfidf" else None
-        if stages.source == "tfidf":
+        tfidf = channel("tfidf", lambda: tfidf_scores(items, queries, lex)) if plan.candidates.channel != "bm25" else None
+        bm = channel("bm25", lambda: bm25_scores(items, queries, lex)) if plan.candidates.channel != "tfidf" else None
+        if plan.candidates.channel == "tfidf":
             base = tfidf.withColumnRenamed("tfidf", "score")
-        elif stages.source == "bm25":
+        elif plan.candidates.channel == "bm25":
             base = bm.withColumnRenamed("bm25", "score")
-        elif stages.source == "lexical":
+        elif plan.candidates.channel == "lexical":
             w = nm.QUERY_ITEM_WEIGHTS
             both = tfidf.join(bm, ["query_id", "item_id"], "full")
             base = both.select("query_id", "item_id", (
                 (w["tfidf"] * F.coalesce("tfidf", F.lit(0.0)) + w["bm25"] * F.coalesce("bm25", F.lit(0.0)))
                 / (w["tfidf"] + w["bm25"])).alias("score"))
         else:
-            raise ValueError(f"unknown source {stages.source}")
+            raise ValueError(f"unknown source {plan.candidates.channel}")
     # Every later step reads the ranking more than once; it is bounded by
     # queries x candidates, so it is written between steps.
-    ranked = durable(top_n(base, stages.candidates))
-    if stages.signals:
-        start = ranked if stages.source != "rag_fusion" else ranked.withColumn("score", F.lit(0.0))
-        ranked = top_n(first_signals(start.drop("rank"), items, queries, lex, stages.signals, ready), stages.candidates)
-        ranked = durable(ranked) if stages.rerank or stages.diversify else ranked
-    if stages.rerank:
+    ranked = durable(top_n(base, plan.candidates.most))
+    if plan.signals:
+        start = ranked if plan.candidates.channel != "rag_fusion" else ranked.withColumn("score", F.lit(0.0))
+        ranked = top_n(first_signals(start.drop("rank"), items, queries, lex, plan.signals, ready), plan.candidates.most)
+        ranked = durable(ranked) if plan.rerank_pool or plan.diversify else ranked
+    if plan.rerank_pool:
         texts = items.select("item_id", F.concat_ws(". ", "title", "category", F.array_join("topics", ", "), "description")
                              .alias("text"))
-        ranked = rerank_pool(ranked, queries, texts, stages.pool).select("query_id", "item_id", "score", "rank")
-        ranked = durable(ranked) if stages.diversify else ranked
-    if stages.diversify:
-        size = max(stages.pool, stages.mmr_k * 3)
-        head = durable(mmr(ranked.filter(F.col("rank") <= size).join(vectors, "item_id"), stages.mmr_k, stages.mmr_lambda))
-        # Items without a vector cannot be compared; they follow the diversified ones.
-        lost = ranked.join(head.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-        both = head.withColumn("stage", F.lit(0)).unionByName(
-            lost.select("query_id", "item_id", "score", "rank", F.lit(1).alias("stage")))
-        w = Window.partitionBy("query_id").orderBy("stage", "rank")
-        ranked = both.withColumn("rank", F.row_number().over(w)).drop("stage")
+        ranked = rerank_pool(ranked, queries, texts, plan.rerank_pool).select("query_id", "item_id", "score", "rank")
+        ranked = durable(ranked) if plan.diversify else ranked
+    if plan.diversify:
+        size = max(plan.rerank_pool or 0, plan.diversify.k * 3)
+        ranked = diversified(ranked, vectors, plan.diversify, size)
     return ranked.filter(F.col("rank") <= n)
 
 

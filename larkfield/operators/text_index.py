@@ -48,7 +48,7 @@ def row_total(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("v")).scalar()
 
 
-def vocabulary(terms: DataFrame, n_docs: Column, max_df: float = 0.88, max_features: int | None = 12000) -> DataFrame:
+def vocabulary(terms: DataFrame, n_docs: Column, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
     """Terms with document frequency, corpus count and smoothed idf.
 
     Terms in more than ``max_df`` of the documents are dropped, then the most

@@ -25,7 +25,7 @@ def reviews(t: Tables) -> DataFrame:
 def sentiment(t: Tables) -> DataFrame:
     """Train on four fifths, report accuracy and class measures on the rest."""
     rows = reviews(t)
-    model = learn.sentiment_pipeline().fit(rows.filter("part = 'train'"))
+    model = learn.sentiment_pipeline(vocab_size=15000).fit(rows.filter("part = 'train'"))
     test = learn.predict(model, rows.filter("part = 'test'")).select(F.col("label").cast("int").alias("actual"), "predicted")
     report = ev.class_report(test, "predicted", "actual")
     return report.select("label", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
@@ -34,7 +34,7 @@ def sentiment(t: Tables) -> DataFrame:
 @query("l2_grid_search")
 def grid_search(t: Tables) -> DataFrame:
     """Mean accuracy of every parameter pair over five folds."""
-    model = learn.grid_search(reviews(t).filter("part = 'train'"), "doc_id", [0.1, 1.0])
+    model = learn.grid_search(reviews(t).filter("part = 'train'"), "doc_id", [0.1, 1.0], vocab_size=15000)
     cells = [(float(list(m.values())[0]), float(list(m.values())[1]), float(a)) for m, a in
              zip(model.getEstimatorParamMaps(), model.avgMetrics)]
     return t.spark.createDataFrame(cells, "reg double, elastic double, accuracy double")
@@ -43,7 +43,7 @@ def grid_search(t: Tables) -> DataFrame:
 @query("l4_batch_prediction")
 def batch_prediction(t: Tables) -> DataFrame:
     """Every document scored with its label and probability."""
-    model = learn.sentiment_pipeline().fit(reviews(t).filter("part = 'train'"))
+    model = learn.sentiment_pipeline(vocab_size=15000).fit(reviews(t).filter("part = 'train'"))
     rows = t.documents.select("doc_id", learn.review_tokens(F.col("text")).alias("tokens"))
     return learn.predict(model, rows).select("doc_id", "predicted", F.round("confidence", 6).alias("confidence"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkfield.functions import text as tx
 from larkfield.operators import query_text as qt
 from larkfield.operators import skills as sk
-from larkfield.operators.ranking import top_per_group
+from larkfield.operators.ranking import group_positions
 from larkfield.plans.registry import Tables, query
 from larkfield.plans.text import bare_sql, norm_sql, tokens_sql, words_sql
 
@@ -187,7 +187,7 @@ def _bought(t: Tables) -> DataFrame:
 def _roadmap(t: Tables) -> DataFrame:
     """Brands of a part type, most frequent first, as the roadmap of a role."""
     counts = t.part.groupBy(F.col("p_type").alias("role"), F.col("p_brand").alias("skill")).agg(F.count(F.lit(1)).alias("n"))
-    return top_per_group(counts, ["role"], [F.desc("n"), F.col("skill")], 1000, "ord").select("role", "skill", "ord")
+    return group_positions(counts, ["role"], [F.desc("n"), F.col("skill")], -F.col("n"), "ord").select("role", "skill", F.col("ord").cast("int").alias("ord"))
 
 
 @query("p1_skill_gap", f"""WITH {ROLE_SQL}

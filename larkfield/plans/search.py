@@ -18,7 +18,7 @@ from larkfield.session import durable
 LEXICON = search.Lexicon(
     phrases=(("of the", "en"), ("the", "en"), ("und", "de"), ("der", "de"), ("les", "fr"), ("dans", "fr"),
              ("los", "es"), ("de la", "es")),
-    categories=("en", "de", "fr", "es"), related=(("fr", "es"),))
+    categories=("en", "de", "fr", "es"), related=(("fr", "es"),), max_df=0.88, max_features=12000)
 
 
 def items(t: Tables) -> DataFrame:
@@ -127,7 +127,7 @@ def shown(df: DataFrame, score: str = "score") -> DataFrame:
 def tfidf_vocabulary(t: Tables) -> DataFrame:
     c = items(t)
     terms = durable(search.field_terms(c, ["full"], LEXICON).drop("field"))
-    return ti.vocabulary(terms, ti.row_total(c)).withColumn("idf", F.round("idf", 9))
+    return ti.vocabulary(terms, ti.row_total(c), LEXICON.max_df, LEXICON.max_features).withColumn("idf", F.round("idf", 9))
 
 
 @query("i1_tfidf_title_weights", f"WITH {ITEMS_SQL}, {gram_counts('g', 'item_id', field_sql('title'))}, {vocab_sql('v', 'g')}, "
@@ -135,7 +135,7 @@ def tfidf_vocabulary(t: Tables) -> DataFrame:
 def tfidf_title_weights(t: Tables) -> DataFrame:
     c = items(t)
     terms = durable(search.field_terms(c, ["title"], LEXICON).drop("field"))
-    return ti.tfidf(terms, "item_id", ti.vocabulary(terms, ti.row_total(c))).withColumn("weight", F.round("weight", 9))
+    return ti.tfidf(terms, "item_id", ti.vocabulary(terms, ti.row_total(c), LEXICON.max_df, LEXICON.max_features)).withColumn("weight", F.round("weight", 9))
 
 
 @query("i2_multi_field_cosine", f"WITH {ITEMS_SQL}, {tfidf_sql()} {top_sql('tfidf', 'tfidf', 10)}")
@@ -212,28 +212,7 @@ def lexical_search(t: Tables) -> DataFrame:
                      + 0.05 * tit + 0.03) AS score FROM pairs WHERE type = 'src3' AND tfidf + bm25 + cat + jac + con + tit > 0)
     {top_sql('one', 'score', 5)}""")
 def lexical_search_one_type(t: Tables) -> DataFrame:
-    """Type filter; candidates by category alone are taken inside the type."""
-    only = items(t).filter("type = 'src3'")
-    found = search.signals(items(t), queries(t), LEXICON, 5).filter("type = 'src3'")
-    heads = _category_only(only, queries(t), 5)
-    key = ["query_id", "item_id"]
-    missing = heads.join(found.select(*key), key, "left_anti")
-    both = found.select(*key, "tfidf", "bm25", "category_bonus", "topic_jaccard", "topic_contain", "title_overlap").unionByName(
-        missing, allowMissingColumns=True).withColumn("type_match", F.lit(1.0))
-    weights = {("category_bonus" if k == "category" else k): w for k, w in nm.QUERY_ITEM_WEIGHTS.items()}
-    return shown(search.top_n(both.withColumn("score", nm.weighted(weights)), 5))
-
-
-def _category_only(pool: DataFrame, asked: DataFrame, n: int) -> DataFrame:
-    """The first ids of each category a query points to, with the category signal alone."""
-    first = top_per_group(pool.select("item_id", "category"), ["category"], [F.col("item_id")], n)
-    hinted = search.with_hints(asked, LEXICON).filter("hint IS NOT NULL")
-    links = hinted.select("query_id", F.col("hint").alias("category"), F.lit(1.0).alias("category_bonus"))
-    for a, b in LEXICON.related:
-        for x, y in ((a, b), (b, a)):
-            links = links.unionByName(hinted.filter(F.col("hint") == x).select(
-                "query_id", F.lit(y).alias("category"), F.lit(0.55).alias("category_bonus")))
-    return links.join(first, "category").select("query_id", "item_id", "category_bonus")
+    return shown(search.lexical_search(items(t), queries(t), LEXICON, 5, "src3"))
 
 
 @query("h4_9_query_item_score", f"""WITH {ITEMS_SQL}, {PAIRS_SQL}
@@ -299,9 +278,9 @@ def ranked_pages(t: Tables) -> DataFrame:
 # ------------------------------------------------------------- dense channel
 
 DOT = "list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
-KNN_SQL = f"""knn AS MATERIALIZED (SELECT q.vec_id AS query_id, v.vec_id AS item_id, round({DOT}, 9) AS score
+KNN_SQL = f"""knn AS MATERIALIZED (SELECT q.vec_id AS query_id, v.vec_id AS item_id, {DOT} AS score
     FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id)
-, top10 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM knn
+, top10 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM knn
     QUALIFY rank <= 10)"""
 
 
@@ -363,7 +342,7 @@ def sigmoid_softmax(t: Tables) -> DataFrame:
                                   F.round(nm.softmax(F.col("score"), ["query_id"]), 6).alias("share"))
 
 
-BENCH_DENSE = f"""dense AS MATERIALIZED (SELECT q.vec_id AS query_id, v.vec_id AS item_id, round({DOT}, 9) AS dense
+BENCH_DENSE = f"""dense AS MATERIALIZED (SELECT q.vec_id AS query_id, v.vec_id AS item_id, {DOT} AS dense
     FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id IN (SELECT query_id FROM queries) AND {DOT} >= 0.25)"""
 
 
@@ -404,13 +383,15 @@ def dense_search(t: Tables) -> DataFrame:
 
 @query("i13_multi_variant_search")
 def multi_variant_search(t: Tables) -> DataFrame:
-    """Query forms searched on their own, fused by rank, diversified."""
+    """Query forms searched on their own, fused by rank, diversified; the gate looks at the query as it was asked."""
     asked = search.query_variants(queries(t)).withColumnRenamed("query_id", "origin").withColumnRenamed("variant_id", "query_id")
-    lists = top_per_group(search.gated(fused(t, asked)), ["query_id"], search.by_score(), 32)
+    passed = search.gated(fused(t, queries(t))).select(F.col("query_id").alias("origin")).distinct()
+    asked = durable(asked.join(passed, "origin", "left_semi"))
+    lists = top_per_group(fused(t, asked), ["query_id"], search.by_score(), 32)
     back = lists.join(asked.select("query_id", "origin"), "query_id").select(
         F.col("origin").alias("query_id"), "item_id", "rank")
-    pool = search.top_n(search.reciprocal_rank_fusion(back), 32)
-    return shown(search.mmr(pool.join(vectors(t), "item_id"), 8))
+    pool = durable(search.top_n(search.reciprocal_rank_fusion(back), 32))
+    return shown(search.diversified(pool, vectors(t), search.Diversify(k=8), 32).filter("rank <= 8"))
 
 
 @query("i14_mmr")
@@ -419,6 +400,17 @@ def mmr(t: Tables) -> DataFrame:
     return shown(search.mmr(pool.join(vectors(t), "item_id"), 10))
 
 
+RANKINGS = {
+    "words": search.Ranking(search.Candidates("lexical")),
+    "weights": search.Ranking(search.Candidates("tfidf")),
+    "lengths": search.Ranking(search.Candidates("bm25")),
+    "vectors": search.Ranking(search.Candidates("embedding")),
+    "topics": search.Ranking(search.Candidates("embedding"), frozenset({"topic"})),
+    "hints": search.Ranking(search.Candidates("embedding"), frozenset({"category", "title"}), rerank_pool=48),
+    "forms": search.Ranking(search.Candidates("rag_fusion"), search.ALL_SIGNALS, 48, search.Diversify()),
+}
+
+
 @query("i15_staged_ranking")
 def staged_ranking(t: Tables) -> DataFrame:
     """All named configurations of the staged ranking, ten results each."""
@@ -427,8 +419,8 @@ def staged_ranking(t: Tables) -> DataFrame:
         ("tfidf", search.tfidf_scores(c, q, LEXICON)), ("bm25", search.bm25_scores(c, q, LEXICON)),
         ("topic", search.topic_scores(c, q, LEXICON)), ("title", search.title_scores(c, q, LEXICON)), ("embedding", fused(t, q)))}
     out = None
-    for name, stages in search.ABLATIONS.items():
-        one = search.staged_ranking(stages, c, q, LEXICON, lambda x: fused(t, x), vectors(t), 10, ready)
+    for name, plan in RANKINGS.items():
+        one = search.staged_ranking(plan, c, q, LEXICON, lambda x: fused(t, x), vectors(t), 10, ready)
         one = shown(one).select(F.lit(name).alias("config"), "query_id", "item_id", "score", "rank")
         out = one if out is None else out.unionByName(one)
     return out

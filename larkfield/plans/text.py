@@ -123,8 +123,11 @@ def item_document(t: Tables) -> DataFrame:
 
 @query("h1_11_squeeze_and_ids", """
     SELECT page_id, left(trim(regexp_replace(html, '\\s+', ' ', 'g')), 3000) AS excerpt,
-           nullif(regexp_extract(url, '(?:youtu\\.be/|youtube\\.com/(?:watch\\?v=|embed/|shorts/|v/))([A-Za-z0-9_-]{11})', 1), '')
-           AS video_id FROM pages""")
+           CASE WHEN regexp_full_match(coalesce(CASE WHEN host IN ('youtu.be', 'www.youtu.be') THEN folder
+                                                     WHEN host IN ('youtube.com', 'www.youtube.com', 'm.youtube.com') THEN asked END, ''), '[A-Za-z0-9_-]{11}')
+                THEN CASE WHEN host LIKE '%youtu.be' THEN folder ELSE asked END END AS video_id
+    FROM (SELECT page_id, html, lower(split_part(split_part(url, '://', 2), '/', 1)) AS host,
+                 split_part(split_part(split_part(url, '://', 2), '/', 2), '?', 1) AS folder, split_part(split_part(url, 'v=', 2), '&', 1) AS asked FROM pages)""")
 def squeeze_and_ids(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.left(tx.squeeze(F.col("html")), F.lit(3000)).alias("excerpt"),
                           tx.video_id(F.col("url")).alias("video_id"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,18 +60,19 @@ def after_of(value: Column) -> Column:
     return F.get_json_object(value, "$.payload.after")
 
 
+#: Column type per kind of JSON value; all other kinds are kept as text.
+VARIANT_KINDS = {"bigint": "bigint", "decimal": "double", "double": "double", "float": "double", "boolean": "boolean"}
+
+
 def inferred_types(rows: DataFrame, json: str) -> dict[str, str]:
-    """Column types of flat JSON objects, found by one distributed aggregate.
+    """Types of the top columns of JSON objects, found by one distributed aggregate; nested values are text.
 
-    Only the schema text, one row, comes to the driver.
+    Names and kinds are read from the objects themselves: a row per column name and value, counted by name.
+    One row per column comes to the driver.
     """
-    text = rows.agg(F.schema_of_variant_agg(F.parse_json(json)).alias("s")).first()["s"]
-    out: dict[str, str] = {}
-    for name, kind in re.findall(r"[<,]\s*`?([\w]+)`?:\s*([A-Z]+(?:\(\d+,\s*\d+\))?)", text or ""):
-        base = kind.split("(")[0].lower()
-        out[name] = {"bigint": "bigint", "decimal": "double", "double": "double", "float": "double",
-                     "boolean": "boolean"}.get(base, "string")
-    return out
+    found = rows.select(F.expr(f"variant_get(parse_json(`{json}`), '$', 'map<string, variant>')").alias("o"))
+    kinds = found.select(F.explode("o").alias("name", "value")).groupBy("name").agg(F.schema_of_variant_agg("value").alias("kind"))
+    return {r.name: VARIANT_KINDS.get(r.kind.split("(")[0].lower(), "string") for r in kinds.orderBy("name").collect()}
 
 
 class TypedTables:
