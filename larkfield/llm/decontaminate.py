@@ -29,7 +29,7 @@ RANK = 256
 STEP = 8
 SCALES = (24, 32, 48, 64, 96)
 PASSAGE, PASSAGE_STEP = 64, 32
-CHUNK = 4 << 20
+CHUNK, TOGETHER = 4 << 20, 1 << 16
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -40,9 +40,38 @@ class Words:
     """The words of a text: runs of ASCII letters, digits and non-ASCII characters, in lower case, with their hashes."""
 
     def __init__(self, text: str | None):
-        self.data = (text or "").lower().encode("utf-8")
+        self._set((text or "").lower().encode("utf-8"))
+
+    def _set(self, data: bytes) -> None:
+        self.data = data
         parts = [self._read(low, high) for low, high in self._chunks()]
-        self.starts, self.ends, self.hashes = (np.concatenate(x) for x in zip(*parts))
+        self.starts, self.ends, self.hashes = (np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+
+    @classmethod
+    def of_many(cls, texts: Iterator[str | None]) -> Iterator[Words]:
+        """One object per text; short texts are read together, which saves most of the calls."""
+        group, size = [], 0
+        for text in texts:
+            group.append((text or "").lower().encode("utf-8"))
+            size += len(group[-1])
+            if size >= TOGETHER:
+                yield from cls._split(group)
+                group, size = [], 0
+        yield from cls._split(group)
+
+    @classmethod
+    def _split(cls, group: list[bytes]) -> Iterator[Words]:
+        if not group:
+            return
+        whole = cls.__new__(cls)
+        whole._set(b"\n".join(group))
+        ends = np.cumsum([len(g) + 1 for g in group])
+        cuts = [0, *np.searchsorted(whole.starts, ends).tolist()]
+        for low, high in zip(cuts, cuts[1:]):
+            own = cls.__new__(cls)
+            own.data = whole.data
+            own.starts, own.ends, own.hashes = (x[low:high] for x in (whole.starts, whole.ends, whole.hashes))
+            yield own
 
     def __len__(self) -> int:
         return len(self.hashes)
@@ -108,8 +137,8 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """Per task: in how many documents each bucket occurs; bucket -1 counts the documents."""
     sums, total = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
-        for text in batch.column(0):
-            sums[np.unique(bucket_of(Words(text.as_py()).hashes))] += 1
+        for words in Words.of_many(t.as_py() for t in batch.column(0)):
+            sums[np.unique(bucket_of(words.hashes))] += 1
         total += batch.num_rows
     some = np.flatnonzero(sums)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(sums[some], total))], ["bucket", "n"])
@@ -200,6 +229,7 @@ def _search(index: dict, least_cosine: float, share: float, share_without_answer
     terms, bucket_idf, factors, vectors = (index[k] for k in ("terms", "bucket_idf", "factors", "vectors"))
     items, parts, texts, answers = (index[k] for k in ("items", "parts", "texts", "answers"))
     sizes = np.array([len(t) for t in texts])
+    most = index["most"]
     members = np.zeros((len(texts), len(terms)), bool)
     for i, words in enumerate(texts):
         members[i, terms.of(Words(b" ".join(words).decode("utf-8")).hashes)] = True
@@ -210,13 +240,18 @@ def _search(index: dict, least_cosine: float, share: float, share_without_answer
         weight = bucket_idf[bucket_of(words.hashes)].astype(np.float64)
         squares = weight ** 2
         n = len(words)
-        inside, whole = (np.append(0, np.cumsum(x)) for x in (np.where(known, squares, 0), squares))
+        top = np.where(known, weight * most[own], 0)
+        inside, whole, reach = (np.append(0, np.cumsum(x)) for x in (np.where(known, squares, 0), squares, top))
         lows, highs = [], []
         for scale in SCALES:
-            low = np.arange(0, max(n - scale, 0) + STEP, STEP) if n > scale else np.zeros(1, np.int64)
+            step = STEP if scale < 64 else 2 * STEP
+            low = np.arange(0, max(n - scale, 0) + step, step) if n > scale else np.zeros(1, np.int64)
             high = np.minimum(low + scale, n)
-            # A word that comes again counts again in both sums; the true length of the window is no smaller.
-            good = inside[high] - inside[low] >= least_cosine ** 2 * (whole[high] - whole[low])
+            # No cosine is above either bound: the share of the window's length in the vocabulary, or the sum with the
+            # largest weight each word has in any passage. A word that comes again counts again in
+            # the sums; the true length of the window is no smaller.
+            square = whole[high] - whole[low]
+            good = (inside[high] - inside[low] >= least_cosine ** 2 * square) & (reach[high] - reach[low] >= least_cosine * np.sqrt(square))
             lows.append(low[good])
             highs.append(high[good])
             if n <= scale:
@@ -253,8 +288,7 @@ def _search(index: dict, least_cosine: float, share: float, share_without_answer
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row, text in enumerate(batch.column(1)):
-                words = Words(text.as_py())
+            for row, words in enumerate(Words.of_many(t.as_py() for t in batch.column(1))):
                 if not len(words):
                     continue
                 best: dict[int, tuple] = {}
@@ -319,13 +353,14 @@ def leaked_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
             continue
         terms = Vocabulary(np.concatenate([Words(w).hashes for w in lists]))
         idf = bucket_idf[bucket_of(terms.hashes)].astype(np.float64)
-        factors = randomised_factors(own, terms, idf, rank)
-        vectors = np.zeros((len(lists), factors.shape[1]), np.float32)
+        factors = randomised_factors(own, terms, idf, min(rank, len(lists)))
+        vectors, most = np.zeros((len(lists), factors.shape[1]), np.float32), np.zeros(len(terms))
         for i, words in enumerate(lists):
             at, weights = passage_vector(words, terms, idf)
             vectors[i] = weights @ factors[at]
+            most[at] = np.maximum(most[at], weights)
         answers = [(w.at(0, len(w)) or None) for w in map(Words, rows.column("answer").to_pylist())]
-        index = {"terms": terms, "bucket_idf": bucket_idf, "factors": factors, "vectors": vectors,
+        index = {"terms": terms, "bucket_idf": bucket_idf, "factors": factors, "vectors": vectors, "most": most,
                  "items": rows.column("item").to_pylist(), "item_type": rows.schema.field("item").type, "parts": rows.column("part").to_pylist(),
                  "texts": [w.encode("utf-8").split(b" ") for w in lists], "answers": answers}
         out = out.unionByName(texts.mapInArrow(_search(index, least_cosine, share, share_without_answer), shape)) if block else \

@@ -14,7 +14,7 @@ from larkfield.operators import evaluation as ev
 from larkfield.operators import query_text as qt
 from larkfield.operators import text_index as ti
 from larkfield.operators.judgments import random_unlisted, seeded
-from larkfield.operators.ranking import top_per_group
+from larkfield.operators.ranking import keep_first, top_per_group
 from larkfield.plans.evaluation import same_label
 from larkfield.plans.registry import Tables, query
 from larkfield.plans.search import (BM25_SQL, ITEMS_SQL, LEXICON, PAIRS_SQL, QUERY_GRAMS, field_sql, gram_counts, items, queries,
@@ -169,15 +169,16 @@ def learning_path(t: Tables) -> DataFrame:
 @query("p3_stage_resources")
 def stage_resources(t: Tables) -> DataFrame:
     """Documents for the stages of a plan: clause by clause search with a word in common."""
-    stages = t.benchmark.select("item_id", F.posexplode(F.split("text", r"\.\s+")).alias("stage", "query")).filter(F.length("query") > 3)
-    asked = stages.select((F.col("item_id") * 1000 + F.col("stage")).alias("query_id"), "item_id", "stage", "query")
+    stages = t.benchmark.select("item_id", F.posexplode(F.split("text", r"\.\s+")).alias("stage", "query")).filter(F.trim("query") != "")
+    # Stages of one plan are neighbours below the plan's number; 2^20 leaves room for more than any text has.
+    asked = stages.select((F.col("item_id") * (1 << 20) + F.col("stage")).alias("query_id"), "item_id", "stage", "query")
     found = search.top_n(search.bm25_scores(items(t), asked, LEXICON).withColumnRenamed("bm25", "score"), 8)
     text = tx.strip_accents(F.concat_ws(" ", "title", F.array_join("topics", " "), "description"))
     c = found.join(asked.withColumnRenamed("item_id", "plan"), "query_id").join(items(t), "item_id").withColumns({
         "_h": text, "_w": F.filter(qt.bare_words(F.col("query")), lambda w: F.length(w) >= 3)})
     kept = c.filter(F.exists("_w", lambda w: F.contains(F.col("_h"), w)))
     out = top_per_group(kept.drop("rank"), ["query_id"], search.by_score(), 3)
-    return out.select("plan", "stage", "item_id", "rank").dropDuplicates(["plan", "item_id"])
+    return keep_first(out.select("plan", "stage", "item_id", "rank"), ["plan", "item_id"], [F.col("stage"), F.col("rank")])
 
 
 # ------------------------------------------------------------ learned ranking

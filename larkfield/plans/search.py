@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkfield.functions import numbers as nm
 from larkfield.functions import text as tx
-from larkfield.operators import dense, search
+from larkfield.operators import dense, encode, search
 from larkfield.operators import text_index as ti
 from larkfield.operators.ranking import top_per_group
 from larkfield.plans.registry import Tables, query
@@ -369,6 +369,21 @@ def max_fusion(t: Tables) -> DataFrame:
     return shown(search.top_n(fused(t, queries(t)), 10))
 
 
+VOWELS = "aeiou"
+
+
+@query("o5_encoder_hook", f"""WITH counts AS (SELECT doc_id, list_transform(string_split('{' '.join(VOWELS)}', ' '),
+        lambda c: length('note: ' || lower(text)) - length(replace('note: ' || lower(text), c, '')))::DOUBLE[] AS v FROM documents)
+    SELECT doc_id, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS vector FROM counts""")
+def encoder_hook(t: Tables) -> DataFrame:
+    """A toy encoder (vowels of the text) with a passage prefix, for the hook that takes any batch encoder."""
+    def vowels(texts):
+        return [[text.lower().count(c) for c in VOWELS] for text in texts]
+
+    out = encode.encode(t.documents, "doc_id", "text", vowels, encode.Preset(passage="note: ").passage)
+    return out.withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
+
+
 @query("i11_dense_search", f"""WITH {ITEMS_SQL}, {FUSED_SQL}
     , passed AS (SELECT * FROM fused WHERE score >= 0.42 AND query_id IN (
         SELECT query_id FROM fused GROUP BY 1 HAVING max(score) >= 0.48))
