@@ -126,7 +126,7 @@ def op4_wrapper_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def op5_sparse_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = repeated_passages(_table(spark, folder, "documents"))
-    return found.select("doc_id", "spans", F.size("spans").alias("n_spans"), F.length("rest").cast("bigint").alias("rest_chars"))
+    return found.select("doc_id", "spans", F.size("spans").alias("n_spans"), F.length("rest").cast("bigint").alias("rest_chars"), "kept_in")
 
 
 @_query()

@@ -139,7 +139,7 @@ def _spans(length: int):
 
 
 def _repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int, window: int) -> tuple[DataFrame, DataFrame]:
-    """``doc, text`` of rows with an id, and ``doc, mark, starts``: first words of repeated passages.
+    """``doc, text`` of rows with an id, and ``doc, mark, starts, heads``: first words of repeated passages, and their keepers.
 
     ``mark`` tells apart the texts of rows that repeat an id.
     """
@@ -154,24 +154,34 @@ def _repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int, w
         _passages(length, window), f"doc {kind}, mark long, key long, start int"), "passages")
     scratch.drop("suffixes", "known")
     heads = passages.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").select("key", "head")
-    starts = scratch.keep(passages.join(heads, "key").where("doc > head").groupBy("doc", "mark").agg(F.collect_set("start").alias("starts")), "starts")
+    starts = scratch.keep(passages.join(heads, "key").where("doc > head").groupBy("doc", "mark").agg(
+        F.collect_set("start").alias("starts"), F.sort_array(F.collect_set("head")).alias("heads")), "starts")
     scratch.drop("passages")
     return texts, starts
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                       window: int = WINDOW) -> DataFrame:
-    """``doc, text, spans, rest`` of the documents that repeat passages of documents with smaller ids.
+    """``<id>, text, spans, rest, kept_in`` of the documents that repeat passages of documents with smaller ids.
 
     A span covers every passage of at least ``length`` words (between ASCII blanks, A-Z read as a-z) that the document
     with the smallest id among its holders keeps and this one repeats; ``rest`` is the text without
-    its spans. Null ids, null and short texts repeat nothing. Rows that repeat an id count as one
-    document and don't repeat each other; they get one row each. Other columns are ignored.
+    its spans and ``kept_in`` lists the documents that keep them. Null ids, null and short texts repeat nothing. Rows
+    that repeat an id count as one document and don't repeat each other; they get one row each. Other columns
+    are ignored.
     """
     texts, starts = _repeated_starts(docs, id_col, text_col, length, window)
     kind = texts.schema["doc"].dataType.simpleString()
-    shape = (f"doc {kind}, text string, spans array<struct<first_word: int, last_word: int, start: int, end: int>>, rest string")
-    return texts.join(starts, ["doc", "mark"]).select("doc", "text", "starts").mapInArrow(_spans(length), shape).withColumnRenamed("doc", id_col)
+    spans = _spans(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out in spans(iter([batch])):
+                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(3)], [*out.schema.names, "kept_in"])
+
+    shape = (f"doc {kind}, text string, spans array<struct<first_word: int, last_word: int, start: int, end: int>>, rest string, "
+             f"kept_in array<{kind}>")
+    return texts.join(starts, ["doc", "mark"]).select("doc", "text", "starts", "heads").mapInArrow(run, shape).withColumnRenamed("doc", id_col)
 
 
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW) -> DataFrame:

@@ -119,6 +119,8 @@ def test_repeated_passages_equal_brute_force(spark):
     rows = repeats_corpus()
     got = {r.doc_id: {w for s in r.spans for w in range(s.first_word, s.last_word + 1)} for r in suffixes.repeated_passages(documents(spark, rows)).collect()}
     assert got == brute_repeats(rows, 50)
+    out = suffixes.repeated_passages(documents(spark, rows)).collect()
+    assert all(r.kept_in and max(r.kept_in) < r.doc_id for r in out)
 
 
 def test_cut_repeats_keeps_rows_and_columns(spark):
