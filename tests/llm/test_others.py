@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkfield.llm import chat, extract, quality, toxicity, vectors, warc
-from larkfield.llm.queries import QUERIES
+from larkfield.llm.queries import ORACLES, QUERIES
+from tools.compare import compare, connect
 
 CLASH = ("page", "digest", "shard", "turns", "doc", "label", "unit", "host", "text")
 
@@ -261,3 +262,15 @@ def test_pruned_neighbours_start_with_the_nearest():
     np.fill_diagonal(sims, -2)
     assert (near[:, 0] == sims.argmax(axis=1)).all()
     assert all(len(set(r[r >= 0])) == (r >= 0).sum() and i not in r for i, r in enumerate(near))
+
+
+# -------------------------------------------------------------------- queries
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    assert compare(QUERIES[name](spark, folder), connect(folder), ORACLES[name]) == ""
+
+
+def test_every_operator_has_a_query():
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
