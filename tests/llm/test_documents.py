@@ -136,7 +136,7 @@ def test_cut_repeats_keeps_rows_and_columns(spark):
 
 
 def test_runs_of_starts():
-    assert suffixes.runs_of(np.array([3, 4, 5, 60, 56]), 50) == [(3, 110)] and suffixes.runs_of(np.array([], int), 50) == []
+    assert suffixes.runs_of(np.array([3, 4, 5, 60, 55]), 50) == [(3, 110)] and suffixes.runs_of(np.array([], int), 50) == []
     assert suffixes.runs_of(np.array([0, 51]), 50) == [(0, 50), (51, 101)]
 
 
