@@ -7,8 +7,9 @@ whose words of the benchmark vocabulary can't reach the least cosine are passed
 candidate counts when a large share of the passage's words comes, in order, near the window; passages with
 an answer need the answer too, or a higher share.
 
-Benchmarks are taken in blocks of about ``BLOCK`` passages, each with its own factors, so what is sent with a
-task is bounded; every block meets all documents.
+Benchmarks are taken in blocks of no more passages than the rank, so the factors of a block span its passages
+and a verbatim copy keeps its whole length. About ``BLOCK`` passages, in several blocks with their own factors,
+are searched in one pass over the documents, so what is sent with a task is bounded; every block meets all documents.
 """
 
 from __future__ import annotations
@@ -225,7 +226,8 @@ def _holds(words: list, wanted: list) -> bool:
     return any(words[i:i + n] == wanted for i in range(len(words) - n + 1))
 
 
-def _search(index: dict, least_cosine: float, share: float, share_without_answer: float):
+def _leaks(index: dict, least_cosine: float, share: float, share_without_answer: float):
+    """Leaks of one block of passages in a document: a function of the document's row number and words."""
     terms, bucket_idf, factors, vectors = (index[k] for k in ("terms", "bucket_idf", "factors", "vectors"))
     items, parts, texts, answers = (index[k] for k in ("items", "parts", "texts", "answers"))
     sizes = np.array([len(t) for t in texts])
@@ -285,38 +287,66 @@ def _search(index: dict, least_cosine: float, share: float, share_without_answer
             found += zip((-cosines[row, k]).tolist(), a[row].tolist(), b[row].tolist(), k.tolist())
         return sorted(found)
 
+    def leaks(row: int, words: Words) -> list[tuple]:
+        best: dict[int, tuple] = {}
+        own = terms.of(words.hashes)
+        for minus, low, high, k in candidates(words, own):
+            if k in best:
+                continue
+            margin = int(sizes[k]) // 2
+            low, high = max(0, low - margin), min(len(words), high + margin)
+            near = own[low:high]
+            # No common subsequence is longer than the words of the window that the passage has at all.
+            if members[k, near[near >= 0]].sum() < share * sizes[k]:
+                continue
+            near = words.at(low, high)
+            part = common_subsequence(texts[k], near) / sizes[k]
+            answered = answers[k] is None or _holds(near, answers[k])
+            if part >= (share if answered else share_without_answer):
+                best[k] = (row, items[k], parts[k], -minus, part, answered and answers[k] is not None, low, high)
+        return list(best.values())
+
+    return leaks
+
+
+def _search(indexes: list[dict], least_cosine: float, share: float, share_without_answer: float):
+    """Per task: the leaks of all given blocks; documents are read once."""
+    blocks = [_leaks(index, least_cosine, share, share_without_answer) for index in indexes]
+    item_type = indexes[0]["item_type"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row, words in enumerate(Words.of_many(t.as_py() for t in batch.column(1))):
-                if not len(words):
-                    continue
-                best: dict[int, tuple] = {}
-                own = terms.of(words.hashes)
-                for minus, low, high, k in candidates(words, own):
-                    if k in best:
-                        continue
-                    margin = int(sizes[k]) // 2
-                    low, high = max(0, low - margin), min(len(words), high + margin)
-                    near = own[low:high]
-                    # No common subsequence is longer than the words of the window that the passage has at all.
-                    if members[k, near[near >= 0]].sum() < share * sizes[k]:
-                        continue
-                    near = words.at(low, high)
-                    part = common_subsequence(texts[k], near) / sizes[k]
-                    answered = answers[k] is None or _holds(near, answers[k])
-                    if part >= (share if answered else share_without_answer):
-                        best[k] = (row, items[k], parts[k], -minus, part, answered and answers[k] is not None, low, high)
-                rows += best.values()
+                if len(words):
+                    for leaks in blocks:
+                        rows += leaks(row, words)
             kinds = (pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], index["item_type"]),
+                [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], item_type),
                  *(pa.array([r[i + 2] for r in rows], t) for i, t in enumerate(kinds))],
                 ["doc", "item", "part", "cosine", "share", "answered", "first_word", "end_word"])
 
     return run
 
 
+def _in_blocks(passages: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``passages`` with ``block``, no block of more than ``size`` rows, and the number of blocks.
+
+    Rows are numbered from the counts of the tasks that write them, so equal rows may be in different blocks.
+    """
+    rows = scratch.keep(passages.withColumn("number", F.monotonically_increasing_id()), "benchmark")
+    task = F.shiftright("number", 33)
+    offsets, total = [], 0
+    for own, n in rows.groupBy(task.cast("int").alias("task")).count().orderBy("task").collect():  # one row per task
+        offsets.append((own, total))
+        total += n
+    offsets = passages.sparkSession.createDataFrame(offsets, "task int, before long")
+    place = F.col("before") + F.col("number").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = rows.withColumn("task", task.cast("int")).join(offsets, "task").withColumn("block", F.floor(place / size).cast("int"))
+    return scratch.keep(placed.drop("task", "before", "number"), "blocks"), math.ceil(total / size)
+
+
 def leaked_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                     item_text_col: str = "text", answer_col: str | None = None, least_cosine: float = 0.5, share: float = 0.6,
                     share_without_answer: float = 0.8, rank: int = RANK) -> DataFrame:
@@ -324,7 +354,7 @@ def leaked_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
 
     Texts are read as runs of letters, digits and non-ASCII characters in lower case. Null and wordless documents and items match nothing; an
     empty benchmark or corpus gives no rows. Repeated rows are searched each; a benchmark item that
-    repeats is found once per repeat. Other columns are ignored, also those of the same name in both tables.
+    repeats is found once per repeat. ``rank`` is the most passages of a block too. Other columns are ignored, also those of the same name in both tables.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -332,8 +362,7 @@ def leaked_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     raw = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"), answer.alias("answer"))
     doc_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((texts, "doc"), (raw, "item")))
-    passages = scratch.keep(raw.mapInArrow(_cut, f"item {item_kind}, part int, words string, answer string"), "benchmark")
-    blocks = math.ceil(passages.count() / BLOCK)
+    passages, blocks = _in_blocks(raw.mapInArrow(_cut, f"item {item_kind}, part int, words string, answer string"), rank, scratch)
     shape = f"doc {doc_kind}, item {item_kind}, part int, cosine double, share double, answered boolean, first_word int, end_word int"
     empty = spark.createDataFrame([], shape)
     counts = texts.select("text").mapInArrow(_document_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect() if blocks else []
@@ -344,25 +373,24 @@ def leaked_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
         else:
             document_counts[bucket] = n
     bucket_idf = np.log((total + 1) / (document_counts + 0.5)).clip(0.05).astype(np.float32)
-    out = empty
+    out, indexes = empty, []
     for block in range(blocks):
-        own = passages.where(F.pmod(F.xxhash64("item", "part"), F.lit(blocks)) == block)
-        rows = own.orderBy("item", "part", "words").toArrow()  # about BLOCK passages
+        own = passages.where(F.col("block") == block)
+        rows = own.orderBy("item", "part", "words").toArrow()  # at most ``rank`` passages
         lists = rows.column("words").to_pylist()
-        if not lists:
-            continue
         terms = Vocabulary(np.concatenate([Words(w).hashes for w in lists]))
         idf = bucket_idf[bucket_of(terms.hashes)].astype(np.float64)
-        factors = randomised_factors(own, terms, idf, min(rank, len(lists)))
+        factors = randomised_factors(own, terms, idf, len(lists))
         vectors, most = np.zeros((len(lists), factors.shape[1]), np.float32), np.zeros(len(terms))
         for i, words in enumerate(lists):
             at, weights = passage_vector(words, terms, idf)
             vectors[i] = weights @ factors[at]
             most[at] = np.maximum(most[at], weights)
         answers = [(w.at(0, len(w)) or None) for w in map(Words, rows.column("answer").to_pylist())]
-        index = {"terms": terms, "bucket_idf": bucket_idf, "factors": factors, "vectors": vectors, "most": most,
-                 "items": rows.column("item").to_pylist(), "item_type": rows.schema.field("item").type, "parts": rows.column("part").to_pylist(),
-                 "texts": [w.encode("utf-8").split(b" ") for w in lists], "answers": answers}
-        out = out.unionByName(texts.mapInArrow(_search(index, least_cosine, share, share_without_answer), shape)) if block else \
-            texts.mapInArrow(_search(index, least_cosine, share, share_without_answer), shape)
+        indexes.append({"terms": terms, "bucket_idf": bucket_idf, "factors": factors, "vectors": vectors, "most": most,
+                        "items": rows.column("item").to_pylist(), "item_type": rows.schema.field("item").type, "parts": rows.column("part").to_pylist(),
+                        "texts": [w.encode("utf-8").split(b" ") for w in lists], "answers": answers})
+        if block == blocks - 1 or len(indexes) >= BLOCK // rank:
+            out = out.unionByName(texts.mapInArrow(_search(indexes, least_cosine, share, share_without_answer), shape))
+            indexes = []
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})

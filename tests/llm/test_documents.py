@@ -221,6 +221,15 @@ def test_leaks_exact_and_paraphrased(spark):
     assert decontaminate.leaked_passages(documents(spark, []), items_df).count() == 0
 
 
+@pytest.mark.parametrize("n", [1000, 3000])
+def test_every_verbatim_copy_is_found(spark, n):
+    rng = random.Random(n)
+    items = [(i, words(rng, 50)) for i in range(n)]
+    rows = [(i, f"{words(rng, 15)} {text} {words(rng, 15)}") for i, text in items] + [(n + i, words(rng, 80)) for i in range(100)]
+    got = decontaminate.leaked_passages(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i) for i in range(n)}
+
+
 def test_answers_lower_the_needed_share(spark):
     rng = random.Random(2)
     item = words(rng, 40).split()
