@@ -1,6 +1,7 @@
 """Near-duplicate vectors by robust-pruned flat graphs over overlapping cluster shards.
 
-Vectors of one label (and dimension) are given to their three nearest clusters and to every other whose centre is
+Equal unit vectors of a label (to twelve decimals) are one node with a weight, as ties would fill each other's lists
+and hide the rest; the others of a group are links of each member. Nodes of one label (and dimension) are given to their three nearest clusters and to every other whose centre is
 about as near as the nearest; centres are fitted on a bounded sample. A shard of more than ``BLOCK`` vectors is split by hash, and its blocks meet
 pairwise. Each block gets a graph: candidate neighbours pruned so that none is much nearer to a kept neighbour
 than to the node. The adjacency lists of a vector from all its shards are united. Queries walk a block's
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ DEGREE, MEDOIDS, BEAM, STEPS, SLACK = 24, 16, 48, 48, 0.08
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors of length one as bytes of doubles; null for those that can't be compared."""
+    """Vectors of length one as bytes of doubles, and a key that equal ones share; null for those that can't be compared."""
     for batch in batches:
-        out, sizes = [], []
+        out, sizes, keys = [], [], []
         for value in batch.column(2):
             v = value.as_py()
             v = None if v is None or any(x is None for x in v) else np.array(v, np.float64)
@@ -39,12 +41,15 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if v is None or not np.isfinite(top) or top == 0:
                 out.append(None)
                 sizes.append(None)
+                keys.append(None)
                 continue
             v = v / top
-            out.append((v / np.sqrt((v ** 2).sum())).tobytes())
+            v = v / np.sqrt((v ** 2).sum())
+            out.append(v.tobytes())
+            keys.append(xxhash.xxh3_128_digest((np.round(v, 12) + 0.0).tobytes()))
             sizes.append(len(v))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())],
-                                         ["vec", "label", "size", "unit"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(out, pa.binary()),
+                                          pa.array(keys, pa.binary())], ["vec", "label", "size", "unit", "key"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -77,8 +82,8 @@ def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = np.frombuffer(unit, np.float64)
             near = np.frombuffer(centres, np.float64).reshape(-1, len(v)) @ v
             homes.append(np.flatnonzero(near >= min(near.max() - MARGIN, np.sort(near)[-LEAST_HOMES:].min())).tolist())
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(homes, pa.list_(pa.int32()))],
-                                         ["vec", "label", "size", "unit", "homes"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), batch.column(5), pa.array(homes, pa.list_(pa.int32()))],
+                                         ["vec", "label", "size", "unit", "weight", "homes"])
 
 
 def robust_prune(sims: np.ndarray, degree: int, alpha: float = 1.2) -> np.ndarray:
@@ -180,10 +185,10 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: f
 def _links(least: float):
     def run(key, table):
         cluster, first, second = (k.as_py() for k in key[2:5])
-        vecs, block = table.column("vec").to_numpy(), table.column("block").to_numpy()
+        vecs, block, weight = (table.column(c).to_numpy() for c in ("vec", "block", "weight"))
         x = _matrix(table.column("unit"))
         order = np.lexsort((vecs, block))
-        vecs, block, x = vecs[order], block[order], x[order]
+        vecs, block, weight, x = vecs[order], block[order], weight[order], x[order]
         homes = [set(h) for h in table.column("homes").take(pa.array(order)).to_pylist()]
         lists = table.column("near").take(pa.array(order)).to_pylist()
         inside = np.flatnonzero(block == second)
@@ -206,9 +211,9 @@ def _links(least: float):
             has = np.array([other in own for own in homes])
             found &= ~(has[asking][:, None] & has[inside][None, :])
         count, root = np.zeros(len(vecs), np.int64), np.arange(len(vecs))
-        count[asking] += found.sum(axis=1)
+        count[asking] += found @ weight[inside]
         if first != second:
-            count[inside] += found.sum(axis=0)
+            count[inside] += weight[asking] @ found
         q, hit = np.nonzero(found)
         a, b = asking[q], inside[hit]
         while len(a):  # smallest place reachable
@@ -231,22 +236,27 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
 
     Links join vectors of equal, non-null labels and equal dimension whose cosine in double precision is at least
     ``least``. Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Of rows that
-    repeat an id the smallest (label, vector) counts; each row without an id is returned alone. The search is
+    repeat an id the smallest (label, vector) counts; unit vectors equal to twelve decimals count as the one with the smallest id; each row without an id is returned alone. The search is
     approximate: ``true_links`` measures what it misses. Other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession)
     kind, label_kind = vectors.schema[id_col].dataType.simpleString(), vectors.schema[label_col].dataType.simpleString()
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     named = rows.where("vec is not null").groupBy("vec").agg(F.min(F.struct("label", "v")).alias("row")).select("vec", "row.label", "row.v")
-    units = scratch.keep(named.mapInArrow(_units, f"vec long, label {label_kind}, size int, unit binary"), "units")
-    usable = units.where("unit is not null and label is not null")
+    units = scratch.keep(named.mapInArrow(_units, f"vec long, label {label_kind}, size int, unit binary, key binary"), "units")
+    same = units.where("unit is not null and label is not null").groupBy("label", "size", "key").agg(F.min("vec").alias("vec"), F.count("*").alias("weight"))
+    same = scratch.keep(same, "same")
+    usable = scratch.keep(units.select("vec", "label", "size", "unit").join(same.select("vec", "weight"), "vec"), "nodes")
+    members = scratch.keep(units.select("vec", "label", "size", "key"), "members")
+    scratch.drop("units")
     counts = usable.groupBy("label", "size").count()
     ranked = usable.withColumn("rank", F.row_number().over(Window.partitionBy("label", "size").orderBy(F.xxhash64("vec"), "vec")))
     k = F.least(F.ceil(F.col("count") / SHARD), F.lit(CLUSTERS))
     sample = ranked.where(F.col("rank") <= SAMPLE).join(counts, ["label", "size"]).select("label", "size", "unit", k.alias("k"))
     centres = scratch.keep(sample.groupBy("label", "size").applyInArrow(_centres, f"label {label_kind}, size int, centres binary"), "centres")
-    placed = usable.join(sized(centres), ["label", "size"]).select("vec", "label", "size", "unit", "centres")
-    placed = scratch.keep(placed.mapInArrow(_homes, f"vec long, label {label_kind}, size int, unit binary, homes array<int>"), "homes")
+    placed = usable.join(sized(centres), ["label", "size"]).select("vec", "label", "size", "unit", "centres", "weight")
+    placed = scratch.keep(placed.mapInArrow(_homes, f"vec long, label {label_kind}, size int, unit binary, weight long, homes array<int>"), "homes")
+    scratch.drop("nodes")
     spread = placed.withColumn("cluster", F.explode("homes"))
     blocks = spread.groupBy("label", "size", "cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     spread = scratch.keep(spread.join(blocks, ["label", "size", "cluster"]).withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")), "shards")
@@ -255,11 +265,17 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     # Block b is asked by the blocks before it and by itself.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = spread.join(graphs, "vec").withColumn("other", other).select(
-        "label", "size", "cluster", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "vec", "unit", "homes", "near")
+        "label", "size", "cluster", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "vec", "unit", "weight", "homes", "near")
     found = scratch.keep(pairs.groupBy("label", "size", "cluster", "first", "second").applyInArrow(_links(least), "vec long, n long, root long"), "found")
     sums = found.groupBy("vec").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("vec").alias("a"), F.col("root").alias("b")), scratch, "vectors")
-    out = units.select("vec").join(sums, "vec", "left").join(roots.withColumnRenamed("node", "vec"), "vec", "left")
+    roots = roots.withColumnRenamed("node", "vec")
+    # Every member of a group has the links of its node and the rest of the group.
+    groups = same.where("weight > 1").join(sums, "vec", "left").join(roots, "vec", "left").select(
+        "label", "size", "key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("group_n"), F.coalesce("root", "vec").alias("group_root"))
+    groups = scratch.keep(groups, "groups")
+    out = members.join(sums, "vec", "left").join(roots, "vec", "left").join(sized(groups), ["label", "size", "key"], "left")
+    out = out.select("vec", F.coalesce("group_n", "n").alias("n"), F.coalesce("group_root", "root").alias("root"))
     alone = rows.where("vec is null").select("vec")
     out = out.select("vec", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("root", "vec").alias("component_id")).unionByName(
         alone.select("vec", F.lit(0).cast("bigint").alias("n_links"), F.col("vec").alias("component_id")))
@@ -271,7 +287,7 @@ def true_links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
                every: int = 100, block: int = 5000) -> DataFrame:
     """``<id>, n_true``: exact link counts of the stated queries (ids divisible by ``every``) against all rows, in blocks of queries."""
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
-    units = rows.mapInArrow(_units, f"vec long, label {rows.schema['label'].dataType.simpleString()}, size int, unit binary")
+    units = rows.mapInArrow(_units, f"vec long, label {rows.schema['label'].dataType.simpleString()}, size int, unit binary, key binary")
     usable = units.where("unit is not null and label is not null and vec is not null")
     asked = usable.where(F.col("vec") % every == 0)
     blocks = max(1, -(-asked.count() // block))

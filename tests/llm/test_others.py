@@ -247,6 +247,18 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_exact_copies_keep_all_links(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(32)
+    x = rng.permutation(np.concatenate([np.repeat(base[None], 500, axis=0), rng.standard_normal((300, 32))]))
+    scaled = base * rng.uniform(0.1, 9, (40, 1))  # equal but for the last bits of their unit vectors
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000 + i, v.tolist(), 1) for i, v in enumerate(scaled)]
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    copies = np.flatnonzero((x == base).all(axis=1)).tolist()
+    assert all(got[i].n_links == 499 and got[i].component_id == copies[0] for i in copies)
+    assert all(got[1000 + i].n_links == 39 and got[1000 + i].component_id == 1000 for i in range(40))
+
+
 def test_recall_of_the_vector_search(spark):
     folder = "/root/testdata/check_s"
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").where("label = 3")
