@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkfield.llm.common import Scratch
@@ -227,18 +227,20 @@ def _references(value) -> list[tuple[int, str]]:
 
 
 def _found_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: its reference (node -1), and the blocks at each node once, with their lengths."""
+    """Per page with text: its reference (node -1), and the blocks at each node once; ``copy`` is equal for pages of equal content."""
     aligner = Aligner()
     for batch in batches:
         rows = []
         for host, page, wrappers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             blocks, shape, marked = read_page(page.as_py())
             number, places = aligner.best(shape, _references(wrappers))
-            rows.append((host, number, -1, 0, sum(len(t) for _, t in blocks)))
-            rows += {(host, number, places[n], _hash(t), len(t)) for n, t in blocks if n in places}
+            if blocks:
+                copy = _hash("\n".join(t for _, t in blocks))
+                rows.append((host, number, copy, -1, 0))
+                rows += {(host, number, copy, places[n], _hash(t)) for n, t in blocks if n in places}
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))],
-            ["host", "number", "node", "text", "size"])
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))],
+            ["host", "number", "copy", "node", "text"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +251,8 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, shape, _ = read_page(page.as_py())
             number, places = aligner.best(shape, _references(wrappers))
             fixed = next(({(c["node"], c["text"]) for c in w["fixed"] or []} for w in wrappers or [] if w["number"] == number), set())
-            texts.append(" ".join(t for n, t in blocks if not fixed or (places.get(n), _hash(t)) not in fixed))
+            own = [t for n, t in blocks if not fixed or (places.get(n), _hash(t)) not in fixed]
+            texts.append(" ".join(own or [t for _, t in blocks]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page", "url", "text"])
 
 
@@ -257,16 +260,19 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
                  least_pages: int = 5, share: float = 0.6) -> DataFrame:
     """``<id>, <url>, text`` for every page.
 
-    A block is template when at least ``least_pages`` pages and ``share`` of those aligned with the same reference
-    have it at the same node, unless such blocks make up over half of the host's text: then the pages are
-    copies of each other and nothing is taken from them. Null pages give an empty text; pages
+    A block is template when at least ``least_pages`` pages (all, if there are two to four) and ``share`` of those aligned
+    with the same reference have it at the same node. Pages of equal content count once, so copies make no
+    template, and a page that is all template keeps its text. Hosts of few pages have one reference. Null pages give an empty text; pages
     without a url form a host of their own. Repeated rows are extracted each; other columns are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(html_col, F.lit("")).alias("html"),
                         F.xxhash64(id_col, url_col).alias("draw"))
     rows = rows.withColumn("number", F.pmod("draw", F.lit(REFERENCES)).cast("int"))
-    chosen = rows.groupBy("host", "number").agg(F.min("draw").alias("draw"))
+    chosen = rows.groupBy("host", "number").agg(F.min("draw").alias("draw"), F.count("*").alias("n"))
+    own = Window.partitionBy("host")  # REFERENCES rows at most
+    chosen = chosen.select("host", "number", "draw", F.sum("n").over(own).alias("all"), F.min("number").over(own).alias("first"))
+    chosen = chosen.where((F.col("all") >= REFERENCES * least_pages) | (F.col("number") == F.col("first"))).drop("all", "first")
     few = chosen.limit(BROADCAST_HOSTS * REFERENCES + 1).count() <= BROADCAST_HOSTS * REFERENCES
     sized = lambda df: F.broadcast(df) if few else df
     shapes = rows.join(sized(chosen), ["host", "number", "draw"]).select("host", "number", "html").mapInArrow(
@@ -276,13 +282,13 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     few = few and (shapes.agg(F.sum(F.length("shape"))).first()[0] or 0) <= BROADCAST_BYTES
     references = shapes.groupBy("host").agg(F.collect_list(F.struct("number", "shape")).alias("wrappers"))  # REFERENCES at most
     found = rows.select("host", "html").join(sized(references), "host", "left").mapInArrow(
-        _found_blocks, "host string, number int, node int, text long, size long")
-    counts = scratch.keep(found.groupBy("host", "number", "node", "text").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-                          .where((F.col("n") >= least_pages) | (F.col("node") == -1)), "blocks")
-    totals = counts.where("node = -1").select("host", "number", F.col("n").alias("pages"), F.col("size").alias("all"))
-    fixed = counts.where("node >= 0").join(totals, ["host", "number"]).where(F.col("n") >= F.greatest(F.lit(least_pages), F.col("pages") * share))
-    fixed = fixed.groupBy("host", "number").agg(F.collect_list(F.struct("node", "text")).alias("fixed"), F.sum("size").alias("size"), F.first("all").alias("all"))
-    fixed = fixed.where(F.col("size") * 2 <= F.col("all")).select("host", "number", "fixed")
+        _found_blocks, "host string, number int, copy long, node int, text long").distinct()
+    counts = scratch.keep(found.groupBy("host", "number", "node", "text").agg(F.count("*").alias("n"))
+                          .where((F.col("n") >= 2) | (F.col("node") == -1)), "blocks")
+    totals = counts.where("node = -1").select("host", "number", F.col("n").alias("pages"))
+    fixed = counts.where("node >= 0").join(totals, ["host", "number"]).where(
+        F.col("n") >= F.greatest(F.least(F.lit(least_pages), "pages"), F.col("pages") * share))
+    fixed = fixed.groupBy("host", "number").agg(F.collect_list(F.struct("node", "text")).alias("fixed"))
     wrappers = scratch.keep(shapes.join(fixed, ["host", "number"], "left").groupBy("host").agg(
         F.collect_list(F.struct("number", "shape", "fixed")).alias("wrappers")), "wrappers")
     kind = rows.schema["page"].dataType.simpleString()

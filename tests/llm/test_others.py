@@ -84,6 +84,12 @@ def test_repeated_blocks_are_template(spark):
     assert got == {i: f"Story {i} begins. It has two <parts> & {'x' * i}." for i in range(1, 13)}
 
 
+@pytest.mark.parametrize("n", [2, 4, 9, 30])
+def test_long_boilerplate_and_few_pages(spark, n):
+    rows = [(i, f"http://h.example/{i}", page(f"<div>Site</div><div><p>Story {i}.</p></div><div><p>{'All rights are reserved here. ' * 20}</p></div>")) for i in range(n)]
+    assert texts_of(spark, rows + [(100 + i, *rows[0][1:]) for i in range(8)]) == {i: f"Story {i}." for i in range(n)} | {100 + i: "Story 0." for i in range(8)}
+
+
 def test_copies_keep_their_text(spark):
     body = page("<article><h1>Same</h1><p>Whole story.</p></article>")
     assert set(texts_of(spark, [(i, "http://h/", body) for i in range(20)]).values()) == {"Same Whole story."}
