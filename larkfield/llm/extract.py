@@ -4,7 +4,8 @@ Every page becomes a folded tree: sibling elements of the same tag, classes and
 few pages of each host are references; every page is aligned with them by simple tree matching, and each
 text block is counted at the reference node it falls on. A block that most pages of the host have at the
 same node is template; what varies is content. Elements that say they are menus, notices, adverts, forms and
-the like are left out by name, and where a page marks its article or main part only that part counts.
+the like are left out by name, unless they hold the article, the main part or most of the page's text; where a
+page marks its article or main part only that part counts.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)
 _RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_LEFT_OUT = frozenset("head script style noscript template nav footer aside form button select option textarea iframe svg math object video audio canvas dialog menu input title".split())
+_LEFT_OUT = frozenset("head script style noscript template nav footer aside button select option textarea iframe svg math object video audio canvas dialog menu input title".split())
 _NAMES = frozenset("""ad ads advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion cookie cookies consent gdpr notice
  newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond related
  recommended recommendations share sharing social popup modal overlay widget pagination pager toolbar""".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _CLOSES_P = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
  header hgroup hr main menu nav ol p pre search section table ul""".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -55,29 +56,80 @@ class Folded:
         return [self.at, self.tag, self.sign, [k.shape() for k in self.kids]]
 
 
-def _sign(attrs: str) -> tuple[str, bool, bool]:
-    """Classes and id in order; whether they name something to leave out, or the main part."""
+def _sign(attrs: str) -> tuple[str, bool, bool, bool]:
+    """Classes and id in order; whether the element is out by role or hidden, or by name, or is the main part."""
     if "=" not in attrs:
-        return "", " hidden" in attrs, False
+        return "", " hidden" in attrs, False, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     sign = f"{found.get('class', '')}#{found.get('id', '')}".lower()
     words = set(re.split(r"[^a-z]+", sign))
     role = found.get("role", "").lower()
-    left = bool(words & _NAMES) or role in _ROLES or found.get("aria-hidden") == "true" or " hidden" in attrs
+    named = bool(words & _NAMES) or role == "form"
+    left = role in _ROLES or found.get("aria-hidden") == "true" or " hidden" in attrs
     if re.search(r"display\s*:\s*none", found.get("style", "")):
         left = True
-    return re.sub(r"\d+", "0", sign) if sign != "#" else "", left, role == "main"
+    return re.sub(r"\d+", "0", sign) if sign != "#" else "", left, named, role == "main"
+
+
+def _summed(sizes: list[int], parents: list[int]) -> list[int]:
+    """Sizes with those of all elements inside; outer elements come before inner ones."""
+    for i in range(len(sizes) - 1, -1, -1):
+        if parents[i] >= 0:
+            sizes[parents[i]] += sizes[i]
+    return sizes
+
+
+def _kept(blocks: list[tuple[int, int, int, str]], named: list[int], parts: list[tuple[int, int, str]]) -> tuple[list[bool], bool]:
+    """Which blocks ``(folded node, innermost named element, innermost part, text)`` may be content, and whether a part marks them.
+
+    ``named`` has the outer named element of each; ``parts``, articles and main parts, have the outer part, the innermost
+    named element (their own too) and the tag.
+    """
+    name_size, part_size, total = [0] * len(named), [0] * len(parts), sum(len(t) for *_, t in blocks)
+    outer = [p[0] for p in parts]
+    for _, name, part, text in blocks:
+        if name >= 0:
+            name_size[name] += len(text)
+        if part >= 0:
+            part_size[part] += len(text)
+    held = [2 * size > total for size in _summed(name_size, named)]  # most of the page's text
+    part_size = _summed(part_size, outer)
+    filled = [i for i, size in enumerate(part_size) if size]
+
+    def settle() -> tuple[list[bool], list[bool]]:
+        """Named elements that stay, and parts that do, themselves or inside one; the last entry is for none (-1)."""
+        free, good = [True] * (len(named) + 1), [False] * (len(parts) + 1)
+        for i, up in enumerate(named):
+            free[i] = held[i] and free[up]
+        for i, (up, name, _) in enumerate(parts):
+            good[i] = bool(part_size[i]) and free[name] or good[up]
+        return free, good
+
+    free, good = settle()
+    if filled and not any(good):
+        # No part outside named elements: the main part, the only one, or one longer than the text outside counts.
+        outside = sum(len(t) for _, name, _, t in blocks if free[name])
+        mains = [i for i in filled if parts[i][2] == "main"]
+        longest = max(mains or filled, key=lambda i: part_size[i])
+        if mains or len(filled) == 1 or part_size[longest] > outside:
+            name = parts[longest][1]
+            while name >= 0:
+                held[name], name = True, named[name]
+            free, good = settle()
+    marked = any(good)
+    return [free[name] and (not marked or good[part]) for _, name, part, _ in blocks], marked
 
 
 def read_page(page: str) -> tuple[list[tuple[int, str]], list, bool]:
     """Blocks ``(folded node, text)`` that may be content, the folded tree, and whether an article marks them."""
     root = Folded(0, "", "")
     count = 1
-    stack = [("", root, False, False)]  # tag, folded node, left out, inside the article
-    blocks: list[tuple[int, bool, str]] = []
+    stack = [("", root, False, -1, -1)]  # tag, folded node, left out, innermost named element and article
+    blocks: list[tuple[int, int, int, str]] = []
+    names: list[int] = []
+    articles: list[tuple[int, int, str]] = []
     parts: list[str] = []
-    place = (0, False)
-    marked = False
+    place = (0, -1, -1)
 
     def flush() -> None:
         nonlocal parts
@@ -89,13 +141,13 @@ def read_page(page: str) -> tuple[list[tuple[int, str]], list, bool]:
 
     def text_of(text: str) -> None:
         nonlocal place
-        tag, node, left, inside = stack[-1]
+        tag, node, left, name, article = stack[-1]
         if left:
             return
         depth = len(stack) - 1
         while depth and stack[depth][0] in _INLINE:
             depth -= 1
-        spot = (stack[depth][1].at, inside)
+        spot = (stack[depth][1].at, name, article)
         if spot != place:
             flush()
             place = spot
@@ -144,12 +196,16 @@ def read_page(page: str) -> tuple[list[tuple[int, str]], list, bool]:
                     break
                 if stack[depth][0] in _SCOPE:
                     break
-        _, parent, left, inside = stack[-1]
-        sign, named, main = _sign(m["attrs"])
-        entered = tag in ("article", "main") or main
-        out = left or tag in _LEFT_OUT or (named and tag not in ("html", "body")) or (tag == "header" and not inside)
-        if entered and not out:
-            marked, inside = True, True
+        _, parent, left, name, article = stack[-1]
+        sign, hidden, named, main = _sign(m["attrs"])
+        main = main or tag == "main"
+        out = left or tag in _LEFT_OUT or (hidden and tag not in ("html", "body")) or (tag == "header" and article < 0)
+        if not out and tag not in ("html", "body") and not main and (named or tag == "form"):
+            names.append(name)
+            name = len(names) - 1
+        if not out and (main or tag == "article"):
+            articles.append((article, name, "main" if main else tag))
+            article = len(articles) - 1
         label = (tag, sign)
         if parent.last != label:
             parent.runs[label] = min(parent.runs.get(label, 0) + 1, 3)
@@ -162,9 +218,10 @@ def read_page(page: str) -> tuple[list[tuple[int, str]], list, bool]:
             count += 1
         if m["attrs"].endswith("/") and tag not in _CLOSES_P and tag not in _INLINE:
             continue
-        stack.append((tag, node, out, inside))
+        stack.append((tag, node, out, name, article))
     flush()
-    return [(n, t) for n, inside, t in blocks if inside or not marked], root.shape(), marked
+    kept, marked = _kept(blocks, names, articles)
+    return [(n, t) for (n, _, _, t), keep in zip(blocks, kept) if keep], root.shape(), marked
 
 
 def align(a: list, b: list) -> tuple[float, list[tuple[int, int]]]:

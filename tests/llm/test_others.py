@@ -108,6 +108,20 @@ def test_page_text(spark, body, want):
     assert " ".join(t for _, t in extract.read_page(page(body))[0]) == want
 
 
+@pytest.mark.parametrize("body, want", [
+    ("<div class='content has-sidebar'><article><p>story</p></article><div class=sidebar><p>side</p></div></div><p>outside</p>", "story"),
+    ("<div class='content has-sidebar'><p>the long story of the page</p><div class=sidebar><p>side</p></div></div><p>out</p>", "the long story of the page out"),
+    ("<article class='post comments-open'><p>story</p><div class=share>s</div></article>", "story"),
+    ("<main id='with-menu'><p>story</p></main><p>outside</p>", "story"),
+    ("<form action=x><div><p>the whole body</p><select><option>o</select></div></form>", "the whole body"),
+    ("<form action=x><nav>n</nav><article><p>story</p></article></form>", "story"),
+    ("<article><p>a longer story</p></article><div class=related><article>teaser</article></div>", "a longer story"),
+    ("<p>a longer story</p><div class=comments><article class=comment>one</article><article class=comment>two</article></div>", "a longer story"),
+])
+def test_names_leave_out_no_article(body, want):
+    assert " ".join(t for _, t in extract.read_page(page(body))[0]) == want
+
+
 def test_odd_pages(spark):
     long = page("<article>" + "<p>word</p><ul><li>i</ul>" * 5000 + "</article>")
     got = texts_of(spark, [(1, None, None), (2, None, ""), (3, "http://h/", long), (3, "http://h/", long), (4, "no url", page("<article>x</article>"))])
