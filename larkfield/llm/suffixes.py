@@ -1,9 +1,9 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by grouped window hashes, in place of a sparse suffix array.
 
 Suffixes start at words chosen by content: a word is kept when the hash of the ``GRAM`` words from it is the
-smallest in a window of neighbours, so equal passages keep the same places. Suffixes are brought into the order of
-their first words (as hashes); equal neighbours from different documents survive. A survivor's match is
-extended left and right: every passage of ``length`` words around it is compared with its equals in the same way.
+smallest in a window of neighbours, so equal passages keep the same places. Nothing is sorted or extended:
+hashes of the first words of suffixes are grouped, and those that different documents have survive. Then the
+hashes of all passages of ``length`` words around a survivor are grouped in the same way.
 The order of a run of equal suffixes is by document, so its head is a grouped minimum, and runs of any size are
 summed before the shuffle. Any passage of ``length`` words that two documents share holds a kept word, with at
 least ``length - window + 1`` shared words from it on, so none is missed.
