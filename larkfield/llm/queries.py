@@ -12,10 +12,13 @@ from larkfield.llm.chat import ENTITIES, format_chats, read_chats
 from larkfield.llm.common import Scratch, shared_folder
 from larkfield.llm.decontaminate import leaked_passages
 from larkfield.llm.extract import extract_text
+from larkfield.llm.hard_negatives import hard_negatives
+from larkfield.llm.lexical import ranked_search
 from larkfield.llm.near_dedup import near_duplicates
 from larkfield.llm.packing import pack
 from larkfield.llm.quality import quality_scores
 from larkfield.llm.suffixes import repeated_passages
+from larkfield.llm.token_files import read_token_files, write_token_files
 from larkfield.llm.toxicity import toxicity_scores
 from larkfield.llm.vectors import near_vectors
 from larkfield.llm.warc import read_archives, write_archives
@@ -139,6 +142,60 @@ def op7_pruned_graph_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
+@_query()
+def op11_plane_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = shared_folder(spark, "token-files")
+    write_token_files(_table(spark, folder, "documents"), files)
+    return read_token_files(spark, files)
+
+
+@_query("""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+sizes AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM sizes),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term, docs),
+m AS (SELECT doc_id, 100 - 90 + ((90 * n * docs) // words) AS m FROM sizes, totals),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM i JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+""")
+def op12_norm_bucket_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query("""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS parts
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM r WHERE vec_id % 100 = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other, a.label = r.label AS alike, list_inner_product(a.parts, r.parts)::BIGINT AS score
+  FROM a JOIN r ON a.vec_id != r.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+""")
+def op13_threshold_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 @_query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
