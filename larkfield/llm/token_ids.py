@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
-#: Cuts a text where the byte-level vocabulary's own pattern always cuts: a chunk is a run of visible characters with
-#: at most one blank before it, or white space. \x1c-\x1f are white space to ``re`` only.
-_CHUNKS = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]")
+#: Letters that are letters in every Unicode version, ASCII signs, and white space (\x1c-\x1f are white space to ``re`` only).
+_LETTERS, _SIGNS, _BLANK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~", r"[^\S\x1c-\x1f]"
+#: Cuts a text where the byte-level vocabulary's own pattern always cuts: a letter run ends before any ASCII sign, digit
+#: or blank, a run of signs (not begun by an apostrophe, as contractions are) before a blank, letter or digit, other
+#: visible characters before white space, and of white space only a last blank joins what follows.
+_CHUNKS = re.compile(rf" ?[{_LETTERS}]++(?=[\x00-\x7f]|\Z)|(?!')[{_SIGNS}]++(?={_BLANK}|[{_LETTERS}0-9]|\Z)"
+                     rf"| ?[\S\x1c-\x1f]+|{_BLANK}+(?![\S\x1c-\x1f])|{_BLANK}")
 _ENCODERS: dict[str, IdEncoder] = {}
 
 
@@ -32,20 +36,29 @@ class IdEncoder(dict):
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of every text."""
-        cut = [None if any(a in t for a in self.added) else _CHUNKS.findall(t) for t in texts]
-        new = list({c for chunks in cut if chunks for c in chunks if c not in self})
-        if len(self) + len(new) > self.room:
-            self.clear()
-            new = list({c for chunks in cut if chunks for c in chunks})
-        fresh = dict(zip(new, self._encoded(new))) if new else {}
-        self.update((c, ids) for c, ids in fresh.items() if len(c) <= self.longest)
-        fresh = {c: ids for c, ids in fresh.items() if len(c) > self.longest}
-        known = self.__getitem__ if not fresh else lambda c: fresh[c] if c in fresh else self[c]
-        return [self._encoded([t])[0] if chunks is None else b"".join(map(known, chunks)) for t, chunks in zip(texts, cut)]
+        chunks, ends, whole = [], [], {}
+        for i, text in enumerate(texts):
+            if any(a in text for a in self.added):
+                whole[i] = text
+            else:
+                chunks += _CHUNKS.findall(text)
+            ends.append(len(chunks))
+        parts = list(map(self.get, chunks))
+        new = list({c for c, ids in zip(chunks, parts) if ids is None})
+        if new:
+            fresh = dict(zip(new, self._encoded(new)))
+            parts = [fresh[c] if ids is None else ids for c, ids in zip(chunks, parts)]
+            if len(self) + len(new) > self.room:
+                self.clear()
+            self.update((c, ids) for c, ids in fresh.items() if len(c) <= self.longest)
+        out = [b"".join(parts[low:high]) for low, high in zip([0, *ends], ends)]
+        for i, ids in zip(whole, self._encoded(list(whole.values()))):
+            out[i] = ids
+        return out
 
     def stream(self, texts: Iterable[str], most: int = 1 << 21) -> Iterator[bytes]:
         """Ids of every text, encoding groups of about ``most`` characters."""
@@ -59,6 +72,13 @@ class IdEncoder(dict):
         yield from self.of(group)
 
 
+def _bytes(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 def id_encoder(vocabulary: str = "byte_bpe_50k") -> IdEncoder:
     """The worker's encoder of a public byte-level vocabulary, loaded once per process."""
     if vocabulary not in _ENCODERS:
