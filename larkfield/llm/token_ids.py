@@ -8,6 +8,8 @@ import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 #: Letters that are letters in every Unicode version, ASCII signs, and white space (\x1c-\x1f are white space to ``re`` only).
 _LETTERS, _SIGNS, _BLANK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~", r"[^\S\x1c-\x1f]"
 #: Cuts a text where the byte-level vocabulary's own pattern always cuts: a letter run ends before any ASCII sign, digit
@@ -34,10 +36,25 @@ class IdEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that start with a blank
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _fresh(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of new chunks. Words after one blank are encoded as one text: only their first tokens start with a blank."""
+        words = [c for c in chunks if c[0] == " " and c[1:].isalpha()]
+        others = [c for c in chunks if c[0] != " " or not c[1:].isalpha()]
+        out = dict(zip(others, self._encoded(others)))
+        if words:
+            ids = np.frombuffer(self._encoded(["".join(words)])[0], "<u4")
+            ends = (4 * np.flatnonzero(self.opens[ids])).tolist() + [4 * len(ids)]
+            data = ids.tobytes()
+            out.update((w, data[low:high]) for w, low, high in zip(words, ends, ends[1:]))
+        return out
+
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of every text."""
         chunks, ends, whole = [], [], {}
@@ -48,11 +65,12 @@ class IdEncoder(dict):
                 chunks += _CHUNKS.findall(text)
             ends.append(len(chunks))
         parts = list(map(self.get, chunks))
-        new = list({c for c, ids in zip(chunks, parts) if ids is None})
-        if new:
-            fresh = dict(zip(new, self._encoded(new)))
-            parts = [fresh[c] if ids is None else ids for c, ids in zip(chunks, parts)]
-            if len(self) + len(new) > self.room:
+        places = [i for i, ids in enumerate(parts) if ids is None]
+        if places:
+            fresh = self._fresh({chunks[i] for i in places})
+            for i in places:
+                parts[i] = fresh[chunks[i]]
+            if len(self) + len(fresh) > self.room:
                 self.clear()
             self.update((c, ids) for c, ids in fresh.items() if len(c) <= self.longest)
         out = [b"".join(parts[low:high]) for low, high in zip([0, *ends], ends)]
