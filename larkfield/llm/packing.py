@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkfield.llm.common import Scratch
+from larkfield.llm.token_ids import IdEncoder, id_encoder
 
 CAPACITY = 2048
 SALTS = 256
@@ -32,15 +33,16 @@ class PieceEncoder(dict):
 
     A blank before a visible character always starts a token group of this byte-level vocabulary, so
     a text may be cut there; texts with other uses of blanks are encoded whole. The vocabulary's rank
-    file and its ``tokenizers`` file give the same ids (tested); the ranks are the faster of the two.
+    file and its ``tokenizers`` file give the same ids (tested), but for texts that hold an added token; those are left to ``tokenizers``.
     """
 
     room = 300_000
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, whole: IdEncoder):
         import base64
 
         import tiktoken
+        self.whole, self.added = whole, whole.added
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -54,6 +56,8 @@ class PieceEncoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if any(token in text for token in self.added):  # such tokens are cut out before anything else
+            return self.whole.of([text])[0]
         if _ODD_BLANKS.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -64,7 +68,7 @@ def piece_encoder(name: str = "byte_bpe_50k") -> PieceEncoder:
     """The worker's encoder of a public vocabulary, loaded once per process."""
     if name not in _ENCODERS:
         import public_tokenizers
-        _ENCODERS[name] = PieceEncoder(public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN)
+        _ENCODERS[name] = PieceEncoder(public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, id_encoder(name))
     return _ENCODERS[name]
 
 

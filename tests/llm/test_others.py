@@ -280,10 +280,19 @@ def test_exact_copies_keep_all_links(spark):
 
 
 def test_recall_of_the_vector_search(spark):
-    folder = "/root/testdata/check_s"
-    rows = spark.read.parquet(f"{folder}/embeddings.parquet").where("label = 3")
-    both = vectors.near_vectors(rows).join(vectors.true_links(rows), "vec_id").agg(F.sum("n_links"), F.sum("n_true")).first()
-    assert both[1] == 0 or both[0] >= 0.95 * both[1]
+    """Loose and tight groups, copies and single vectors of several labels, in more than one shard each."""
+    rng = np.random.default_rng(17)
+    parts = []
+    for size, noise in [(1, 0.0)] * 900 + [(12, 0.02)] * 60 + [(40, 0.035)] * 20 + [(300, 0.03)] * 2 + [(80, 0.0)] * 2:
+        centre = rng.standard_normal(48)
+        parts.append(centre / np.linalg.norm(centre) + noise * rng.standard_normal((size, 48)))
+    x = np.concatenate(parts)
+    label = np.concatenate([np.full(len(p), i % 2) for i, p in enumerate(parts)])
+    rows = [(int(i), v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    both = vectors.near_vectors(df).join(vectors.true_links(df, every=1), "vec_id")
+    found, true, too_many = both.agg(F.sum("n_links"), F.sum("n_true"), F.count_if(F.expr("n_links > n_true"))).first()
+    assert true > 60_000 and found >= 0.95 * true and too_many == 0
 
 
 def test_pruned_neighbours_start_with_the_nearest():
@@ -298,11 +307,11 @@ def test_pruned_neighbours_start_with_the_nearest():
 
 # -------------------------------------------------------------------- queries
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - {"op12_norm_bucket_search", "op13_threshold_hard_negatives"}))  # these in test_search
 def test_queries_equal_their_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     assert compare(QUERIES[name](spark, folder), connect(folder), ORACLES[name]) == ""
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
