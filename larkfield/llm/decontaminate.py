@@ -365,13 +365,12 @@ def leaked_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     passages, blocks = _in_blocks(raw.mapInArrow(_cut, f"item {item_kind}, part int, words string, answer string"), rank, scratch)
     shape = f"doc {doc_kind}, item {item_kind}, part int, cosine double, share double, answered boolean, first_word int, end_word int"
     empty = spark.createDataFrame([], shape)
-    counts = texts.select("text").mapInArrow(_document_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect() if blocks else []
     document_counts, total = np.zeros(BUCKETS), 0
-    for bucket, n in counts:  # at most BUCKETS + 1 rows
-        if bucket < 0:
-            total = n
-        else:
-            document_counts[bucket] = n
+    if blocks:  # at most BUCKETS + 1 rows
+        counts = texts.select("text").mapInArrow(_document_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        bucket, n = (counts.column(c).to_numpy() for c in ("bucket", "n"))
+        document_counts[bucket[bucket >= 0]] = n[bucket >= 0]
+        total = int(n[bucket < 0].sum())
     bucket_idf = np.log((total + 1) / (document_counts + 0.5)).clip(0.05).astype(np.float32)
     out, indexes = empty, []
     for block in range(blocks):

@@ -104,6 +104,16 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(slots, pa.binary())], ["label", "part", "slots"])
 
 
+def _used(slots: pa.ChunkedArray, scale: np.ndarray) -> list[np.ndarray]:
+    """Per row the slots with a scale, as views of one array."""
+    parts = [np.frombuffer(s.as_buffer() or b"", np.int32) for s in (slots.chunk(0) if slots.num_chunks else ())]
+    flat = np.concatenate(parts or [np.empty(0, np.int32)])
+    keep = scale[flat] != 0
+    ends = np.concatenate([[0], np.cumsum(keep)])[np.cumsum([0, *map(len, parts)])]
+    flat = flat[keep]
+    return [flat[low:high] for low, high in zip(ends, ends[1:])]
+
+
 def fit_hinge(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, cost: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Weights of a linear model with squared hinge loss, by dual coordinate descent.
 
@@ -111,18 +121,18 @@ def fit_hinge(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, cos
     """
     signs = np.where(labels == 1, 1.0, -1.0)
     weights, alpha = np.zeros(len(scale)), np.zeros(len(rows))
-    values = [scale[r] / max(np.sqrt((scale[r] ** 2).sum()), 1e-12) for r in rows]
-    own = [(v ** 2).sum() for v in values]
+    lengths = [max(np.sqrt((scale[r] ** 2).sum()), 1e-12) for r in rows]
+    own = [((scale[r] / n) ** 2).sum() for r, n in zip(rows, lengths)]
     order = np.random.default_rng(0)
     for _ in range(rounds):
         for i in order.permutation(len(rows)):
             if not own[i]:
                 continue
-            slack = 0.5 / cost[i]
-            step = signs[i] * (weights[rows[i]] @ values[i]) - 1 + slack * alpha[i]
+            slack, values = 0.5 / cost[i], scale[rows[i]] / lengths[i]
+            step = signs[i] * (weights[rows[i]] @ values) - 1 + slack * alpha[i]
             new = max(alpha[i] - step / (own[i] + slack), 0.0)
             if new != alpha[i]:
-                weights[rows[i]] += (new - alpha[i]) * signs[i] * values[i]
+                weights[rows[i]] += (new - alpha[i]) * signs[i] * values
                 alpha[i] = new
     return weights
 
@@ -167,10 +177,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc"), F.col(label_col).cast("int").alias("label"))
     pairs = texts.join(sized(known), "doc").select("doc", "text", "label")
-    sums = pairs.mapInArrow(_class_counts, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0"), F.sum("n1")).collect()  # at most SLOTS + 1 rows
+    sums = pairs.mapInArrow(_class_counts, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0"), F.sum("n1")).toArrow()  # at most SLOTS + 1 rows
     counts = np.zeros((2, SLOTS + 1))
-    for slot, n0, n1 in sums:
-        counts[:, slot] = n0, n1
+    counts[:, sums.column(0).to_numpy()] = [sums.column(i).to_numpy() for i in (1, 2)]
     total, counts = counts[:, -1], counts[:, :-1]
     if not total.all():
         prior = float(total[1] / total.sum()) if total.sum() else 0.5
@@ -180,10 +189,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     chosen = known.orderBy(F.xxhash64("doc", F.lit(6)), "doc").limit(fit_rows + calibration_rows)
     chosen = chosen.withColumn("part", F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(fit_rows + calibration_rows)) < fit_rows)
     sample = texts.join(F.broadcast(chosen), "doc").select("doc", "text", "label", "part")  # bounded by the limit above
-    sample = sample.mapInArrow(_rows, "label int, part boolean, slots binary").toPandas()
-    rows = [np.frombuffer(s, np.int32).astype(np.int64) for s in sample["slots"]]
-    rows = [r[scale[r] != 0] for r in rows]
-    y, fit = sample["label"].to_numpy(), sample["part"].to_numpy()
+    sample = sample.mapInArrow(_rows, "label int, part boolean, slots binary").toArrow().combine_chunks()
+    rows = _used(sample.column("slots"), scale)
+    y, fit = sample.column("label").to_numpy(), sample.column("part").to_numpy()
+    del sample
     inside = np.flatnonzero(fit)
     share = y[inside].mean() if len(inside) else 0.5
     cost = np.where(y[inside] == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))

@@ -199,6 +199,8 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(columns, docs_names)
 
     docs_names = docs.columns
-    found = starts.select(F.col("doc").alias("__id"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
-    joined = docs.join(found, (docs[id_col] == found["__id"]) & (F.xxhash64(docs[text_col]) == found["__mark"]), "left").drop("__id", "__mark")
+    taken = "_" * (1 + max((len(c) for c in docs.columns), default=0))  # longer than any name of the input
+    found = starts.select(F.col("doc").alias(f"{taken}id"), F.col("mark").alias(f"{taken}mark"), F.col("starts").alias(f"{taken}starts"))
+    same = (docs[id_col] == found[f"{taken}id"]) & (F.xxhash64(docs[text_col]) == found[f"{taken}mark"])
+    joined = docs.join(found, same, "left").drop(f"{taken}id", f"{taken}mark")
     return joined.mapInArrow(run, kinds)

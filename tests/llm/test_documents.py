@@ -273,3 +273,28 @@ def test_pipeline_stages(spark, tmp_path):
             docs = new
         else:
             assert {r.doc_id for r in new.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_decides_per_row(spark, tmp_path):
+    """Rows that repeat an id, or have none, are kept or dropped by their own text."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(90))
+    one, other, third, lone = text(), text(), text(), text()
+    rows = [(1, one), (2, one), (2, other), (3, third), (3, third), (None, lone), (None, lone + " x"), (None, third), (4, None), (4, "")]
+    docs = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, doc_row int")
+    out = corpus_pipeline.near_dedup(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got in [sorted([(1, one), (2, other), (3, third), (None, kept), (4, None), (4, "")], key=str) for kept in (lone, lone + " x")]
+    leak = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(5, f"{one} {leak} {other}"), (5, other), (None, leak), (None, one)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, SMALL).collect()), key=str) == sorted([(5, other), (None, one)], key=str)
+    known = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = known.unionByName(known.where("doc_id < 40"))
+    kept = {r.doc_id: r["count"] for r in corpus_pipeline.quality(spark, docs, SMALL).groupBy("doc_id").count().collect()}
+    assert 0.5 * known.count() < len(kept) < known.count() and all(n == 1 + (d < 40) for d, n in kept.items())
+
+
+def test_cuts_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, 2), (2, None, 3, 4)], "doc_id long, text string, __id int, __mark int")
+    assert sorted(map(tuple, suffixes.cut_repeats(docs).collect())) == [(1, "a b", 1, 2), (2, None, 3, 4)]
