@@ -1,7 +1,8 @@
 """Corpus pipeline over ``documents``: stages applied in order, each reading what the one before wrote.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet before the next
-one starts. All but the last return the columns of their input. Rows without an id are never dropped.
+one starts. All but the last return the columns of their input. Decisions are made per row: rows that repeat an id or
+have none are told apart by a mark of their own.
 """
 
 from __future__ import annotations
@@ -20,23 +21,46 @@ from larkfield.llm.suffixes import cut_repeats
 LEAST_QUALITY = 0.3
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the given ids; the list of ids is sent to all tasks only within a bound."""
-    gone = Scratch(docs.sparkSession).keep(ids.where("doc_id is not null").select("doc_id").distinct(), "gone")
-    return docs.join(sized(gone), "doc_id", "left_anti").select(docs.columns)
+def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells its rows apart: ``doc_id`` where it does, else a new one in a written copy.
+
+    In the copy a smaller mark stands for a smaller id (none last); the text's hash and then the row's place order rows of one id.
+    """
+    ids = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if ids.isEmpty():
+        return docs, "doc_id"
+    mark = "doc_row"
+    while mark in docs.columns:
+        mark += "_"
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col(mark)]
+    placed = docs.withColumn(mark, F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(mark, F.monotonically_increasing_id())
+    return Scratch(docs.sparkSession).keep(ordered, "marked"), mark
+
+
+def _without(docs: DataFrame, gone: DataFrame, mark: str, columns: list[str]) -> DataFrame:
+    """``docs`` less the marked rows; the list of marks is sent to all tasks only within a bound."""
+    gone = Scratch(docs.sparkSession).keep(gone.select(mark).distinct(), "gone")
+    return docs.join(sized(gone), mark, "left_anti").select(columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier, learned from ``labels``, rejects."""
     Scratch.drop_finished()
-    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.where(F.col("score") < LEAST_QUALITY))
+    rows, mark = _marked(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    if mark != "doc_id":  # a label counts for every row of its document
+        labels = rows.select("doc_id", mark).join(labels, "doc_id").select(mark, "quality")
+    scores = quality_scores(rows, labels, id_col=mark)
+    return _without(rows, scores.where(F.col("score") < LEAST_QUALITY), mark, docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near-duplicates on five-word shingles."""
     Scratch.drop_finished()
-    return _without(docs, near_duplicates(docs, shingle=5).where(~F.col("kept")))
+    rows, mark = _marked(docs)
+    return _without(rows, near_duplicates(rows, id_col=mark, shingle=5).where(~F.col("kept")), mark, docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +73,9 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold passages of ``benchmark``."""
     Scratch.drop_finished()
-    return _without(docs, leaked_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    rows, mark = _marked(docs)
+    leaks = leaked_passages(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=mark)
+    return _without(rows, leaks, mark, docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
