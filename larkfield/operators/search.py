@@ -85,21 +85,30 @@ def _long_words_inside(wanted: Column, name: str) -> Column:
 
 
 def field_terms(items: DataFrame, names: Sequence[str], lex: Lexicon) -> DataFrame:
-    """1-3-gram counts of weighted fields in one pass: ``item_id, field, term, tf``."""
+    """1-3-gram counts of weighted fields, counted inside the row: ``item_id, field, term, tf``.
+
+    ``full`` is all parts one after the other, each as often as it counts; a part of its own is a field too.
+    """
     columns = [F.col(c) for c in ("title", "topics", "category", "description", "type")]
-    arrays = ti.spread(items, "item_id").select(
-        "item_id", *[ti.field_tokens(*columns, name, lex.stop).alias(f"_{name}") for name in names])
-    tagged = F.array(*[F.struct(F.lit(name).alias("field"), tx.with_ngrams(F.col(f"_{name}")).alias("terms")) for name in names])
-    return (arrays.select("item_id", F.explode(tagged).alias("f"))
-            .select("item_id", "f.field", F.explode("f.terms").alias("term"))
-            .groupBy("item_id", "field", "term").agg(F.count(F.lit(1)).alias("tf")))
+    parts = ti.field_parts(*columns, lex.stop)
+    wanted = [p for p in parts if "full" in names or p in names]
+    arrays = ti.dealt(items, "item_id").select("item_id", *[parts[p].alias(f"_{p}") for p in wanted])
+    out = None
+    for name in names:
+        pairs = [ti.repeated(F.col(f"_{p}"), ti.PART_TIMES[p]) for p in (parts if name == "full" else [name])]
+        row = arrays.select("item_id", F.concat(*[t for t, _ in pairs]).alias("_toks"), F.concat(*[n for _, n in pairs]).alias("_times"))
+        sizes = F.concat(*[F.slice("_times", F.lit(1), F.greatest(F.size("_times") - k, F.lit(0))) for k in range(3)])
+        counts = ti.counted(row, ["item_id"], tx.with_ngrams(F.col("_toks")), sizes)
+        one = ti.term_rows(counts, "item_id", F.lit(name).alias("field"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def tfidf_scores(items: DataFrame, queries: DataFrame, lex: Lexicon,
                  weights: Mapping[str, float] | None = None) -> DataFrame:
     """Weighted cosine over the title, topics and full fields: ``query_id, item_id, tfidf``.
 
-    Term counts and the bounded vocabularies are written once, since idf,
+    Term counts, the bounded vocabularies and the weights of their terms are written once, since idf,
     norms and scores all read them.
     """
     weights = dict(weights or nm.FIELD_WEIGHTS)
@@ -110,7 +119,7 @@ def tfidf_scores(items: DataFrame, queries: DataFrame, lex: Lexicon,
     share = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     q = ti.tfidf(q_terms, "query_id", vocab, fields=["field"], term_fields=[])
     q = durable(q.select("query_id", "field", "term", (F.col("weight") * share[F.col("field")]).alias("qw")))
-    raw = ti.raw_weights(terms, "item_id", vocab, fields=["field"])
+    raw = durable(ti.raw_weights(terms, "item_id", vocab, fields=["field"]))
     return ti.match_weights(raw, "item_id", q, "query_id", ["field"], "tfidf")
 
 
@@ -134,7 +143,8 @@ def char_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
     vocab = ti.vocabulary(terms, ti.row_total(items), max_df=1.0, max_features=None)
     q_terms = ti.doc_terms(queries, "query_id", tx.char_grams(F.col("query")))
     q = durable(ti.tfidf(q_terms, "query_id", vocab, sublinear=False).withColumnRenamed("weight", "qw"))
-    return ti.match_weights(ti.raw_weights(terms, "item_id", vocab, sublinear=False), "item_id", q, "query_id", name="char")
+    raw = durable(ti.raw_weights(terms, "item_id", vocab, sublinear=False))
+    return ti.match_weights(raw, "item_id", q, "query_id", name="char")
 
 
 def topic_scores(items: DataFrame, queries: DataFrame, lex: Lexicon) -> DataFrame:

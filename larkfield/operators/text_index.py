@@ -1,9 +1,8 @@
 """Term tables: counts, vocabularies, TF-IDF weights, BM25 and char channels.
 
-Documents are hash-partitioned by id before tokens are exploded. Counting
-terms, norming vectors and adding up scores per document all keep that
-partitioning, so raw text is the only thing shuffled by document. Per-term
-joins meet small sides (a bounded vocabulary, the terms of the queries);
+Terms are counted inside the row (run lengths of the sorted terms), so neither texts nor single tokens are
+shuffled; what leaves a document is one row per distinct term. Norms and scores are added up before they are
+shuffled by document. Per-term joins meet small sides (a bounded vocabulary, the terms of the queries);
 their size is left to runtime statistics instead of a forced broadcast.
 """
 
@@ -18,29 +17,61 @@ from larkfield.functions import text as tx
 from larkfield.session import durable
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by ``key`` before rows are exploded.
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as it is, unless it is so small that its scan would leave cores idle; then its rows are dealt out by ``key``.
 
-    The number of parts is fixed, because runtime coalescing looks at the
-    small rows before the explode. Small local sessions use few parts.
+    A table of more than one split per core is never moved.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        parts = min(parts, 2 * spark.sparkContext.defaultParallelism)
-    return df.repartition(parts, key)
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes", "128m").rstrip("bB") or "128m"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores, key) if size < cores * split else df
 
 
-def doc_terms(df: DataFrame, key: str, terms: Column, ngrams: int = 1) -> DataFrame:
-    """``(key, term, tf)`` out of an array of terms per row, with n-grams if asked for.
+def counted(df: DataFrame, keys: Sequence[str], terms: Column, sizes: Column | None = None) -> DataFrame:
+    """``keys, size, counts``: the number of terms of a row, and an array of its distinct terms with their counts.
 
-    The array is a column of its own before grams are cut from it; inlined, it
-    would be evaluated again for every use.
+    The counts are run lengths of the sorted array, found in one pass however long it is. ``sizes`` gives the
+    times each term counts, as an array of the same length (0 leaves it out).
+    """
+    if sizes is None:
+        ordered = df.select(*keys, F.sort_array(terms).alias("_all"))
+        term = lambda i: F.get("_all", i)
+    else:
+        pairs = F.filter(F.arrays_zip(terms.alias("term"), sizes.alias("n")), lambda x: x["n"] > 0)
+        ordered = df.select(*keys, F.sort_array(pairs).alias("_all"))
+        term = lambda i: F.get("_all", i)["term"]
+    last = F.size("_all") - 1
+    places = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    starts = ordered.select(*keys, "_all", F.filter(places, lambda i: (i == 0) | (term(i) != term(i - 1))).alias("_starts"))
+    length = lambda at, i: F.coalesce(F.get("_starts", i + 1), F.size("_all")) - at
+    if sizes is None:
+        size, times = F.size("_all"), length
+    else:
+        size = F.aggregate("_all", F.lit(0), lambda acc, x: acc + x["n"])
+        times = lambda at, i: F.when(length(at, i) == 1, F.get("_all", at)["n"]).otherwise(
+            F.aggregate(F.slice("_all", at + 1, length(at, i)), F.lit(0), lambda acc, x: acc + x["n"]))
+    counts = F.transform("_starts", lambda at, i: F.struct(term(at).alias("term"), times(at, i).cast("bigint").alias("tf")))
+    return starts.select(*keys, size.cast("bigint").alias("size"), counts.alias("counts"))
+
+
+def term_rows(counts: DataFrame, *keys: str | Column) -> DataFrame:
+    """One row ``keys, term, tf`` per entry of ``counts``.
+
+    A plain explode infers a filter on the array's size and moves it below all projections, which would work the
+    array out again for every part of it; the outer form doesn't.
     """
-    arrays = spread(df, key).select(key, terms.alias("_toks"))
+    return counts.select(*keys, F.explode_outer("counts").alias("_c")).filter(F.col("_c").isNotNull()).select(
+        "*", "_c.term", "_c.tf").drop("_c")
+
+
+def doc_terms(df: DataFrame, key: str, terms: Column, ngrams: int = 1) -> DataFrame:
+    """``(key, term, tf)`` out of an array of terms per row, with n-grams if asked for; one row of ``df`` per key."""
+    arrays = dealt(df, key).select(key, terms.alias("_toks"))
     every = tx.with_ngrams(F.col("_toks"), ngrams) if ngrams > 1 else F.col("_toks")
-    return (arrays.select(key, F.explode(every).alias("term"))
-            .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    return term_rows(counted(arrays, [key], every), key)
 
 
 def row_total(df: DataFrame) -> Column:
@@ -110,22 +141,39 @@ def cosine(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, na
             .agg(F.sum(F.col("weight") * F.col("_qw")).alias(name)))
 
 
-def field_tokens(title: Column, topics: Column, category: Column, description: Column, kind: Column,
-                 field: str, stop: Sequence[str] = tx.STOP_WORDS) -> Column:
-    """Weighted token list of a catalog field, repeated as often as the field counts.
+#: How often a token of a part counts in the field.
+PART_TIMES = {"title": 6, "topics": 5, "category": 4, "description": 2, "type": 2}
 
-    Multi-word topics, categories and types are glued into one token.
-    """
+
+def field_parts(title: Column, topics: Column, category: Column, description: Column, kind: Column,
+                stop: Sequence[str] = tx.STOP_WORDS) -> dict[str, Column]:
+    """Tokens of every part of a catalog item. Multi-word topics, categories and types are glued into one token."""
     def glued(text: Column) -> Column:
         return tx.words(F.replace(text, F.lit(" "), F.lit("")))
 
     # Topics are an array of normal forms; each becomes one glued word.
-    topic_words = F.flatten(F.transform(topics, glued))
-    times = {"title": (tx.words(title), 6), "topics": (topic_words, 5), "category": (glued(category), 4),
-             "description": (tx.words(description), 2), "type": (glued(kind), 2)}
-    wanted = list(times) if field == "full" else [field]
-    parts = [F.flatten(F.array_repeat(times[w][0], times[w][1])) for w in wanted]
-    return tx.drop_words(F.concat(*parts), stop, 2)
+    words = {"title": tx.words(title), "topics": F.flatten(F.transform(topics, glued)), "category": glued(category),
+             "description": tx.words(description), "type": glued(kind)}
+    return {name: tx.drop_words(tokens, stop, 2) for name, tokens in words.items()}
+
+
+def repeated(tokens: Column, times: int) -> tuple[Column, Column]:
+    """``tokens`` written ``times`` times, with nothing repeated: a shorter array and how often its places count.
+
+    N-grams (up to three tokens) that start at a place and are counted so often are those of the full array. The last two
+    tokens come once more than they are followed by the first two; those first two only show what follows. Arrays of one token are
+    repeated as they are.
+    """
+    size = F.size(tokens)
+    short = F.array_repeat(F.get(tokens, F.lit(0)), times)
+    if times == 1:
+        return tokens, F.array_repeat(F.lit(1), size)
+    tail = F.slice(tokens, F.greatest(size - 1, F.lit(1)), F.lit(2))
+    long = F.concat(tokens, F.slice(tokens, 1, 2), tail)
+    counts = F.concat(F.array_repeat(F.lit(times), size - 2), F.array_repeat(F.lit(times - 1), F.lit(2)), F.array(*map(F.lit, (0, 0, 1, 1))))
+    none = F.array()
+    return (F.when(size >= 2, long).when(size == 1, short).otherwise(none.cast("array<string>")),
+            F.when(size >= 2, counts).when(size == 1, F.array_repeat(F.lit(1), times)).otherwise(none.cast("array<int>")))
 
 
 def bm25(docs: DataFrame, doc_key: str, tokens: Column, queries: DataFrame, query_key: str, query_tokens: Column,
@@ -138,13 +186,13 @@ def bm25(docs: DataFrame, doc_key: str, tokens: Column, queries: DataFrame, quer
     """
     q = doc_terms(queries, query_key, query_tokens, ngrams).select(query_key, "term")
     wanted = q.select("term").distinct()
-    arrays = spread(docs, doc_key).select(doc_key, tokens.alias("_toks"))
-    grams = arrays.select(doc_key, tx.with_ngrams(F.col("_toks"), ngrams).alias("_terms"))
-    rows = grams.select(doc_key, F.size("_terms").alias("dl"), F.explode(
-        F.concat(F.array(F.lit(None).cast("string")), F.col("_terms"))).alias("term"))
+    arrays = dealt(docs, doc_key).select(doc_key, tokens.alias("_toks"))
+    counts = counted(arrays, [doc_key], tx.with_ngrams(F.col("_toks"), ngrams))
+    none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("tf"))
+    rows = term_rows(counts.withColumn("counts", F.concat(F.array(none), "counts")), doc_key, F.col("size").alias("dl"))
     hits = rows.join(wanted.withColumn("_hit", F.lit(True)), "term", "left").filter(
         F.col("term").isNull() | F.col("_hit"))
-    index = durable(hits.groupBy(doc_key, "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("tf")))
+    index = durable(hits.select(doc_key, "term", "dl", "tf"))
     lengths = index.filter("term IS NULL")
     stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("v")).scalar()
     postings = index.filter("term IS NOT NULL")

@@ -199,11 +199,10 @@ GRAMS_SQL = f"""grams AS (
 
 
 @query("h2_2_ngram_counts", f"WITH {GRAMS_SQL} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs "
-                            "FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 3")
+                            "FROM grams GROUP BY term")
 def ngram_counts(t: Tables) -> DataFrame:
     terms = ti.doc_terms(t.documents, "doc_id", tx.tokens(F.col("text")), 3)
-    counts = terms.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_docs"))
-    return counts.filter("n_docs >= 3")
+    return terms.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
 @query("h2_3_query_tokens", f"""
@@ -239,8 +238,11 @@ def clean_review(t: Tables) -> DataFrame:
     SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(t) term FROM toks) GROUP BY 1, 2""")
 def weighted_field_terms(t: Tables) -> DataFrame:
     c = e.catalog(t).withColumn("topics", topics_col(F.col("title")))
-    return ti.doc_terms(c, "item_id", ti.field_tokens(
-        F.col("title"), F.col("topics"), F.col("category"), F.col("description"), F.col("type"), "full"))
+    parts = ti.field_parts(*[F.col(x) for x in ("title", "topics", "category", "description", "type")])
+    arrays = c.select("item_id", *[tokens.alias(f"_{name}") for name, tokens in parts.items()])
+    times = [F.array_repeat(F.lit(ti.PART_TIMES[name]), F.size(f"_{name}")) for name in parts]
+    counts = ti.counted(arrays, ["item_id"], F.concat(*[F.col(f"_{name}") for name in parts]), F.concat(*times))
+    return ti.term_rows(counts, "item_id")
 
 
 # ----------------------------------------------------------- catalog building
