@@ -125,13 +125,14 @@ def match_weights(raw: DataFrame, key: str, queries: DataFrame, query_key: str,
                   name: str = "score") -> DataFrame:
     """Cosines of documents with weighted queries ``(query_key, *fields, term, qw)``.
 
-    Document norms are aggregated apart, so only rows that match a query term
-    are carried on; vectors are never sorted or rebuilt.
+    Only rows that match a query term are joined with the document norms; scores of a pair are then added up in one
+    aggregation, most of it before the shuffle, as a document's rows lie together.
     """
     part = [key, *fields]
     norms = raw.groupBy(*part).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"))
-    dots = raw.join(queries, [*fields, "term"]).groupBy(query_key, *part).agg(F.sum(F.col("raw") * F.col("qw")).alias("_dot"))
-    return dots.join(norms, part).groupBy(query_key, key).agg(F.sum(F.col("_dot") / F.col("_norm")).alias(name))
+    hits = raw.join(queries.select(*fields, "term").distinct(), [*fields, "term"], "left_semi").join(norms, part)
+    unit = hits.select(key, *fields, "term", (F.col("raw") / F.col("_norm")).alias("_w"))
+    return unit.join(queries, [*fields, "term"]).groupBy(query_key, key).agg(F.sum(F.col("_w") * F.col("qw")).alias(name))
 
 
 def cosine(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, name: str = "score") -> DataFrame:
