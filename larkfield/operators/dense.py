@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.operators.ranking import top_per_group
+from larkfield.session import durable
 
 VECTORS_PER_BLOCK = 20000
 QUERIES_PER_BLOCK = 2000
@@ -80,21 +81,98 @@ def above(vectors: DataFrame, queries: DataFrame, floor: float, skip_self: bool
     return _scored_blocks(vectors, queries, keep, SCHEMA)
 
 
-def nearest_lsh(vectors: DataFrame, queries: DataFrame, k: int, bucket_length: float = 2.0, tables: int = 4,
-                seed: int = 11) -> DataFrame:
-    """Approximate top ``k`` with random projections; recall is reported by :func:`recall`."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = vectors.select("item_id", array_to_vector(F.col("vector").cast("array<double>")).alias("vector"))
-    q = queries.select("query_id", array_to_vector(F.col("vector").cast("array<double>")).alias("vector"))
-    model = BucketedRandomProjectionLSH(inputCol="vector", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=tables, seed=seed).fit(v)
-    pairs = model.approxSimilarityJoin(q, v, 1.5, "distance").select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.item_id").alias("item_id"),
-        F.round(1 - F.col("distance") * F.col("distance") / 2, 9).alias("score"))
-    pairs = pairs.filter(F.col("query_id") != F.col("item_id"))
-    return top_per_group(pairs, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+def coarse_centres(vectors: DataFrame, n: int, sample: int = 20_000, rounds: int = 12) -> np.ndarray:
+    """``n`` unit centres by spherical k-means, fitted on at most ``sample`` vectors chosen by a hash of their ids."""
+    rows = vectors.orderBy(F.xxhash64("item_id", F.lit(3)), "item_id").limit(sample).select("vector").toPandas()
+    x = np.stack(rows["vector"].to_numpy()).astype("float64")
+    centres = x[:n].copy()  # in hash order, so as good as drawn at random
+    for _ in range(rounds):
+        own = np.argmax(x @ centres.T, axis=1)
+        for c in range(len(centres)):
+            mean = x[own == c].sum(axis=0)
+            length = np.linalg.norm(mean)
+            if length > 0:
+                centres[c] = mean / length
+    return centres
+
+
+def _with_centres(df: DataFrame, key: str, centres: np.ndarray, many: int) -> DataFrame:
+    """``df`` with the numbers of its ``many`` nearest centres, nearest first."""
+    def run(batches):
+        for part in batches:
+            near = np.argsort(-(np.stack(part["vector"].to_numpy()).astype("float64") @ centres.T), axis=1, kind="stable")[:, :many]
+            yield part.assign(cells=list(near.astype("int32")))
+
+    kind = df.schema["vector"].dataType.simpleString()
+    return df.select(key, "vector").mapInPandas(run, f"{key} long, vector {kind}, cells array<int>")
+
+
+def _codes(df: DataFrame) -> DataFrame:
+    """``item_id, cell, code, scale``: vectors as signed bytes of one scale each."""
+    def run(batches):
+        for part in batches:
+            x = np.stack(part["vector"].to_numpy()).astype("float64")
+            scale = np.maximum(np.abs(x).max(axis=1), 1e-300) / 127
+            code = [bytes(c) for c in np.round(x / scale[:, None]).astype("int8")]
+            yield pd.DataFrame({"item_id": part["item_id"], "cell": [c[0] for c in part["cells"]], "code": code, "scale": scale})
+
+    return df.mapInPandas(run, "item_id long, cell int, code binary, scale double")
+
+
+def shortlists(vectors: DataFrame, queries: DataFrame, size: int, centres: np.ndarray, probes: int, skip_self: bool = False) -> DataFrame:
+    """``query_id, item_id, guess, rank``: per query the ``size`` best rows of its ``probes`` nearest cells by byte codes.
+
+    Vectors lie in the cell of their nearest centre; cells of more than ``VECTORS_PER_BLOCK`` rows are split, and so are the queries that
+    probe a cell. Only codes (a byte per component) are shuffled, and ``size`` rows per query and block leave a task.
+    """
+    cells = durable(_codes(_with_centres(vectors, "item_id", centres, 1)))
+    asked = _with_centres(queries, "query_id", centres, probes).select("query_id", "vector", F.explode("cells").alias("cell"))
+    asked = durable(asked)
+    n_v = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VECTORS_PER_BLOCK).cast("int").alias("_nv"))
+    n_q = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).cast("int").alias("_nq"))
+    many = durable(n_v.join(n_q, "cell"))
+
+    def dealt(df, key, own, other):
+        return df.join(many, "cell").withColumns({
+            f"_{own}": F.pmod(F.xxhash64(key), F.col(f"_n{own}")).cast("int"),
+            f"_{other}": F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1))}).drop("_nv", "_nq")
+
+    left = dealt(cells, "item_id", "v", "q")
+    right = dealt(asked, "query_id", "q", "v").withColumnsRenamed({"cell": "cell_", "_v": "_v_", "_q": "_q_"})
+
+    def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if v.empty or q.empty:
+            return pd.DataFrame({"query_id": [], "item_id": [], "guess": []})
+        v = v.sort_values("item_id")
+        code = np.frombuffer(b"".join(v["code"]), "int8").reshape(len(v), -1).astype("float32")
+        guess = (np.stack(q["query_vector"].to_numpy()).astype("float32") @ code.T).astype("float64") * v["scale"].to_numpy()
+        ids, qids = v["item_id"].to_numpy(), q["query_id"].to_numpy()
+        if skip_self:
+            guess = np.where(qids[:, None] == ids[None, :], -np.inf, guess)
+        top = np.argsort(-guess, axis=1, kind="stable")[:, :size]
+        out = pd.DataFrame({"query_id": np.repeat(qids, top.shape[1]), "item_id": ids[top].ravel(),
+                            "guess": np.take_along_axis(guess, top, 1).ravel()})
+        return out[np.isfinite(out["guess"])]
+
+    right = right.withColumnRenamed("vector", "query_vector")
+    found = left.groupBy("cell", "_v", "_q").cogroup(right.groupBy("cell_", "_v_", "_q_")).applyInPandas(
+        run, "query_id long, item_id long, guess double")
+    return top_per_group(found, ["query_id"], [F.desc("guess"), F.asc("item_id")], size)
+
+
+def nearest_by_centres(vectors: DataFrame, queries: DataFrame, k: int, centres: int = 64, probes: int = 8, shortlist: int | None = None,
+                       skip_self: bool = False) -> DataFrame:
+    """Approximate top ``k``: cells of trained centres are probed by byte codes, then a short list is scored exactly.
+
+    ``shortlist`` (4 k by default) rows per query are compared in full precision. How many cells must be probed depends on how
+    far the vectors form groups; :func:`recall` measures it.
+    """
+    near = durable(shortlists(vectors, queries, shortlist or 4 * k, coarse_centres(vectors, centres), probes, skip_self))
+    pairs = near.select("query_id", "item_id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id").join(
+        vectors.select("item_id", F.col("vector").alias("_v")), "item_id")
+    product = F.zip_with("_q", "_v", lambda a, b: a.cast("double") * b.cast("double"))
+    scored = pairs.select("query_id", "item_id", F.aggregate(product, F.lit(0.0), lambda s, x: s + x).alias("score"))
+    return top_per_group(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("item_id")], k)
 
 
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:

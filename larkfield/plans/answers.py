@@ -9,7 +9,7 @@ from larkfield.functions import numbers as nm
 from larkfield.functions import text as tx
 from larkfield.operators import answers as an
 from larkfield.operators import catalog as cat
-from larkfield.operators import clean, dense, learn, search
+from larkfield.operators import clean, dense, learn, neighbours, search
 from larkfield.operators import evaluation as ev
 from larkfield.operators import query_text as qt
 from larkfield.operators import text_index as ti
@@ -36,11 +36,19 @@ SEED_SQL = f"""seed AS MATERIALIZED (SELECT query_id, item_id AS seed_id FROM ({
     JOIN fw b ON a.term = b.term AND b.item_id <> seed_id GROUP BY 1, 2, 3)"""
 
 
-@query("i8_item_neighbours", f"WITH {ITEMS_SQL}, {QUERY_GRAMS}, {BM25_SQL}, {SEED_SQL} {top_sql('cosines', 'cosine', 10)}")
+ALL_PAIRS_SQL = f"""{gram_counts('fg', 'item_id', field_sql('full'))}, {vocab_sql('fv', 'fg')}, {weight_sql('fw', 'item_id', 'fg', 'fv')}
+, every AS (SELECT a.item_id AS query_id, b.item_id, sum(a.w * b.w) AS cosine FROM fw a JOIN fw b ON a.term = b.term AND a.item_id <> b.item_id
+    GROUP BY 1, 2)"""
+
+
+@query("i8_item_neighbours", f"WITH {ITEMS_SQL}, {ALL_PAIRS_SQL} {top_sql('every', 'cosine', 10)}")
 def item_neighbours(t: Tables) -> DataFrame:
-    """Nearest documents of each seed by the full-field cosine."""
-    near = an.similar_items(items(t), _seeds(t).withColumn("query", F.lit(None).cast("string")), LEXICON, 300)
-    return shown(search.top_n(near.drop("rank", "score").withColumnRenamed("cosine", "score"), 10))
+    """The ten nearest documents of every document by the full-field cosine."""
+    c = items(t)
+    terms = durable(search.field_terms(c, ["full"], LEXICON).drop("field"))
+    vocab = durable(ti.vocabulary(terms, ti.row_total(c), LEXICON.max_df, LEXICON.max_features))
+    near = neighbours.nearest_items(ti.tfidf(terms, "item_id", vocab), 10)
+    return shown(near.withColumnsRenamed({"item_id": "query_id", "neighbour": "item_id", "cosine": "score"}))
 
 
 ITEM_SCORE_SQL = f"""near AS (SELECT * FROM cosines QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, item_id) <= 300)
