@@ -47,8 +47,8 @@ def item_similarity(t: Tables) -> DataFrame:
 @query("j1_item_similarity_large_baskets", with_entities("event_items") + f""", {SIM_SQL.format(source='event_items')}
     SELECT item_i, item_j, shared, round(sim, 6) AS sim FROM sim""")
 def item_similarity_large_baskets(t: Tables) -> DataFrame:
-    """Same result when baskets above the limit are handled without pairs."""
-    return cf.item_similarity(e.event_items(t), basket_limit=60).select(
+    """Baskets that hold most items, and items of most users taken apart."""
+    return cf.item_similarity(e.event_items(t), heavy=60).select(
         "item_i", "item_j", "shared", F.round("sim", 6).alias("sim"))
 
 

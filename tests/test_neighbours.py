@@ -57,12 +57,10 @@ def test_item_neighbours_are_exact(spark, monkeypatch, seed, k, block):
 
 def test_items_travel_only_where_they_can_gain(spark):
     """Two families without a shared word: no item is sent to the other family's block."""
-    import pyarrow as pa
-    tops = pa.table({"block": pa.array([0, 0, 1, 1], pa.int64()), "place": pa.array([1, 2, 3, 4], pa.int32()), "top": [0.9, 0.5, 0.8, 0.7]})
-    batch = pa.RecordBatch.from_pydict({"item_id": [7, 8], "places": pa.array([[1, 2], [2, 3]], pa.list_(pa.int32())), "weights": [[0.6, 0.8], [0.9, 0.4]],
-                                        "floor": [0.1, 0.3], "block": pa.array([0, 0], pa.int64())})
-    out = list(neighbours._routed(tops)(iter([batch])))[0].to_pydict()
-    assert out["item_id"] == [8] and out["block"] == [1]
+    tops = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.5), (1, 3, 0.8), (1, 4, 0.7)], "block long, place int, top double")
+    rows = [(7, [1, 2], [0.6, 0.8], 0.1, 0), (8, [2, 3], [0.9, 0.4], 0.3, 0), (9, [3], [0.2], 0.3, 0)]
+    asking = spark.createDataFrame(rows, "item_id long, places array<int>, weights array<double>, floor double, block long")
+    assert [tuple(r) for r in neighbours.routes(asking, tops).collect()] == [(8, 1)]
 
 
 @pytest.mark.parametrize("lengths", [(0, 1, 2, 3, 5), (1, 1, 1, 1, 1), (2, 0, 2, 0, 1), (7, 4, 1, 2, 3)])
