@@ -24,7 +24,7 @@ from larkfield.llm.common import Scratch, components
 from larkfield.llm.quality import sized
 
 SAMPLE = 4000
-SHARD, BLOCK = 800, 1500
+SHARD, BLOCK = 1200, 1500
 CLUSTERS = 128
 LEAST_HOMES, MARGIN = 3, 0.06
 DEGREE, MEDOIDS, BEAM, STEPS, SLACK = 24, 16, 48, 48, 0.08
@@ -251,7 +251,8 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     scratch.drop("units")
     counts = usable.groupBy("label", "size").count()
     ranked = usable.withColumn("rank", F.row_number().over(Window.partitionBy("label", "size").orderBy(F.xxhash64("vec"), "vec")))
-    k = F.least(F.ceil(F.col("count") / SHARD), F.lit(CLUSTERS))
+    # A vector has LEAST_HOMES homes, so shards keep about SHARD vectors, copies included.
+    k = F.least(F.ceil(F.col("count") * LEAST_HOMES / SHARD), F.lit(CLUSTERS))
     sample = ranked.where(F.col("rank") <= SAMPLE).join(counts, ["label", "size"]).select("label", "size", "unit", k.alias("k"))
     centres = scratch.keep(sample.groupBy("label", "size").applyInArrow(_centres, f"label {label_kind}, size int, centres binary"), "centres")
     placed = usable.join(sized(centres), ["label", "size"]).select("vec", "label", "size", "unit", "centres", "weight")
