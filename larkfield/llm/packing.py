@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkfield.llm.common import Scratch
-from larkfield.llm.token_ids import IdEncoder, id_encoder
+from larkfield.llm.token_ids import added_tokens, id_encoder
 
 CAPACITY = 2048
 SALTS = 256
@@ -38,14 +38,15 @@ class PieceEncoder(dict):
 
     room = 300_000
 
-    def __init__(self, ranks_path: str, pattern: str, whole: IdEncoder):
+    def __init__(self, name: str):
         import base64
 
+        import public_tokenizers
         import tiktoken
-        self.whole, self.added = whole, whole.added
-        with open(ranks_path, "rb") as lines:
+        self.name, self.added = name, added_tokens(public_tokenizers.path(f"{name}.json"))
+        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, chunk: str) -> bytes:
         ids = np.array(self.encode(" " + chunk), "<u4").tobytes()
@@ -57,7 +58,7 @@ class PieceEncoder(dict):
 
     def ids(self, text: str) -> bytes:
         if any(token in text for token in self.added):  # such tokens are cut out before anything else
-            return self.whole.of([text])[0]
+            return id_encoder(self.name).of([text])[0]
         if _ODD_BLANKS.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -67,8 +68,7 @@ class PieceEncoder(dict):
 def piece_encoder(name: str = "byte_bpe_50k") -> PieceEncoder:
     """The worker's encoder of a public vocabulary, loaded once per process."""
     if name not in _ENCODERS:
-        import public_tokenizers
-        _ENCODERS[name] = PieceEncoder(public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, id_encoder(name))
+        _ENCODERS[name] = PieceEncoder(name)
     return _ENCODERS[name]
 
 
@@ -90,6 +90,7 @@ def _pieces(capacity: int, vocabulary: str):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc", "piece", "start", "length", "ids_crc32"])
+        encoder.clear()  # workers go on to other stages
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -90,6 +91,12 @@ class IdEncoder(dict):
         yield from self.of(group)
 
 
+def added_tokens(path: str) -> list[str]:
+    """Strings that a tokenizer file takes as one token before anything else, without loading the tokenizer."""
+    with open(path, encoding="utf-8") as file:
+        return [t["content"] for t in json.load(file).get("added_tokens", [])]
+
+
 def _bytes(ids: list[int]) -> bytes:
     packed = array("I", ids)
     if sys.byteorder == "big":
