@@ -175,25 +175,30 @@ def collapse_repeats(text: Column, longest: int = 4) -> Column:
     return F.when(text.isNotNull(), F.aggregate(rounds, F.struct(start.alias("t"), F.lit(False).alias("still")), step, lambda s: s["t"]))
 
 
-CLOSING = ",;:!?"
+#: Kinds of characters in running text.
+KINDS = {"word": r"[\p{L}\p{N}]", "letter": r"\p{L}", "capital": r"\p{Lu}", "open": r"[(\[{«“]", "close": r"[)\]}»”]",
+         "pause": r"[,;:]", "end": r"[.!?…]", "stop": r"(?<=[\p{Ll}\p{N})\]}»”])[.!?…]"}
+#: Pairs of neighbours that take one blank, and pairs that take none; all others stay as they were written.
+APART = (("pause", "letter"), ("stop", "capital"), ("close", "letter"))
+TOGETHER = (("word", "pause"), ("word", "end"), ("word", "close"), ("close", "pause"), ("close", "end"), ("open", "word"))
 
 
-def clean_display(text: Column) -> Column:
-    """Readable text: no stuttering, tidy spaces at punctuation, split glued sentences, capital start.
+def spaced(text: Column, apart: Sequence[tuple[str, str]] = APART, together: Sequence[tuple[str, str]] = TOGETHER) -> Column:
+    """Blanks between neighbouring characters by the tables of pairs of kinds; links stay as they are."""
+    def word(one: Column) -> Column:
+        for left, right in apart:
+            one = F.regexp_replace(one, f"({KINDS[left]})({KINDS[right]})", "$1 $2")
+        return one
 
-    Works word by word: a word that is only closing signs joins the word before; a pause sign or the end of a
-    sentence inside a word, with a letter after it, opens a new word there.
-    """
-    def spread(word: Column) -> Column:
-        opened = F.regexp_replace(word, rf"([,;:])(\p{{L}})", "$1 $2")
-        return F.regexp_replace(opened, r"(\p{Ll}\p{Ll}[.!?])(\p{Lu}\p{Ll})", "$1 $2")
+    out = F.array_join(F.transform(F.split(text, " "), lambda w: F.when(w.contains("://"), w).otherwise(word(w))), " ")
+    for left, right in together:
+        out = F.regexp_replace(out, f"({KINDS[left]}) +({KINDS[right]})", "$1$2")
+    return out
 
-    def glued(word: Column) -> Column:
-        head = F.left(word, F.lit(1))
-        return F.when(F.lit(CLOSING).contains(head) | (word == "."), word).otherwise(F.concat(F.lit(" "), word))
 
-    parts = F.transform(F.filter(F.split(collapse_repeats(text), " "), lambda w: w != ""), lambda w: glued(spread(w)))
-    shown = F.trim(F.array_join(parts, ""))
+def clean_display(text: Column) -> Column:
+    """Readable text: no stuttering, blanks at signs by the tables of :func:`spaced`, capital start."""
+    shown = squeeze(spaced(collapse_repeats(text)))
     return F.concat(F.upper(F.left(shown, F.lit(1))), F.substring(shown, 2, 2147483647))
 
 

@@ -421,14 +421,12 @@ def mmr(t: Tables) -> DataFrame:
     return shown(search.mmr(pool.join(vectors(t), "item_id"), 10))
 
 
+# Four rankings that use every step at least once.
 RANKINGS = {
-    "words": search.Ranking(search.Candidates("lexical")),
-    "weights": search.Ranking(search.Candidates("tfidf")),
-    "lengths": search.Ranking(search.Candidates("bm25")),
-    "vectors": search.Ranking(search.Candidates("embedding")),
-    "topics": search.Ranking(search.Candidates("embedding"), frozenset({"topic"})),
-    "hints": search.Ranking(search.Candidates("embedding"), frozenset({"category", "title"}), rerank_pool=48),
-    "forms": search.Ranking(search.Candidates("rag_fusion"), search.ALL_SIGNALS, 48, search.Diversify()),
+    "plain_text": search.Ranking(search.Candidates("lexical", 300), frozenset({"title"})),
+    "long_text": search.Ranking(search.Candidates("bm25", 200), frozenset({"topic"}), rerank_pool=24),
+    "meaning": search.Ranking(search.Candidates("embedding"), frozenset({"topic", "category"}), diversify=search.Diversify(k=5)),
+    "both_forms": search.Ranking(search.Candidates("rag_fusion", 100), search.ALL_SIGNALS, 24, search.Diversify(k=6, weight=0.8)),
 }
 
 
