@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -143,11 +142,66 @@ def split_tables(events: DataFrame, tables: TypedTables, checkpoint: str) -> Non
 
 
 def current_state(events: DataFrame) -> DataFrame:
-    """Latest row image per table and key; deleted keys are gone."""
+    """Latest row image per table and key of a whole event log; deleted keys are gone."""
     last = keep_first(events, ["table_name", "key"], [F.desc("position")])
     return last.withColumn("after", after_of(F.col("value"))).filter(F.col("after").isNotNull()).select(
         "table_name", "key", "position", "after")
 
 
+# ------------------------------------------------------- state between batches
+
+#: State kept on disk with a log of changes, so that its size is not bound by memory.
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def latest_images(events: DataFrame) -> DataFrame:
+    """Stream of the keys with news in a batch and their newest image; ``after`` is null when the row was deleted.
+
+    The state per key is its last position and image. A deleted key keeps its
+    position, so that an older event of a later batch does not bring the row
+    back. Every task first reduces its events to one row per key, so a key of
+    very many events costs one row per task in the shuffle. (A Python state
+    processor calls the state store for every key: 48 s against 21 s, start of
+    Spark included, for 16 500 keys.)
+
+    Events without a table, key or position belong to no row and are left out.
+    """
+    images = events.dropna(subset=["table_name", "key", "position"]).select(
+        "table_name", "key", F.struct("position", after_of(F.col("value")).alias("after")).alias("image"))
+    return images.groupBy("table_name", "key").agg(F.max("image").alias("latest")).select("table_name", "key", "latest.*")
+
+
+def keep_state(events: DataFrame, checkpoint: str) -> None:
+    """Take the events that are new since the last run into the keyed state at ``checkpoint``.
+
+    A batch that is run again after a failure starts from the state of the
+    batch before it. Only new events are read, never the log.
+    """
+    conf = events.sparkSession.conf
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, STATE_PROVIDER)
+    try:
+        q = (latest_images(events).writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        if before is None:
+            conf.unset(name)
+        else:
+            conf.set(name, before)
+
+
+def kept_state(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """Current rows from the keyed state (of one batch, if named): ``table_name, key, position, after``."""
+    reader = spark.read.format("statestore")
+    if batch is not None:
+        reader = reader.option("batchId", batch)
+    rows = reader.load(checkpoint)
+    latest = F.col(f"value.`{rows.schema['value'].dataType.names[-1]}`")
+    return rows.select("key.table_name", "key.key", latest["position"].alias("position"), latest["after"].alias("after")).filter(
+        "after IS NOT NULL")
+
+
 def raw_schema() -> StructType:
     return StructType.fromDDL(RAW_SCHEMA)
