@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,45 +147,74 @@ def paired(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return left.join(b.select("query_id", F.col(value).alias("b")), "query_id").withColumn("diff", F.col("a") - F.col("b"))
 
 
-def poisson_weight(key: Column, draw: Column, seed: int) -> Column:
-    """Poisson(1) count from a hash of key and draw, so it is the same on any partitioning."""
-    u = (F.pmod(F.xxhash64(key, draw, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    total, count, p = 0.0, F.lit(0), math.exp(-1)
-    for k in range(1, 12):
-        total += p
-        count = F.when(u > total, k).otherwise(count)
-        p /= k
-    return count
+#: Rows weighted at once: bounds a task's memory to this many rows times the draws.
+ROWS_AT_ONCE = 512
 
 
-def bootstrap_means(rows: DataFrame, key: str, numerator: Column, denominator: Column, draws: int, seed: int) -> DataFrame:
-    """``draws`` bootstrap ratios ``sum(w * numerator) / sum(w * denominator)`` in one pass.
+def poisson_limits(most: int = 18) -> np.ndarray:
+    """Cumulative Poisson(1) chances; a uniform number's place among them is its count."""
+    return np.cumsum([math.exp(-1) / math.factorial(k) for k in range(most)])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers scrambled by xor-shifts and odd multipliers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Each row expands to its draws inside the scan and is summed map-side, so the
-    shuffle carries one row per draw and task.
-    """
-    d = rows.select(F.col(key).alias("_k"), numerator.alias("_num"), denominator.alias("_den")).withColumn(
-        "draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    w = poisson_weight(F.col("_k"), F.col("draw"), seed)
-    return d.withColumn("_w", w).groupBy("draw").agg((F.sum(F.col("_w") * F.col("_num")) / F.sum(F.col("_w") * F.col("_den")))
-                                                     .alias("value"))
 
+def poisson_counts(keys: np.ndarray, draws: int) -> np.ndarray:
+    """Poisson(1) counts (rows x draws) from hashed keys, the same on any partitioning."""
+    steps = np.arange(1, draws + 1, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
+    bits = mixed(keys.astype("int64").view("uint64")[:, None] + steps[None, :])
+    return np.searchsorted(poisson_limits(), (bits >> np.uint64(11)) * 2.0 ** -53, side="right").astype("float64")
 
-def interval(values: DataFrame, level: float = 0.95) -> DataFrame:
-    """Percentile interval and spread of a bounded number of bootstrap values."""
+
+def bootstrap_ratios(rows: DataFrame, key: str, ratios: Mapping[str, tuple[Column, Column]], draws: int, seed: int) -> DataFrame:
+    """Bootstrap values of ratios ``sum(w * numerator) / sum(w * denominator)``: one row per draw, a column per name.
+
+    Draw 0 is the sample itself. All ratios and draws come from one scan: a task
+    weights its rows by Poisson counts, adds them up in arrays and emits one row
+    per draw, whatever its number of rows. A null part adds nothing.
+    """
+    parts = [F.coalesce(c.cast("double"), F.lit(0.0)) for pair in ratios.values() for c in pair]
+    width = len(parts)
+    flat = rows.select(F.xxhash64(key, F.lit(seed)).alias("k"), F.array(*parts).alias("x"))
+
+    def add_up(batches):
+        sums = np.zeros((draws + 1, width))
+        seen = False
+        for part in batches:
+            for at in range(0, len(part), ROWS_AT_ONCE):
+                seen = True
+                x = np.stack(part["x"].to_numpy()[at:at + ROWS_AT_ONCE])
+                sums[0] += x.sum(axis=0)
+                sums[1:] += poisson_counts(part["k"].to_numpy()[at:at + ROWS_AT_ONCE], draws).T @ x
+        if seen:
+            yield pd.DataFrame({"draw": np.arange(draws + 1), **{f"s{i}": sums[:, i] for i in range(width)}})
+
+    schema = "draw int, " + ", ".join(f"s{i} double" for i in range(width))
+    total = flat.mapInPandas(add_up, schema).groupBy("draw").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)])
+    return total.select("draw", *[F.try_divide(f"s{2 * i}", f"s{2 * i + 1}").alias(name) for i, name in enumerate(ratios)])
+
+
+def intervals(drawn: DataFrame, names: Sequence[str], level: float = 0.95) -> DataFrame:
+    """Value of the sample, percentile interval and spread per name, from a bounded number of draws."""
     side = (1 - level) / 2
-    return values.agg(F.percentile("value", side).alias("ci_low"), F.percentile("value", 1 - side).alias("ci_high"),
-                      F.stddev_samp("value").alias("se"), F.avg((F.col("value") <= 0).cast("double")).alias("share_below"),
-                      F.avg((F.col("value") >= 0).cast("double")).alias("share_above"))
+    long = drawn.select("draw", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("x")).select(
+        "draw", "x.*").withColumn("drawn", F.when(F.col("draw") > 0, F.col("value")))
+    return long.groupBy("name").agg(
+        F.max(F.when(F.col("draw") == 0, F.col("value"))).alias("value"), F.percentile("drawn", side).alias("ci_low"),
+        F.percentile("drawn", 1 - side).alias("ci_high"), F.stddev_samp("drawn").alias("se"),
+        F.avg((F.col("drawn") <= 0).cast("double")).alias("share_below"), F.avg((F.col("drawn") >= 0).cast("double")).alias("share_above"))
 
 
 def paired_bootstrap(pairs: DataFrame, draws: int = 1000, seed: int = 13, level: float = 0.95) -> DataFrame:
-    """Mean difference, interval and two-sided p of per-query differences."""
-    mean = pairs.agg(F.avg("diff").alias("mean_diff"))
-    ci = interval(bootstrap_means(pairs, "query_id", F.col("diff"), F.lit(1.0), draws, seed), level)
-    out = ci.withColumn("mean_diff", mean.scalar())
-    p = 2 * F.when(F.col("mean_diff") >= 0, F.col("share_below")).otherwise(F.col("share_above"))
-    return out.select("mean_diff", "ci_low", "ci_high", F.least(p, F.lit(1.0)).alias("p_value"))
+    """Mean difference, interval and two-sided p of per-query differences, in one scan."""
+    some = F.col("diff").isNotNull().cast("double")
+    out = intervals(bootstrap_ratios(pairs, "query_id", {"mean": (F.col("diff"), some)}, draws, seed), ["mean"], level)
+    p = 2 * F.when(F.col("value") >= 0, F.col("share_below")).otherwise(F.col("share_above"))
+    return out.select(F.col("value").alias("mean_diff"), "ci_low", "ci_high", F.least(p, F.lit(1.0)).alias("p_value"))
 
 
 def t_statistic(pairs: DataFrame) -> DataFrame:
@@ -314,13 +345,8 @@ def policy_values(log: DataFrame, clip: float | None = None) -> DataFrame:
 
 
 def policy_intervals(log: DataFrame, key: str, draws: int = 500, seed: int = 17, clip: float | None = None) -> DataFrame:
-    """Bootstrap interval of each off-policy value."""
+    """Each off-policy value of the log with its bootstrap interval; one scan for all estimators."""
     w, r = importance("behavior_prop", "target_prop", clip), F.col("reward")
-    parts = {"ips": (w * r, F.lit(1.0)), "snips": (w * r, w),
-             "dr": (F.col("v_target") + w * (r - F.col("q_logged")), F.lit(1.0))}
-    out = None
-    for name, (num, den) in parts.items():
-        one = interval(bootstrap_means(log, key, num, den, draws, seed)).select(
-            F.lit(name).alias("estimator"), "ci_low", "ci_high", "se")
-        out = one if out is None else out.unionByName(one)
-    return out
+    ratios = {"ips": (w * r, F.lit(1.0)), "snips": (w * r, w), "dr": (F.col("v_target") + w * (r - F.col("q_logged")), F.lit(1.0))}
+    drawn = bootstrap_ratios(log, key, ratios, draws, seed)
+    return intervals(drawn, list(ratios)).select(F.col("name").alias("estimator"), "value", "ci_low", "ci_high", "se")

@@ -353,6 +353,25 @@ def policy_intervals(t: Tables) -> DataFrame:
     return _rounded(ev.policy_intervals(bandit_log(t), "event_id", draws=100))
 
 
+@query("k14_interval_checks", f"""WITH {BANDIT_SQL}, w AS (SELECT *, target_prop / behavior_prop AS w FROM log)
+    , v AS (SELECT avg(w * reward) AS ips, sum(w * reward) / sum(w) AS snips, avg(v_target + w * (reward - q_logged)) AS dr FROM w)
+    SELECT estimator, round(value, 6) AS value, true AS holds_value, true AS spread_fits FROM (
+        SELECT 'ips' AS estimator, ips AS value FROM v UNION ALL SELECT 'snips', snips FROM v UNION ALL SELECT 'dr', dr FROM v)""")
+def interval_checks(t: Tables) -> DataFrame:
+    """Values of the estimators; their intervals hold them and spread as the closed-form standard error says (to a quarter)."""
+    log = bandit_log(t)
+    w, r = ev.importance("behavior_prop", "target_prop"), F.col("reward")
+    snips = log.agg((F.sum(w * r) / F.sum(w)).alias("v")).scalar()
+    n = F.count(F.lit(1))
+    errors = log.withColumn("_s", snips).agg(F.create_map(
+        F.lit("ips"), F.stddev_samp(w * r) / F.sqrt(n),
+        F.lit("snips"), F.sqrt(F.sum(F.pow(w * (r - F.col("_s")), 2))) / F.sum(w),
+        F.lit("dr"), F.stddev_samp(F.col("v_target") + w * (r - F.col("q_logged"))) / F.sqrt(n)).alias("v")).scalar()
+    out = ev.policy_intervals(log, "event_id", draws=400).withColumn("_e", F.element_at(errors, F.col("estimator")))
+    return out.select("estimator", F.round("value", 6).alias("value"), F.col("value").between(F.col("ci_low"), F.col("ci_high")).alias("holds_value"),
+                      (F.abs(F.col("se") / F.col("_e") - 1) < 0.25).alias("spread_fits"))
+
+
 # ----------------------------------------------------------------- thresholds
 
 SCORED_SQL = "scored AS (SELECT doc_id, quality, toxic, least(1, n_chars / 4000) AS score FROM labels JOIN documents USING (doc_id))"

@@ -310,6 +310,24 @@ def test_bootstrap_covers_the_mean_and_repeats(spark):
     assert a["ci_low"] == pytest.approx(b["ci_low"]) and a["p_value"] < 0.05
 
 
+def test_bootstrap_draws_equal_weighting_row_by_row(spark):
+    rng = random.Random(2)
+    data = [(i, rng.random(), rng.random() if i % 9 else None) for i in range(3000)]
+    df = spark.createDataFrame(data, "query_id long, a double, b double")
+    ratios = {"x": (F.col("a"), F.col("b")), "y": (F.col("b"), F.lit(1.0))}
+    keys = df.select("query_id", F.xxhash64("query_id", F.lit(5)).alias("k")).toPandas().set_index("query_id")["k"]
+    w = ev.poisson_counts(np.array([keys[i] for i, _, _ in data]), 40)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(w[:-1, 0], w[1:, 0])[0, 1]) < 0.06
+    a, b = np.array([x for _, x, _ in data]), np.array([x or 0.0 for _, _, x in data])
+    for parts in (1, 7):
+        got = ev.bootstrap_ratios(df.repartition(parts), "query_id", ratios, 40, 5).orderBy("draw").toPandas()
+        assert got["x"][0] == pytest.approx(a.sum() / b.sum()) and got["y"][0] == pytest.approx(b.sum() / 3000)
+        assert list(got["x"][1:]) == pytest.approx(list((w * a[:, None]).sum(0) / (w * b[:, None]).sum(0)))
+        assert list(got["y"][1:]) == pytest.approx(list((w * b[:, None]).sum(0) / w.sum(0)))
+    assert ev.bootstrap_ratios(df.limit(0), "query_id", ratios, 3, 5).count() == 0
+
+
 def test_gini_and_coverage(spark):
     rec = spark.createDataFrame([(1,), (1,), (2,)], "item_id long")
     items = spark.createDataFrame([(1,), (2,), (3,), (4,)], "item_id long")
