@@ -25,8 +25,12 @@ def _blocks(df: DataFrame, size: int) -> int:
     return max(1, math.ceil(df.count() / size))
 
 
-def _scored_blocks(vectors: DataFrame, queries: DataFrame, keep, schema: str) -> DataFrame:
-    """Run ``keep(query_ids, item_ids, scores)`` on every pair of blocks."""
+def _scored_blocks(vectors: DataFrame, queries: DataFrame, keep, schema: str, listed: DataFrame | None = None) -> DataFrame:
+    """Run ``keep(query_ids, item_ids, scores)`` on every pair of blocks; ``listed`` pairs score minus infinity.
+
+    A query's listed items travel with it, each only to the block that holds
+    the item, so a task has no more of them than scores.
+    """
     parts = vectors.sparkSession.sparkContext.defaultParallelism
     n_v = max(_blocks(vectors, VECTORS_PER_BLOCK), min(parts, _blocks(vectors, 100)))
     n_q = _blocks(queries, QUERIES_PER_BLOCK)
@@ -37,12 +41,23 @@ def _scored_blocks(vectors: DataFrame, queries: DataFrame, keep, schema: str) ->
                            F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), "query_id",
                            F.col("vector").alias("query_vector"))
 
+    if listed is not None:
+        barred = listed.groupBy("query_id", F.pmod(F.xxhash64("item_id"), F.lit(n_v)).cast("int").alias("vb")).agg(
+            F.collect_set("item_id").alias("barred"))
+        right = right.join(barred, ["query_id", "vb"], "left")
+
     def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if v.empty or q.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        v = v.sort_values("item_id", kind="stable")
         a = np.stack(q["query_vector"].to_numpy()).astype("float64")
         b = np.stack(v["item_vector"].to_numpy()).astype("float64")
-        return keep(q["query_id"].to_numpy(), v["item_id"].to_numpy(), a @ b.T)
+        ids, scores = v["item_id"].to_numpy(), a @ b.T
+        if "barred" in q:
+            for row, items in enumerate(q["barred"]):
+                if items is not None:
+                    scores[row, np.isin(ids, items)] = -np.inf
+        return keep(q["query_id"].to_numpy(), ids, scores)
 
     return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(run, schema)
 
@@ -50,14 +65,15 @@ def _scored_blocks(vectors: DataFrame, queries: DataFrame, keep, schema: str) ->
 SCHEMA = "query_id long, item_id long, score double"
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False,
+            listed: DataFrame | None = None) -> DataFrame:
     """Exact top ``k`` items per query by dot product, ties (to nine places) by item id.
 
     ``vectors(item_id, vector)`` and ``queries(query_id, vector)`` hold unit vectors.
+    Pairs of ``listed(query_id, item_id)`` are passed over inside the blocks, so
+    a query with a long list still gets ``k`` others from one pass.
     """
     def keep(qids, iids, scores):
-        order = np.argsort(iids, kind="stable")
-        iids, scores = iids[order], scores[:, order]
         if skip_self:
             scores = np.where(qids[:, None] == iids[None, :], -np.inf, scores)
         top = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
@@ -65,7 +81,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = Fa
                             "score": np.take_along_axis(scores, top, 1).ravel()})
         return out[np.isfinite(out["score"])]
 
-    found = _scored_blocks(vectors, queries, keep, SCHEMA)
+    found = _scored_blocks(vectors, queries, keep, SCHEMA, listed)
     return top_per_group(found, ["query_id"], [F.desc(F.round("score", 9)), F.asc("item_id")], k)
 
 

@@ -141,19 +141,31 @@ def expected_reward(model: PipelineModel, candidates: DataFrame, keys: Sequence[
     return scored.groupBy(*keys).agg((F.sum(F.col(share) * F.col("_p")) / F.sum(share)).alias("v_target"))
 
 
-def pairwise_ranker(rows: DataFrame, features: Sequence[str], seed: int = 42, per_positive: int = 4) -> PipelineModel:
-    """Linear ranker from feature differences of graded pairs of one query.
-
-    Every row meets ``per_positive`` seeded rows of lower grade through numbered
-    slots, so pairs grow with rows and not with their square.
+def graded_pairs(rows: DataFrame, per_row: int = 4, seed: int = 42) -> DataFrame:
+    """Pairs of a row and one of lower grade of the same query: ``query_id, item_id, grade, f, other, lower, g``.
+
+    ``rows(query_id, item_id, grade, f)``, one row per query and item; rows without a grade take
+    no part. Rows are numbered in a seeded order inside query and grade. A row
+    meets ``per_row`` rows of every lower grade (all, if there are fewer): the
+    places that follow ``per_row`` times its own, around the end. So pairs grow
+    with rows, lower rows are used evenly, and grade 2 over 1 is learned as well as 1 over 0.
     """
+    draw = F.pmod(F.xxhash64("query_id", "item_id", F.lit(seed)), F.lit(1000000))
+    base = rows.filter("grade IS NOT NULL").select("query_id", "item_id", "grade", "f", draw.alias("_draw"))
+    placed = group_positions(base, ["query_id", "grade"], [F.col("_draw"), F.col("item_id")], F.floor(F.col("_draw") / 10000), "_pos").drop("_draw")
+    sizes = base.groupBy("query_id", F.col("grade").alias("lower")).agg(F.count(F.lit(1)).alias("_n"))
+    slots = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(per_row), F.col("_n")) - 1)
+    high = placed.join(sizes, "query_id").filter(F.col("lower") < F.col("grade")).withColumn("_slot", F.explode(slots)).withColumn(
+        "_at", F.pmod((F.col("_pos") - 1) * per_row + F.col("_slot"), F.col("_n")) + 1)
+    low = placed.select("query_id", F.col("grade").alias("lower"), F.col("_pos").alias("_at"), F.col("item_id").alias("other"), F.col("f").alias("g"))
+    return high.join(low, ["query_id", "lower", "_at"]).select("query_id", "item_id", "grade", "f", "other", "lower", "g")
+
+
+def pairwise_ranker(rows: DataFrame, features: Sequence[str], seed: int = 42, per_positive: int = 4) -> PipelineModel:
+    """Linear ranker from feature differences of :func:`graded_pairs`."""
     vec = F.array(*[F.col(c).cast("double") for c in features])
-    base = rows.select("query_id", "item_id", "grade", vec.alias("f"))
-    slot = F.pmod(F.xxhash64("query_id", "item_id", F.lit(seed)), F.lit(per_positive)).cast("int")
-    low = base.filter("grade = 0").select("query_id", slot.alias("slot"), F.col("f").alias("g"), F.col("item_id").alias("_id"))
-    one = low.groupBy("query_id", "slot").agg(F.min(F.struct("_id", "g"))["g"].alias("g"))
-    high = base.filter("grade > 0").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1))))
-    pairs = high.join(one, ["query_id", "slot"]).select(F.zip_with("f", "g", lambda a, b: a - b).alias("d"))
+    found = graded_pairs(rows.select("query_id", "item_id", "grade", vec.alias("f")), per_positive, seed)
+    pairs = found.select(F.zip_with("f", "g", lambda a, b: a - b).alias("d"))
     both = pairs.select(F.explode(F.array(F.struct(F.col("d"), F.lit(1.0).alias("label")),
                                           F.struct(F.transform("d", lambda x: -x).alias("d"), F.lit(0.0).alias("label")))).alias("x")).select("x.*")
     wide = both.select("label", *[F.col("d")[i].alias(c) for i, c in enumerate(features)])

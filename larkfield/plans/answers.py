@@ -15,6 +15,7 @@ from larkfield.operators import query_text as qt
 from larkfield.operators import text_index as ti
 from larkfield.operators.judgments import random_unlisted, seeded
 from larkfield.operators.ranking import keep_first, top_per_group
+from larkfield.plans.entities import event_items, with_entities
 from larkfield.plans.evaluation import same_label
 from larkfield.plans.registry import Tables, query
 from larkfield.plans.search import (BM25_SQL, ITEMS_SQL, LEXICON, PAIRS_SQL, QUERY_GRAMS, field_sql, gram_counts, items, queries,
@@ -221,20 +222,13 @@ def features(t: Tables, with_char: bool = False) -> DataFrame:
         "popularity": F.log1p(F.coalesce("_pop", F.lit(0))), "title_length": F.least(F.length("title") / 80, F.lit(2.0))})
 
 
-def best_unlisted(t: Tables, listed: DataFrame, n: int) -> DataFrame:
-    """The ``n`` nearest vectors that are not listed for the query.
-
-    The search goes deeper until every query has enough, so long lists of
-    relevant items cost depth and lose nothing.
-    """
-    depth, total = 8 * n, t.embeddings.count() - 1
-    while True:
-        near = durable(dense.nearest(vectors(t), query_vectors(t), depth, skip_self=True).drop("rank"))
-        found = durable(search.top_n(near.join(listed, ["query_id", "item_id"], "left_anti"), n))
-        counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-        if depth >= total or (counts.filter(F.col("n") < n).isEmpty() and counts.count() == total + 1):
-            return found
-        depth *= 4
+@query("k20_best_unlisted", """
+    SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
+        row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rank
+    FROM embeddings a JOIN embeddings b ON a.label <> b.label QUALIFY rank <= 14""")
+def best_unlisted(t: Tables, n: int = 14) -> DataFrame:
+    """The ``n`` nearest vectors that are not relevant to the query, from one pass over the blocks."""
+    return shown(dense.nearest(vectors(t), query_vectors(t), n, skip_self=True, listed=same_label(t)))
 
 
 def hard_negatives(t: Tables, per_query: int = 20, positives: int = 40) -> DataFrame:
@@ -242,7 +236,7 @@ def hard_negatives(t: Tables, per_query: int = 20, positives: int = 40) -> DataF
     rel = same_label(t)
     picked = top_per_group(rel, ["query_id"], [seeded("query_id", "item_id", seed=5), F.col("item_id")], positives).select(
         "query_id", "item_id", "grade")
-    hard = best_unlisted(t, rel.select("query_id", "item_id"), int(per_query * 0.7)).select("query_id", "item_id")
+    hard = best_unlisted(t, int(per_query * 0.7)).select("query_id", "item_id")
     listed = picked.select("query_id", "item_id").unionByName(hard)
     needs = picked.select("query_id").distinct().withColumn("need", F.lit(per_query - int(per_query * 0.7)))
     other = random_unlisted(needs, listed, vectors(t), 6)
@@ -255,6 +249,20 @@ def hard_negative_sample(t: Tables) -> DataFrame:
     return hard_negatives(t)
 
 
+@query("k21_graded_pairs", with_entities("event_items") + """
+    , judged AS (SELECT user_id, item_id, max(CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 ELSE 0 END) AS grade
+        FROM event_items GROUP BY 1, 2)
+    , n AS (SELECT user_id, grade, count(*) AS n FROM judged GROUP BY 1, 2)
+    SELECT a.grade AS higher, b.grade AS lower, cast(sum(a.n * least(4, b.n)) AS BIGINT) AS n FROM n a JOIN n b ON a.user_id = b.user_id AND a.grade > b.grade
+    GROUP BY 1, 2""")
+def graded_pairs(t: Tables) -> DataFrame:
+    """Training pairs by grade: what a user bought over what they clicked over what they saw, four of each lower grade or all if fewer."""
+    grade = F.when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "click", 1).otherwise(0)
+    rows = event_items(t).groupBy(F.col("user_id").alias("query_id"), "item_id").agg(F.max(grade).alias("grade"))
+    pairs = learn.graded_pairs(durable(rows.withColumn("f", F.array(F.lit(1.0)))))
+    return pairs.groupBy(F.col("grade").alias("higher"), "lower").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("k21_learned_ranker")
 def learned_ranker(t: Tables) -> DataFrame:
     """Pairwise ranker on held-out queries against the plain score, with a paired test."""
