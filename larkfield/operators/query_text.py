@@ -15,7 +15,9 @@ from larkfield.functions import text as tx
 from larkfield.operators.ranking import keep_first, top_per_group
 
 SIMILARITY = 0.84
-SHORTEST, LONGEST = 4, 24
+SHORTEST = 4
+#: Letters of a segment of a known word; follows from the similarity.
+SEGMENT_LETTERS = range(3, 7)
 
 
 def bare_words(text: Column) -> Column:
@@ -30,37 +32,63 @@ def vocabulary_of(df: DataFrame, columns: Sequence[Column], min_letters: int = 3
             .distinct())
 
 
-def _deletions(word: Column) -> Column:
-    """The word and its forms with one, two or three letters left out, as many as its length allows."""
-    def once(words: Column) -> Column:
-        return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(
-            F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))))))
+def _most_edits(letters: Column) -> Column:
+    """Edits that a word of this length can be away from a partner that is similar enough (rounding included)."""
+    lost = 1 - SIMILARITY + 5e-7
+    return F.floor(letters * (lost / (1 - lost)))
 
-    one = once(F.array(word))
-    two, three = once(one), once(once(one))
-    n = F.length(word)
-    empty = F.array().cast("array<string>")
-    # An edit distance d is allowed when d <= 0.16 * the longer length; the
-    # partner may be up to three letters longer.
-    return F.concat(F.array(word), F.when(n >= SHORTEST, one).otherwise(empty),
-                    F.when(n >= 10, two).otherwise(empty), F.when(n >= 16, three).otherwise(empty))
 
+def _letters(word: Column) -> Column:
+    return F.regexp_extract_all(word, F.lit("(?s)(.)"), 1)
 
-def corrections(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Nearest vocabulary word for unknown words: ``word, fixed, similarity``.
 
-    Similarity is 1 - edit distance / longer length and must reach 0.84. Pairs
-    come from an equality join on letter deletions, so no word meets the whole
-    vocabulary. (The edit ratio stands in for a matching-block ratio.)
+def _span(letters: Column, start: Column, size: Column) -> Column:
+    return F.array_join(F.slice(letters, (start + 1).cast("int"), size.cast("int")), "")
+
+
+def _known_segments(vocab: DataFrame) -> DataFrame:
+    """``fixed, size, cell, text``: each known word cut into one segment more than edits are allowed.
+
+    ``size`` is the word's length as a power of two; places are rounded to
+    cells of a quarter of that power.
+    """
+    d = (vocab.select(F.col("word").alias("fixed"), _letters(F.col("word")).alias("_l")).withColumn("_n", F.size("_l"))
+         .withColumn("_k", _most_edits(F.col("_n")) + 1).filter("_k > 1")
+         .withColumn("size", F.length(F.bin("_n")) - 1).withColumn("_w", F.pow(F.lit(2), F.col("size") - 2)))
+    parts = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1), lambda i: F.struct(
+        F.floor(i * F.col("_n") / F.col("_k")).alias("a"), F.floor((i + 1) * F.col("_n") / F.col("_k")).alias("b")))
+    return d.withColumn("_p", F.explode(parts)).select(
+        "fixed", "size", F.floor(F.col("_p.a") / F.col("_w")).alias("cell"), _span(F.col("_l"), F.col("_p.a"), F.col("_p.b") - F.col("_p.a")).alias("text"))
+
+
+def _asked_segments(words: DataFrame) -> DataFrame:
+    """``word, size, cell, text``: every piece of a word that may be a segment of a similar known word."""
+    d = words.select("word", _letters(F.col("word")).alias("_l")).withColumn("_n", F.size("_l")).withColumn("_d", _most_edits(F.col("_n")))
+    sizes = F.sequence(F.length(F.bin(F.greatest(F.col("_n") - F.col("_d"), F.lit(SHORTEST)))) - 1, F.length(F.bin(F.col("_n") + F.col("_d"))) - 1)
+    d = d.withColumn("size", F.explode(sizes)).withColumn("_w", F.pow(F.lit(2), F.col("size") - 2)).withColumn(
+        "_far", _most_edits(F.pow(F.lit(2), F.col("size") + 1) - 1)).withColumn("_m", F.explode(F.array(*[F.lit(m) for m in SEGMENT_LETTERS])))
+    d = d.filter("_m <= _n").withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_n") - F.col("_m"))))
+    cells = F.sequence(F.floor(F.greatest(F.col("_a") - F.col("_far"), F.lit(0)) / F.col("_w")), F.floor((F.col("_a") + F.col("_far")) / F.col("_w")))
+    return d.select("word", "size", _span(F.col("_l"), F.col("_a"), F.col("_m")).alias("text"), F.explode(cells).alias("cell"))
+
+
+def corrections(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Nearest vocabulary word for unknown words of four letters or more: ``word, fixed, similarity``.
+
+    Similarity is 1 - edit distance / longer length and must reach 0.84. A known
+    word that is at most d edits away is cut into d + 1 segments, of which one
+    must stand unchanged in the unknown word, at most d places further left or
+    right. Pairs come from an equality join on such segments (three to six
+    letters) with their rough place and the rough length of the known word, so
+    no word meets the whole vocabulary, and rows grow with the letters of a
+    word, whatever its length. (The edit ratio stands in for a matching-block ratio.)
     """
-    fits = (F.length("word") >= SHORTEST) & (F.length("word") <= LONGEST)
-    unknown = words.select("word").distinct().filter(fits).join(vocab.select("word"), "word", "left_anti")
-    left = unknown.select("word", F.explode(_deletions(F.col("word"))).alias("_v"))
-    known = vocab.filter((F.length("word") >= SHORTEST - 1) & (F.length("word") <= LONGEST + 3))
-    right = known.select(F.col("word").alias("fixed"), F.explode(_deletions(F.col("word"))).alias("_v"))
-    pairs = left.join(right, "_v").select("word", "fixed").distinct()
-    ratio = 1 - F.levenshtein("word", "fixed") / F.greatest(F.length("word"), F.length("fixed"))
-    close = pairs.withColumn("similarity", F.round(ratio, 6)).filter(F.col("similarity") >= SIMILARITY)
+    unknown = words.select("word").distinct().filter(F.length("word") >= SHORTEST).join(vocab.select("word"), "word", "left_anti")
+    pairs = _asked_segments(unknown).join(_known_segments(vocab.select("word").distinct()), ["size", "cell", "text"]).select("word", "fixed")
+    longer = F.greatest(F.length("word"), F.length("fixed"))
+    near = pairs.filter(F.abs(F.length("word") - F.length("fixed")) <= _most_edits(longer)).distinct()
+    ratio = 1 - F.levenshtein("word", "fixed") / longer
+    close = near.withColumn("similarity", F.round(ratio, 6)).filter(F.col("similarity") >= SIMILARITY)
     return keep_first(close, ["word"], [F.desc("similarity"), F.col("fixed")])
 
 

@@ -23,10 +23,9 @@ def _word_counts(t: Tables) -> DataFrame:
 @query("h3_1_corrections", f"""
     WITH vocab AS (SELECT word FROM (SELECT unnest({BARE_WORDS}) AS word FROM documents) GROUP BY 1 HAVING count(*) >= 20)
     , asked AS (SELECT DISTINCT word FROM (SELECT unnest({BARE_WORDS}) AS word FROM benchmark)
-                WHERE length(word) BETWEEN 4 AND 24 AND word NOT IN (SELECT word FROM vocab))
+                WHERE length(word) >= 4 AND word NOT IN (SELECT word FROM vocab))
     SELECT a.word, v.word AS fixed, round(1 - levenshtein(a.word, v.word) / greatest(length(a.word), length(v.word)), 6) AS similarity
-    FROM asked a JOIN vocab v ON abs(length(a.word) - length(v.word)) <= 4
-        AND round(1 - levenshtein(a.word, v.word) / greatest(length(a.word), length(v.word)), 6) >= 0.84
+    FROM asked a JOIN vocab v ON round(1 - levenshtein(a.word, v.word) / greatest(length(a.word), length(v.word)), 6) >= 0.84
     QUALIFY row_number() OVER (PARTITION BY a.word ORDER BY similarity DESC, v.word) = 1""")
 def corrections(t: Tables) -> DataFrame:
     """Unknown query words against the frequent words of the documents."""

@@ -176,13 +176,17 @@ def test_ngrams(spark):
 def test_corrections_find_every_pair_in_reach(spark):
     rng = random.Random(8)
     letters = "abcd"
-    known = list({"".join(rng.choice(letters) for _ in range(rng.randint(4, 20))) for _ in range(400)})
+    known = sorted({"".join(rng.choice(letters) for _ in range(n)) for n in [*range(4, 24), 31, 32, 33, 47, 63, 64, 90, 130] * 14})
+    rng.shuffle(known)
     asked = []
-    for w in known[:150]:
+    for w in known[:200]:
         chars = list(w)
-        for _ in range(rng.randint(1, 3)):
-            chars[rng.randrange(len(chars))] = rng.choice(letters)
+        # Up to the allowed share of letters and a little beyond; letters change, go or are put in.
+        for _ in range(rng.randint(1, max(1, round(0.19 * len(w)) + 1))):
+            at = rng.randrange(len(chars))
+            chars[at:at + 1] = rng.choice([[rng.choice(letters)], [], [chars[at], rng.choice(letters)], ["\U0001d4b3"]])
         asked.append("".join(chars))
+    asked += ["", "ab", "abcd" * 300]
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -194,13 +198,15 @@ def test_corrections_find_every_pair_in_reach(spark):
 
     want = {}
     for a in {x for x in asked if x not in known and len(x) >= 4}:
-        close = [(round(1 - distance(a, k) / max(len(a), len(k)), 6), k) for k in known]
+        close = [(round(1 - distance(a, k) / max(len(a), len(k)), 6), k) for k in known if abs(len(a) - len(k)) <= 0.17 * max(len(a), len(k))]
         close = [(-s, k) for s, k in close if s >= 0.84]
         if close:
             want[a] = min(close)[1]
     frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "word string")
     got = {r["word"]: r["fixed"] for r in qt.corrections(frame(asked), frame(known)).collect()}
     assert got == want
+    assert max(map(len, want)) > 100 and len(want) > 60
+    assert qt.corrections(frame(["abcdef"]), frame(["x"]).limit(0)).count() == 0
 
 
 def test_noise_is_repeatable_and_light(spark):
