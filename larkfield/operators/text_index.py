@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkfield.functions import text as tx
+from larkfield.functions.stems import stem
 from larkfield.session import durable
 
 
@@ -235,3 +236,19 @@ def substring_hits(queries: DataFrame, query_key: str, query_tokens: Column, doc
     return (doc_words.join(inside, "word").join(q, "token").groupBy(query_key, doc_key)
             .agg(F.countDistinct("token").alias("_hits")).join(sizes, query_key)
             .select(query_key, doc_key, (F.col("_hits") / F.col("_n")).alias(name)))
+
+
+def stem_table(terms: DataFrame, term: str = "term", times: str = "tf") -> DataFrame:
+    """``term, stem, n`` of distinct terms with their numbers of occurrences; suffix rules run once per distinct term."""
+    return terms.groupBy(F.col(term).alias("term")).agg(F.sum(times).alias("n")).select("term", stem(F.col("term")).alias("stem"), "n")
+
+
+def stemmed_terms(texts: DataFrame, key: str, text: Column, stop: Sequence[str] = tx.STOP_WORDS) -> DataFrame:
+    """``key, stem, tf``: index stems of each text; lengths and stop words are looked at after stemming.
+
+    Words are counted inside the row first, so a text meets the stem table once
+    per distinct word, and its stems are added up per key.
+    """
+    terms = durable(doc_terms(texts, key, tx.words(text)))
+    stems = stem_table(terms).select("term", "stem").filter((F.length("stem") > 1) & ~F.col("stem").isin(list(stop)))
+    return terms.join(stems, "term").groupBy(key, "stem").agg(F.sum("tf").alias("tf"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.functions import arrays as ar
+from larkfield.functions import stems
 from larkfield.functions import text as tx
 from larkfield.operators import catalog as cat
 from larkfield.operators import clean, profile, ranking
@@ -211,6 +212,60 @@ def query_tokens(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", F.array_join(tx.query_tokens(F.col("text")), " ").alias("tokens"))
 
 
+def stems_sql(name: str, source: str) -> str:
+    """Common tables that end in ``name(term, stem)``: the stems of the distinct ``term`` of ``source``, a step each."""
+    def rest(n: int) -> str:
+        return f"left(w, length(w) - {n})"
+
+    def test(x: str, pattern: str) -> str:
+        return f"regexp_matches({x}, '{pattern}')"
+
+    def replace(rules) -> str:
+        cases = ""
+        for a, b, needed in stems.longest_first(rules):
+            new = f"{rest(len(a))} || '{b}'"
+            cases += f" WHEN ends_with(w, '{a}') THEN " + (f"CASE WHEN {test(rest(len(a)), needed)} THEN {new} ELSE w END" if needed else new)
+        return f"CASE{cases} ELSE w END"
+
+    past = (f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {test(rest(3), stems.SOME)} THEN {rest(1)} ELSE w END"
+            f" WHEN ends_with(w, 'ed') AND {test(rest(2), stems.HAS_VOWEL)} THEN {rest(2)} || '|'"
+            f" WHEN ends_with(w, 'ing') AND {test(rest(3), stems.HAS_VOWEL)} THEN {rest(3)} || '|' ELSE w END")
+    mend = (f"CASE WHEN NOT ends_with(w, '|') THEN w WHEN {test(rest(1), '(at|bl|iz)$')} OR {test(rest(1), stems.SHORT)} THEN {rest(1)} || 'e'"
+            f" WHEN {test(rest(1), stems.DOUBLED)} THEN {rest(2)} ELSE {rest(1)} END")
+    y = f"CASE WHEN ends_with(w, 'y') AND {test(rest(1), stems.HAS_VOWEL)} THEN {rest(1)} || 'i' ELSE w END"
+    last_e = (f"CASE WHEN ends_with(w, 'e') AND ({test(rest(1), stems.MORE)} OR ({test(rest(1), stems.ONE)} AND NOT {test(rest(1), stems.SHORT)}))"
+              f" THEN {rest(1)} ELSE w END")
+    last_l = f"CASE WHEN ends_with(w, 'll') AND {test(rest(1), stems.MORE)} THEN {rest(1)} ELSE w END"
+    steps = [replace(stems.PLURALS), past, mend, y, replace(stems.DOUBLE_SUFFIXES), replace(stems.ADJECTIVES), replace(stems.ENDINGS), last_e, last_l]
+    tables = [f"{name}_0 AS (SELECT DISTINCT term, term AS w FROM {source} WHERE regexp_matches(term, '^[a-z]{{3,}}$'))"]
+    tables += [f"{name}_{i + 1} AS (SELECT term, {step} AS w FROM {name}_{i})" for i, step in enumerate(steps)]
+    return ", ".join(tables) + f""", {name} AS (SELECT term, w AS stem FROM {name}_{len(steps)}
+        UNION ALL SELECT DISTINCT term, term FROM {source} WHERE NOT regexp_matches(term, '^[a-z]{{3,}}$'))"""
+
+
+@query("h2_1_stems", f"""WITH d AS (SELECT unnest({words_sql('text')}) AS term FROM documents), {stems_sql('st', 'd')}
+    SELECT term, any_value(stem) AS stem, count(*) AS n FROM d JOIN st USING (term) GROUP BY 1""")
+def stem_table(t: Tables) -> DataFrame:
+    """Distinct words of all documents with their stems and numbers."""
+    return ti.stem_table(ti.doc_terms(t.documents, "doc_id", tx.words(F.col("text"))))
+
+
+@query("h2_1_stemmed_terms", f"""WITH d AS (SELECT doc_id, unnest({words_sql('text')}) AS term FROM documents), {stems_sql('st', 'd')}
+    SELECT doc_id, stem, count(*) AS tf FROM d JOIN st USING (term) WHERE length(stem) > 1 AND NOT list_contains({STOP_SQL}, stem) GROUP BY 1, 2""")
+def stemmed_terms(t: Tables) -> DataFrame:
+    """Index stems of every document."""
+    return ti.stemmed_terms(t.documents, "doc_id", F.col("text"))
+
+
+@query("h2_3_stemmed_query_tokens", f"""
+    WITH q AS (SELECT item_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT item_id, {tokens_sql('text', 3)} AS w FROM benchmark))
+    , {stems_sql('st', 'q')}
+    SELECT item_id, coalesce(string_agg(stem, ' ' ORDER BY pos), '') AS tokens FROM benchmark LEFT JOIN q USING (item_id) LEFT JOIN st USING (term) GROUP BY 1""")
+def stemmed_query_tokens(t: Tables) -> DataFrame:
+    """Query words, short and stop words dropped first, then stemmed."""
+    return t.benchmark.select("item_id", F.array_join(F.transform(tx.query_tokens(F.col("text")), stems.stem), " ").alias("tokens"))
+
+
 @query("h2_4_char_grams", f"""
     SELECT gram, count(*) AS n FROM (
         SELECT unnest(list_transform(range(1, length(w) - k + 2), lambda i: substring(w, i, k))) AS gram
