@@ -58,27 +58,52 @@ def group_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return out.drop("_bucket", "_before", "_total")
 
 
-def with_range_bucket(df: DataFrame, col: str, buckets: int = 64, name: str = "_bucket") -> DataFrame:
-    """Add a bucket number along a numeric column with about equal row counts per bucket.
+#: Split points read from the sketch; a power of two. A bucket takes about ``ROWS_PER_BUCKET`` rows until all are in use.
+FINEST = 4096
+ROWS_PER_BUCKET = 250_000
+#: Values that the sketch keeps per level: a rank is off by far less than 1 / FINEST.
+SKETCH_SIZE = 16384
 
-    The cut points come from a mergeable quantile sketch in a scalar subquery;
-    they steer the split only, never the result.
+
+def split_points(col: Column, rows_per_bucket: int = ROWS_PER_BUCKET, fewest: int = 64) -> Column:
+    """Aggregate: ascending values that part the rows into buckets of about equal size, the more the more rows there are.
+
+    One mergeable quantile sketch gives both the number of rows and the values.
+    The number of buckets is a power of two between ``fewest`` and ``FINEST``.
+    """
+    ranks = ",".join(repr(i / FINEST) for i in range(1, FINEST))
+    sketch = F.kll_sketch_agg_double(col.cast("double"), F.lit(SKETCH_SIZE))
+    n = F.kll_sketch_get_n_double(sketch)
+    values = F.kll_sketch_get_quantile_double(sketch, F.expr(f"cast(split('{ranks}', ',') as array<double>)"))
+    wanted = F.least(F.greatest(n / rows_per_bucket, F.lit(float(fewest))), F.lit(float(FINEST)))
+    stride = F.floor(F.lit(FINEST) / F.pow(F.lit(2), F.ceil(F.log2(wanted)))).cast("int")
+    return F.when(n > 0, F.filter(values, lambda _, i: (i + 1) % stride == 0)).otherwise(F.array().cast("array<double>"))
+
+
+def place_among(cuts: Column, value: Column) -> Column:
+    """Number of ascending ``cuts`` that are not over ``value``, by halving."""
+    steps = F.array(*[F.lit(FINEST >> i) for i in range(FINEST.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) <= value), at + step).otherwise(at))
+
+
+def with_range_bucket(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET, name: str = "_bucket") -> DataFrame:
+    """Add a bucket number along a numeric column with about equal row counts per bucket; more rows make more buckets.
+
+    The split points come from a scalar subquery; they steer the split only, never the result.
     """
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.select(F.percentile_approx(F.col(col).cast("double"), probs, F.lit(10000)).alias("v")).scalar()
-    value = F.col(col).cast("double")
-    return (df.withColumn("_cuts", cuts)
-            .withColumn(name, F.size(F.filter("_cuts", lambda c: c <= value))).drop("_cuts"))
+    cuts = df.agg(split_points(F.col(col), rows_per_bucket).alias("v")).scalar()
+    return df.withColumn("_cuts", cuts).withColumn(name, place_among(F.col("_cuts"), F.col(col).cast("double"))).drop("_cuts")
 
 
-def running_counts(df: DataFrame, value: str, measures: Sequence[str], buckets: int = 64,
+def running_counts(df: DataFrame, value: str, measures: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET,
                    keys: Sequence[str] = ()) -> DataFrame:
     """Cumulative sums of ``measures`` along distinct ``value``s per key, in two levels.
 
     ``df`` holds one row per key and value. Adds ``cum_<m>`` (this value
     included) and ``all_<m>``. Only bucket totals, not rows, meet in one task.
     """
-    tagged = with_range_bucket(df, value, buckets)
+    tagged = with_range_bucket(df, value, rows_per_bucket)
     sizes = tagged.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     part = list(keys) or [F.lit(0)]
     w = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,7 +121,7 @@ def running_counts(df: DataFrame, value: str, measures: Sequence[str], buckets:
     return out.drop("_bucket", *[f"_b_{m}" for m in measures])
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], buckets: int = 64,
+def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], rows_per_bucket: int = ROWS_PER_BUCKET,
                     keys: Sequence[str] = ()) -> DataFrame:
     """Exact, linearly interpolated quantiles of a numeric column, one row per key.
 
@@ -105,7 +130,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], buckets: i
     """
     values = (df.filter(F.col(col).isNotNull())
               .groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("n")))
-    cum = running_counts(values, "_v", ["n"], buckets, keys)
+    cum = running_counts(values, "_v", ["n"], rows_per_bucket, keys)
     picks = []
     for name, p in probs.items():
         at = F.lit(p) * (F.col("all_n") - 1)

@@ -44,6 +44,25 @@ def test_group_positions_equal_plain_row_numbers(spark):
     assert rows(got.select("k", "v", "pos", "n")) == sorted(want)
 
 
+def test_buckets_grow_with_rows_and_are_even(spark):
+    skewed = spark.range(200000).select((F.col("id") * F.col("id") * F.when(F.col("id") % 2 == 0, 1).otherwise(-1)).alias("v"))
+    for rows_per_bucket, buckets in ((10 ** 9, 64), (1000, 256), (1, ranking.FINEST)):
+        got = ranking.with_range_bucket(skewed, "v", rows_per_bucket).groupBy("_bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("_bucket").collect()
+        assert len(got) == buckets and max(r.n for r in got) < 1.5 * 200000 / buckets
+        assert all(a.high < b.low for a, b in itertools.pairwise(got))
+
+
+def test_running_counts_on_any_split(spark):
+    values = [float(x) for x in (3, 1, -7, 22, 8, 0, 5, 100, float("inf"))]
+    df = spark.createDataFrame([(k, v, i + 1) for k in "ab" for i, v in enumerate(values)], "k string, v double, n int")
+    want = {(k, v): sum(j + 1 for j, x in enumerate(values) if x <= v) for k in "ab" for v in values}
+    for rows_per_bucket in (1, 10 ** 6):
+        out = ranking.running_counts(df, "v", ["n"], rows_per_bucket, ["k"]).collect()
+        assert {(r.k, r.v): r.cum_n for r in out} == want and {r.all_n for r in out} == {45}
+    assert ranking.running_counts(df.limit(0), "v", ["n"]).count() == 0
+
+
 def test_exact_quantiles_with_a_hot_value(spark):
     values = [5.0] * 400 + [random.Random(i).gauss(0, 10) for i in range(301)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
