@@ -175,18 +175,21 @@ def _bonus(lex: Lexicon) -> Column:
                              tx.words(F.coalesce("hint", F.lit(""))), tx.words(F.col("category")))
 
 
-def signals(items: DataFrame, queries: DataFrame, lex: Lexicon, heads: int, item_type: str | None = None) -> DataFrame:
+def signals(items: DataFrame, queries: DataFrame, lex: Lexicon, heads: int | None, item_type: str | None = None) -> DataFrame:
     """All lexical signals of every pair that has one.
 
     Pairs whose only signal is the category tie in score, so per category only
     the ``heads`` smallest ids can reach a result of ``heads`` rows; adding
     those keeps the ranking exact without pairing queries with whole categories.
+    Without ``heads`` every pair of a category is returned, as a table of all scores needs.
     With ``item_type`` only items of that type are returned, and the heads are
     taken among them; the text statistics still cover all items.
     """
     hinted = with_hints(queries, lex)
     shown = items if item_type is None else items.filter(F.col("type") == item_type)
-    first = top_per_group(shown.select("item_id", "category"), ["category"], [F.col("item_id")], heads).drop("rank")
+    first = shown.select("item_id", "category")
+    if heads is not None:
+        first = top_per_group(first, ["category"], [F.col("item_id")], heads).drop("rank")
     asked = hinted.select("query_id", "hint").filter(F.col("hint").isNotNull())
     linked = asked.select("query_id", F.col("hint").alias("category"))
     for a, b in lex.related:

@@ -201,16 +201,18 @@ FEATURES = ["tfidf", "bm25", "char", "category_bonus", "topic_jaccard", "topic_c
         round(con, 6) AS topic_contain, round(tit, 6) AS title_overlap, cast(p.type = 'src3' AS DOUBLE) AS is_main_type, cast(len(topics) AS DOUBLE) AS n_topics,
         round(least(length(description) / 500, 2), 6) AS text_length, round(ln(1 + coalesce(pop, 0)), 6) AS popularity, round(least(length(title) / 80, 2), 6) AS title_length
     FROM pairs p JOIN items USING (item_id) LEFT JOIN (SELECT l_partkey AS item_id, count(*) AS pop FROM lineitem GROUP BY 1) USING (item_id)
-    WHERE tfidf + bm25 + jac + con + tit > 0""")
+    WHERE tfidf + bm25 + cat + jac + con + tit > 0""")
 def ranking_features(t: Tables) -> DataFrame:
-    out = features(t).select("query_id", "item_id", *[F.round(c, 6).alias(c) for c in FEATURES if c != "char"])
-    return out.filter(F.col("tfidf") + F.col("bm25") + F.col("topic_jaccard") + F.col("topic_contain") + F.col("title_overlap") > 0)
+    """Features of every pair that has a signal, the category alone included."""
+    out = features(t, heads=None)
+    some = sum((F.col(c) for c in ("tfidf", "bm25", "category_bonus", "topic_jaccard", "topic_contain", "title_overlap")), F.lit(0.0)) > 0
+    return out.filter(some).select("query_id", "item_id", *[F.round(c, 6).alias(c) for c in FEATURES if c != "char"])
 
 
-def features(t: Tables, with_char: bool = False) -> DataFrame:
-    """Signals of every query-item pair with a text signal, and measures of the item."""
+def features(t: Tables, with_char: bool = False, heads: int | None = 1) -> DataFrame:
+    """Signals of query-item pairs (``heads`` as in :func:`search.signals`), and measures of the item."""
     pop = t.lineitem.groupBy(F.col("l_partkey").alias("item_id")).agg(F.count(F.lit(1)).alias("_pop"))
-    found = search.signals(items(t), queries(t), LEXICON, 1).drop("category", "type")
+    found = search.signals(items(t), queries(t), LEXICON, heads).drop("category", "type")
     if with_char:
         found = found.join(search.char_scores(items(t), queries(t)), ["query_id", "item_id"], "left")
     else:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from larkfield.functions import text as tx
 from larkfield.operators import query_text as qt
+from larkfield.operators import search
 from larkfield.operators import skills as sk
 from larkfield.operators.ranking import group_positions
 from larkfield.plans.registry import Tables, query
+from larkfield.plans.search import BM25_SQL, ITEMS_SQL, LEXICON, QUERY_GRAMS, items, queries, top_sql
 from larkfield.plans.text import bare_sql, norm_sql, tokens_sql, words_sql
 
 BARE_WORDS = words_sql(bare_sql("text"))
@@ -128,17 +130,19 @@ def clause_intents(t: Tables) -> DataFrame:
 
 
 @query("h3_10_matched_keywords", f"""
-    WITH q AS (SELECT item_id AS query_id, {tokens_sql('text', 3)} AS toks FROM benchmark)
+    WITH {ITEMS_SQL}, {QUERY_GRAMS}, {BM25_SQL}, hits AS MATERIALIZED (SELECT query_id, item_id FROM ({top_sql('bm25', 'bm25', 10)}))
+    , q AS (SELECT query_id, {tokens_sql('query', 3)} AS toks FROM queries)
     , w AS (SELECT query_id, word, min(p) AS p FROM (SELECT query_id, unnest(toks) AS word, unnest(range(len(toks))) AS p FROM q) GROUP BY 1, 2)
-    , d AS (SELECT doc_id, {norm_sql('text')} AS n FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark))
-    , h AS (SELECT query_id, word, row_number() OVER (PARTITION BY query_id ORDER BY p) AS r FROM w JOIN d ON doc_id = query_id
+    , d AS (SELECT query_id, item_id, {norm_sql('description')} AS n FROM hits JOIN items USING (item_id))
+    , h AS (SELECT query_id, item_id, word, row_number() OVER (PARTITION BY query_id, item_id ORDER BY p) AS r FROM w JOIN d USING (query_id)
             WHERE contains(n, word) OR (length(word) >= 5 AND contains(' ' || n, ' ' || left(word, 5))))
-    SELECT query_id, coalesce(string_agg(word, ' ' ORDER BY r) FILTER (r <= 5), '') AS keywords FROM d JOIN h ON doc_id = query_id GROUP BY 1""")
+    SELECT query_id, item_id, coalesce(string_agg(word, ' ' ORDER BY r) FILTER (r <= 5), '') AS keywords FROM h GROUP BY 1, 2""")
 def matched_keywords(t: Tables) -> DataFrame:
-    pairs = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(
-        t.documents.select(F.col("doc_id").alias("query_id"), "text"), "query_id")
-    words = qt.matched_keywords(F.col("query"), F.col("text"), tx.STOP_WORDS)
-    return pairs.select("query_id", F.array_join(words, " ").alias("keywords")).filter("keywords <> ''")
+    """Words of each query that its ten best documents hold."""
+    best = search.top_n(search.bm25_scores(items(t), queries(t), LEXICON).withColumnRenamed("bm25", "score"), 10)
+    pairs = best.select("query_id", "item_id").join(queries(t), "query_id").join(items(t).select("item_id", "description"), "item_id")
+    words = qt.matched_keywords(F.col("query"), F.col("description"), tx.STOP_WORDS)
+    return pairs.select("query_id", "item_id", F.array_join(words, " ").alias("keywords")).filter("keywords <> ''")
 
 
 @query("h3_11_noisy_queries")

@@ -218,14 +218,14 @@ def lexical_search_one_type(t: Tables) -> DataFrame:
 @query("h4_9_query_item_score", f"""WITH {ITEMS_SQL}, {PAIRS_SQL}
     SELECT query_id, item_id, round(tfidf, 6) AS tfidf, round(bm25, 6) AS bm25, round(cast(cat AS DOUBLE), 6) AS category_bonus,
            round(jac, 6) AS topic_jaccard, round(con, 6) AS topic_contain, round(tit, 6) AS title_overlap,
-           round(score, 6) AS score FROM lexical WHERE tfidf + bm25 + jac + con + tit > 0""")
+           round(score, 6) AS score FROM lexical WHERE tfidf + bm25 + cat + jac + con + tit > 0""")
 def query_item_score(t: Tables) -> DataFrame:
-    found = search.signals(items(t), queries(t), LEXICON, 1)
+    """Every pair that has a signal, the category alone included."""
+    found = search.signals(items(t), queries(t), LEXICON, None)
     cols = ["tfidf", "bm25", "category_bonus", "topic_jaccard", "topic_contain", "title_overlap"]
     weights = {("category_bonus" if k == "category" else k): w for k, w in nm.QUERY_ITEM_WEIGHTS.items() if k != "type_match"}
-    text = found.filter(F.col("tfidf") + F.col("bm25") + F.col("topic_jaccard") + F.col("topic_contain")
-                        + F.col("title_overlap") > 0)
-    return text.select("query_id", "item_id", *[F.round(c, 6).alias(c) for c in cols],
+    some = found.filter(sum((F.col(c) for c in cols), F.lit(0.0)) > 0)
+    return some.select("query_id", "item_id", *[F.round(c, 6).alias(c) for c in cols],
                        F.round(nm.weighted(weights), 6).alias("score"))
 
 
