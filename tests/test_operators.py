@@ -269,6 +269,31 @@ def test_item_similarity_is_exact_for_any_basket_limit(spark, limit):
     assert rows(got) == brute_similarity(pairs, 5)
 
 
+def test_baskets_sent_to_blocks_grow_with_the_input(spark):
+    """Twice the users and items make twice the blocks and twice the entries sent, not four times."""
+    rng = random.Random(4)
+    one = [(u, i) for u in range(40) for i in rng.sample(range(60), 6)]
+
+    def sent(copies):
+        known = spark.createDataFrame([(u + 1000 * c, i + 1000 * c) for c in range(copies) for u, i in one], "user_id long, item_id long")
+        pop = known.groupBy("item_id").count().withColumnRenamed("count", "pop")
+        out, many = cf.basket_blocks(known, pop, 1000, 120)
+        assert many.isEmpty()
+        return out.select("block").distinct().count(), out.selectExpr("sum(size(items))").first()[0]
+
+    (blocks, few), (more, many) = sent(2), sent(4)
+    assert more >= 1.8 * blocks and many <= 2.2 * few
+
+
+def test_items_beyond_a_task_are_joined(spark):
+    """Bounds on users or on basket entries decide the path, never the result."""
+    rng = random.Random(6)
+    pairs = [(u, i) for u in range(30) for i in rng.sample(range(25), 8)]
+    df = spark.createDataFrame([*pairs, (None, 3), (4, None)], "user_id long, item_id long")
+    got = [rows(cf.item_similarity(df, 4, heavy, entries).select("item_i", "item_j", "shared", "rank")) for heavy, entries in ((1000, 10**6), (8, 10**6), (1000, 70), (0, 1))]
+    assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == 100
+
+
 def test_hold_out_one_does_not_depend_on_partitions(spark):
     df = spark.range(200).selectExpr("id % 20 as user_id", "id as item_id")
     a, b = (rows(cf.hold_out_one(df.repartition(n), 7).filter("held").select("user_id", "item_id")) for n in (1, 7))
