@@ -431,6 +431,45 @@ def test_nearest_equals_brute_force_over_several_blocks(spark, monkeypatch):
     assert rows(dense.nearest(v, q, 5, True, barred).select("query_id", "item_id")) == want
 
 
+def test_best_places_equal_a_full_sort(monkeypatch):
+    monkeypatch.setattr(dense, "HEAD", 8)
+    rng = np.random.default_rng(9)
+    for k in (1, 3, 10):
+        s = np.round(rng.normal(size=(40, 60)), 1)
+        s[3], s[4, 2:], s[5, ::2], s[6, :5] = 0.5, -np.inf, np.nan, np.inf
+        rows_, columns = dense.best_places(s, k)
+        t = np.where(np.isnan(s), -np.inf, s)
+        want = np.argsort(-t, axis=1, kind="stable")[:, :k]
+        assert (rows_ == np.repeat(np.arange(40), k)).all() and (columns.reshape(40, k) == want).all()
+
+
+def test_a_block_of_queries_is_scored_in_slices(spark, monkeypatch):
+    """No step of a task sees more scores than a slice of queries times a block of vectors."""
+    seen, plain = [], dense.best_places
+    monkeypatch.setattr(dense, "QUERIES_AT_ONCE", 7)
+    monkeypatch.setattr(dense, "best_places", lambda s, k: (seen.append(s.shape), plain(s, k))[1])
+    x = np.random.default_rng(1).normal(size=(50, 4))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "item_id long, vector array<double>")
+    run = {}
+    cogroup = type(v.groupBy("item_id").cogroup(v.groupBy("item_id")))
+    monkeypatch.setattr(cogroup, "applyInPandas", lambda self, f, schema: (run.update(f=f), v.sparkSession.createDataFrame([], schema))[1])
+    dense.nearest(v, v.withColumnRenamed("item_id", "query_id"), 3)
+    block = pd.DataFrame({"item_id": range(50), "item_vector": list(x)})
+    found = run["f"](block, block.rename(columns={"item_id": "query_id", "item_vector": "query_vector"}))
+    assert len(found) == 150 and max(n for n, _ in seen) == 7
+
+
+def test_pairs_of_one_label_are_passed_over(spark):
+    x = np.random.default_rng(7).normal(size=(30, 4))
+    labels = [None if i == 5 else [i % 3, 9] if i == 8 else [i % 3] for i in range(30)]
+    labels[9] = [9]
+    v = spark.createDataFrame([(i, r.tolist(), own) for i, (r, own) in enumerate(zip(x, labels))], "item_id long, vector array<double>, labels array<int>")
+    got = rows(dense.nearest(v, v.withColumnRenamed("item_id", "query_id"), 4, True).select("query_id", "item_id"))
+    s = np.round(x @ x.T, 9)
+    free = lambda i, j: i != j and not set(labels[i] or ()) & set(labels[j] or ())
+    assert got == sorted((i, j) for i in range(30) for j in sorted((j for j in range(30) if free(i, j)), key=lambda j: (-s[i, j], j))[:4])
+
+
 def test_mmr_is_greedy_and_keeps_the_pool(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(12, 4))
