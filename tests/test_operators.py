@@ -443,6 +443,45 @@ def test_best_places_equal_a_full_sort(monkeypatch):
         assert (rows_ == np.repeat(np.arange(40), k)).all() and (columns.reshape(40, k) == want).all()
 
 
+class VectorTables:
+    """Tables of a plan: vectors whose ids and labels repeat or are missing."""
+
+    def __init__(self, spark):
+        rng = np.random.default_rng(11)
+        x = rng.normal(size=(70, 4))
+        rows_ = [(i, x[i].tolist(), int(rng.integers(3)) if i % 9 else None) for i in range(70)]
+        rows_ += [rows_[3], rows_[4], (4, x[4].tolist(), 2), (-5, x[1].tolist(), 1)]
+        self.spark, self.embeddings = spark, spark.createDataFrame(rows_, "vec_id long, embedding array<float>, label int").persist()
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    return VectorTables(spark)
+
+
+def test_labels_stand_for_their_pairs(spark, labelled, monkeypatch):
+    from larkfield.plans import answers, evaluation as plans
+    monkeypatch.setattr(ev, "RUN", 7)
+    rel = plans.same_label(labelled)
+    near = plans.neighbours10(labelled).persist()
+    assert rows(plans.label_grades(labelled).select("query_id", "grade", "n")) == rows(ev.grade_counts(rel))
+    assert rows(plans.judged_of(labelled, near).select("query_id", "item_id", "grade")) == rows(
+        rel.join(near.select("query_id", "item_id").distinct(), ["query_id", "item_id"], "left_semi").select("query_id", "item_id", "grade"))
+    assert rows(plans.metrics10(labelled)) == rows(ev.query_metrics(near, rel))
+    got = plans.pooled_ranking(labelled)
+    assert rows(got) == rows(ev.pooled_ranking(near, rel).select("query_id", "item_id", "rank"))
+    picked = ranking.top_per_group(rel, ["query_id"], [judgments.seeded("query_id", "item_id", seed=5), F.col("item_id")], 6)
+    assert rows(answers.picked_of_label(labelled, 6, 5)) == rows(picked.select("query_id", "item_id", "grade"))
+    unlisted = dense.nearest(plans.vectors(labelled), answers.query_vectors(labelled), 5, skip_self=True, listed=rel)
+    assert rows(answers.best_unlisted(labelled, 5).select("query_id", "item_id", "rank")) == rows(unlisted.select("query_id", "item_id", "rank"))
+
+
+def test_pairs_of_a_label_are_arrays_not_rows(spark):
+    many = spark.range(400).selectExpr("id as item_id", "0 as label")
+    arrays = ev.label_pairs(many, many.withColumnRenamed("item_id", "query_id"))
+    assert arrays.count() == 400 and arrays.selectExpr("sum(size(ids))").first()[0] == 160_000
+
+
 def test_a_block_of_queries_is_scored_in_slices(spark, monkeypatch):
     """No step of a task sees more scores than a slice of queries times a block of vectors."""
     seen, plain = [], dense.best_places
