@@ -294,6 +294,31 @@ def test_items_beyond_a_task_are_joined(spark):
     assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == 100
 
 
+def test_recommendations_by_block_equal_sums(spark):
+    """Blocks of any size, users beyond a block, a user without id, excluded items: always the sums over the history."""
+    rng = random.Random(8)
+    history = sorted({(u, rng.randrange(30)) for u in range(25) for _ in range(rng.choice([1, 5, 20]))})
+    sim = {(i, j): rng.randrange(1, 9) / 8 for i in range(28) for j in rng.sample(range(30), 6) if i != j}
+    out = {(u, 2) for u in range(5)}
+    want = []
+    for u in {u for u, _ in history}:
+        mine, sums = {i for v, i in history if v == u}, {}
+        for (i, j), x in sim.items():
+            if i in mine:
+                sums[j] = sums.get(j, 0) + x
+        best = sorted((-x, j) for j, x in sums.items() if j not in mine and (u, j) not in out)[:4]
+        want += [(u, j, -x, r) for r, (x, j) in enumerate(best, 1)]
+    h = spark.createDataFrame(history, "user_id long, item_id int")
+    s = spark.createDataFrame([(i, j, x) for (i, j), x in sim.items()], "item_i int, item_j int, sim double")
+    x = spark.createDataFrame(sorted(out), "user_id long, item_id int")
+    for entries in (1, 6, 1000):
+        got = cf.recommend(h, s, 4, exclude=x, entries=entries)
+        assert rows(got.select("user_id", "item_id", "score", "rank")) == sorted(want)
+    none = cf.recommend(h.unionByName(spark.createDataFrame([(None, 1)], h.schema)), s, 4, exclude=x)
+    assert rows(none.filter("user_id IS NOT NULL").select("user_id", "item_id", "score", "rank")) == sorted(want)
+    assert none.filter("user_id IS NULL").count() == 4
+
+
 def test_hold_out_one_does_not_depend_on_partitions(spark):
     df = spark.range(200).selectExpr("id % 20 as user_id", "id as item_id")
     a, b = (rows(cf.hold_out_one(df.repartition(n), 7).filter("held").select("user_id", "item_id")) for n in (1, 7))
