@@ -475,7 +475,7 @@ class VectorTables:
         rng = np.random.default_rng(11)
         x = rng.normal(size=(70, 4))
         rows_ = [(i, x[i].tolist(), int(rng.integers(3)) if i % 9 else None) for i in range(70)]
-        rows_ += [rows_[3], rows_[4], (4, x[4].tolist(), 2), (-5, x[1].tolist(), 1)]
+        rows_ += [*rows_[3:25], (4, x[4].tolist(), 2), (-5, x[1].tolist(), 1)]
         self.spark, self.embeddings = spark, spark.createDataFrame(rows_, "vec_id long, embedding array<float>, label int").persist()
 
 
