@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +55,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 class WordHashes(dict):
-    """Word bytes to 64-bit hash; forgets everything when ``room`` words are held."""
+    """Word bytes to 64-bit hash; forgets everything when ``room`` words are held, about 15 MB."""
 
-    room = 400_000
+    room = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.room:
@@ -68,6 +69,11 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker left unused in Arrow's pool."""
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_words(text: bytes | str | None) -> list[bytes]:
     """Words between ASCII blanks, with A-Z in lower case; other letters stay as they are."""
     if not text:

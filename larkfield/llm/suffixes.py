@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.llm.common import M1, Scratch, WordHashes, ascii_words, gram_hashes, mixed
+from larkfield.llm.common import M1, Scratch, WordHashes, ascii_words, give_back, gram_hashes, mixed
 
 GRAM = 8
 LENGTH = 50
@@ -58,6 +58,7 @@ def _suffixes(length: int, window: int):
     """One row per kept word: hash of the words that a shared passage must hold from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         words = WordHashes()
         for batch in batches:
             rows, keys = [], []
@@ -81,6 +82,7 @@ def _passages(length: int, window: int):
     """Rows for the passages of ``length`` words that hold a surviving suffix near their start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         words = WordHashes()
         for batch in batches:
             for row, text in enumerate(batch.column(1)):

@@ -1,5 +1,6 @@
 """Near-duplicates, repeated passages, packing, leaks and the pipeline against brute force, and their odd inputs."""
 
+import sys
 import random
 import zlib
 
@@ -240,6 +241,14 @@ def test_answers_lower_the_needed_share(spark):
     assert got == {1: True, 3: False}
 
 
+def test_word_hashes_stay_small():
+    own, most = WordHashes(), 0
+    for n in range(0, 500_000, 10_000):
+        own.of([b"word%d" % i for i in range(n, n + 10_000)])
+        most = max(most, sys.getsizeof(own) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in own.items()))
+    assert most < 16e6
+
+
 def test_word_hashes_forget(monkeypatch):
     monkeypatch.setattr(WordHashes, "room", 3)
     own = WordHashes()
