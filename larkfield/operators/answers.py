@@ -11,7 +11,6 @@ from larkfield.functions import arrays as ar
 from larkfield.functions import numbers as nm
 from larkfield.functions import text as tx
 from larkfield.operators import search
-from larkfield.operators import text_index as ti
 from larkfield.operators.ranking import keep_first, top_per_group
 from larkfield.session import durable
 
@@ -23,14 +22,11 @@ def similar_items(items: DataFrame, seeds: DataFrame, lex: search.Lexicon, n: in
     ``seeds(query_id, seed_id, query)``; a null query compares with the seed's
     own title and topics. Only the terms of the seeds are scored.
     """
-    terms = durable(search.field_terms(items, ["full"], lex).drop("field"))
-    vocab = durable(ti.vocabulary(terms, ti.row_total(items), lex.max_df, lex.max_features))
-    weights = durable(ti.tfidf(terms, "item_id", vocab))
-    mine = weights.join(seeds.select("query_id", F.col("seed_id").alias("item_id")), "item_id").select("query_id", "term", "weight")
-    near = ti.cosine(weights, mine, "item_id", "query_id", "cosine").join(
-        seeds.select("query_id", F.col("seed_id").alias("item_id")), ["query_id", "item_id"], "left_anti")
-    if exclude is not None:
-        near = near.join(exclude.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    own = seeds.select("query_id", F.col("seed_id").alias("item_id"))
+    barred = own if exclude is None else own.unionByName(exclude.select("query_id", "item_id"))
+    # So many more rows that the pool is full without those passed over.
+    more = barred.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    near = search.item_cosines(items, own, lex, pool + more).join(barred, ["query_id", "item_id"], "left_anti")
     near = search.top_n(near, pool, "cosine").drop("rank")
     s = items.select(F.col("item_id").alias("seed_id"), F.col("title").alias("_st"), F.col("topics").alias("_sp"),
                      F.col("category").alias("hint"), F.col("type").alias("_sy"))
