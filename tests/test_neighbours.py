@@ -100,3 +100,43 @@ def test_probed_cells_find_groups_with_few_probes(spark):
     assert set(got) == set(want)
     hits = sum(len(set(got[q]) & set(want[q])) for q in want) / sum(len(set(want[q])) for q in want)
     assert hits >= 0.9
+
+
+def test_two_blocks_meet_once_for_the_items_of_both(spark, monkeypatch):
+    """Terms in dense columns and in lists, repeated entries, many chunks: each side gets its best rows above its floors."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    m = rng.random((70, 25)) * (rng.random((70, 25)) < np.linspace(0.02, 0.9, 25))
+    m[:2] = 0
+    m[40:45] = m[3]
+    cosines = m[:30] @ m[30:].T
+    floors = np.where(np.arange(70) % 3 == 0, 0.0, 1.5)
+
+    def table(rows, end):
+        places = [np.repeat(np.flatnonzero(m[i]), 2).astype(np.int32) for i in rows]  # every entry in two halves
+        return pa.table({f"item_id{end}": pa.array(rows), f"places{end}": pa.array(places, pa.list_(pa.int32())), f"floor{end}": floors[rows],
+                         f"weights{end}": pa.array([m[i][p] / 2 for i, p in zip(rows, places)], pa.list_(pa.float64()))})
+
+    for dense, share, at_once in ((1024, 1 / 150, 7), (3, 0.01, 30), (0, 0.0, 256), (1024, 0.0, 1)):
+        monkeypatch.setattr(neighbours, "DENSE", dense)
+        monkeypatch.setattr(neighbours, "SHARE", share)
+        out = neighbours._meeting(4, at_once)(table(np.arange(30), ""), table(np.arange(30, 70), "_")).to_pylist()
+        got = {}
+        for r in out:
+            got.setdefault(r["item_id"], []).append((round(r["cosine"], 9), r["neighbour"]))
+        for i in range(70):
+            scores = [(round(float(s), 9), j) for j, s in (zip(range(30, 70), cosines[i]) if i < 30 else zip(range(30), cosines[:, i - 30]))]
+            want = sorted((x for x in scores if x[0] > 0 and x[0] >= floors[i]), key=lambda x: (-x[0], x[1]))[:4]
+            assert sorted(got.get(i, []), key=lambda x: (-x[0], x[1])) == want
+
+
+def test_blocks_are_equal_and_rows_without_an_id_are_no_items(spark):
+    """One pivot takes nearly all items, yet no block holds more than asked for; a missing id is nobody's neighbour."""
+    rows = [(i, "a", 0.6) for i in range(90)] + [(i, f"b{i}", 0.8) for i in range(90)] + [(None, "a", 1.0), (200, "c", 1.0)]
+    weights = spark.createDataFrame(rows, "item_id long, term string, weight double")
+    sizes = neighbours._in_blocks(neighbours.sparse_vectors(weights.filter("item_id IS NOT NULL")), 13).groupBy("block").count().collect()
+    assert sum(r["count"] for r in sizes) == 91 and max(r["count"] for r in sizes) <= 13
+    found = neighbours.nearest_items(weights, 3, 13).collect()
+    assert {r.item_id for r in found} == set(range(90))
+    assert all(sorted(r.neighbour for r in found if r.item_id == i) == [j for j in range(5) if j != i][:3] for i in range(90))
