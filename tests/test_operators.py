@@ -696,3 +696,33 @@ def test_stratified_split_is_exact_per_class(spark):
     df = spark.range(1000).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"))
     got = {(r.label, r.part): r["count"] for r in learn.stratified_split(df, "id").groupBy("label", "part").count().collect()}
     assert got == {(0, "train"): 720, (0, "test"): 180, (1, "train"): 80, (1, "test"): 20}
+
+
+def test_vectors_above_each_other_equal_brute_force(spark, monkeypatch):
+    """Blocks that meet once, tiles smaller than blocks, repeated and missing ids, missing vectors, rounding inside the tasks."""
+    monkeypatch.setattr(dense, "VECTORS_PER_BLOCK", 23)
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(90, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids = [*range(80), 3, 3, 7, None, *range(100, 106)]
+    data = [(i, x.tolist()) for i, x in zip(ids, m)] + [(200, None)]
+    v = spark.createDataFrame(data, "item_id long, vector array<double>")
+    want = sorted((ids[i] or 0, ids[j] or 0, float((m[i] * m[j]).sum())) for i in range(90) for j in range(90)
+                  if (ids[i] is None or ids[i] != ids[j]) and (m[i] * m[j]).sum() >= 0.3)
+    for tile in ((128, 2048), (5, 7)):
+        monkeypatch.setattr(dense, "TILE", tile)
+        got = sorted((r.query_id or 0, r.item_id or 0, r.score) for r in dense.above_each_other(v, 0.3).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-12)
+        exact = dense.above_each_other(v, 0.3).withColumn("score", F.round("score", 2))
+        assert rows(dense.above_each_other(v, 0.3, digits=2).na.fill(-1)) == rows(exact.na.fill(-1))
+
+
+def test_rounding_in_tasks_equals_sparks(spark):
+    x = [0.125, -0.125, 0.375, 2.675, 1.005, 0.2123455, 0.2123465, 1e-9, -1e-9, 123456789.1234565, 1e300, float("inf"), 0.5, 1.5, -2.5]
+    x += np.random.default_rng(1).normal(size=300).tolist()
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for digits in (0, 2, 6):
+        want = [r[0] for r in df.coalesce(1).select(F.round("x", digits)).collect()]
+        assert dense.rounded(np.array(x), digits).tolist() == want
+    assert np.isnan(dense.rounded(np.array([float("nan")]), 6)).all()
