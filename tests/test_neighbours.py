@@ -118,8 +118,8 @@ def test_two_blocks_meet_once_for_the_items_of_both(spark, monkeypatch):
         return pa.table({f"item_id{end}": pa.array(rows), f"places{end}": pa.array(places, pa.list_(pa.int32())), f"floor{end}": floors[rows],
                          f"weights{end}": pa.array([m[i][p] / 2 for i, p in zip(rows, places)], pa.list_(pa.float64()))})
 
-    for dense, share, at_once in ((1024, 1 / 150, 7), (3, 0.01, 30), (0, 0.0, 256), (1024, 0.0, 1)):
-        monkeypatch.setattr(neighbours, "DENSE", dense)
+    for cells, share, at_once in ((1024, 1 / 150, 7), (120, 0.01, 30), (0, 0.0, 256), (1024, 0.0, 1)):
+        monkeypatch.setattr(neighbours, "CELLS", cells)
         monkeypatch.setattr(neighbours, "SHARE", share)
         out = neighbours._meeting(4, at_once)(table(np.arange(30), ""), table(np.arange(30, 70), "_")).to_pylist()
         got = {}
@@ -140,3 +140,11 @@ def test_blocks_are_equal_and_rows_without_an_id_are_no_items(spark):
     found = neighbours.nearest_items(weights, 3, 13).collect()
     assert {r.item_id for r in found} == set(range(90))
     assert all(sorted(r.neighbour for r in found if r.item_id == i) == [j for j in range(5) if j != i][:3] for i in range(90))
+
+
+def test_long_items_lie_in_smaller_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ENTRIES", 100)
+    rows = [(i, f"w{j}", 0.1) for i in range(60) for j in range(3 if i < 50 else 90)]
+    vectors = neighbours.sparse_vectors(spark.createDataFrame(rows, "item_id long, term string, weight double"))
+    sizes = neighbours._in_blocks(vectors, 1000).groupBy("block").agg(F.sum(F.size("places")).alias("entries"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in sizes) == 60 and max(r.entries for r in sizes) <= 400 and len(sizes) > 5
