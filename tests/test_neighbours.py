@@ -148,3 +148,33 @@ def test_long_items_lie_in_smaller_blocks(spark, monkeypatch):
     vectors = neighbours.sparse_vectors(spark.createDataFrame(rows, "item_id long, term string, weight double"))
     sizes = neighbours._in_blocks(vectors, 1000).groupBy("block").agg(F.sum(F.size("places")).alias("entries"), F.count(F.lit(1)).alias("n")).collect()
     assert sum(r.n for r in sizes) == 60 and max(r.entries for r in sizes) <= 400 and len(sizes) > 5
+
+
+def test_blocks_that_meet_in_turns_leave_only_the_best_rows(spark, tmp_path, monkeypatch):
+    """Many small turns give the same rows, and the tables made on the way are gone."""
+    from larkfield import session
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda spark: str(tmp_path))
+    rows = unit_rows(5, 90)
+    weights = session.durable(spark.createDataFrame(rows, "item_id long, term string, weight double"))
+    whole = neighbours.nearest_items(weights, 4, 1000).collect()
+    before = set(tmp_path.iterdir())
+    found = neighbours.nearest_items(weights, 4, 9, copies=1, spent=[weights])
+    left = set(tmp_path.iterdir()) - before
+    assert len(left) == 1  # the best rows of the last turn
+    got = found.collect()
+    assert sorted((r.item_id, r.rank, round(r.cosine, 8)) for r in got) == sorted((r.item_id, r.rank, round(r.cosine, 8)) for r in whole)
+    assert len(before - set(tmp_path.iterdir())) == 1  # the weights
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
+    """A join is written twice, each time without what its shuffle left on disk; the session's setting stays."""
+    from larkfield.session import drop, durable
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").agg(F.sum("id").alias("n"))
+    tables = [durable(rows), durable(rows)]
+    assert [sorted(map(tuple, t.collect())) for t in tables] == [sorted(map(tuple, rows.collect()))] * 2
+    assert spark.conf.get(name, None) == before
+    drop(*tables)
+    with pytest.raises(Exception):
+        tables[0].collect()
