@@ -158,7 +158,7 @@ def test_blocks_that_meet_in_turns_leave_only_the_best_rows(spark, tmp_path, mon
     weights = session.durable(spark.createDataFrame(rows, "item_id long, term string, weight double"))
     whole = neighbours.nearest_items(weights, 4, 1000).collect()
     before = set(tmp_path.iterdir())
-    found = neighbours.nearest_items(weights, 4, 9, copies=1, spent=[weights])
+    found = neighbours.nearest_items(weights, 4, 30, copies=1, spent=[weights])
     left = set(tmp_path.iterdir()) - before
     assert len(left) == 1  # the best rows of the last turn
     got = found.collect()
@@ -178,3 +178,65 @@ def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
     drop(*tables)
     with pytest.raises(Exception):
         tables[0].collect()
+
+
+def test_turns_of_blocks_change_no_similar_items_and_no_sums(spark, tmp_path, monkeypatch):
+    """Small blocks in many turns; the baskets and lists sent to them are gone afterwards."""
+    from larkfield import session
+    from larkfield.operators import cf
+    rng = random.Random(8)
+    pairs = spark.createDataFrame(sorted({(u, rng.randrange(40)) for u in range(60) for _ in range(8)}), "user_id long, item_id long")
+    whole = sorted(map(tuple, cf.item_similarity(pairs, 6).collect()))
+    shown = sorted(map(tuple, cf.recommend(pairs, cf.item_similarity(pairs, 6), 3).collect()))
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda spark: str(tmp_path))
+    turns = []
+    run = cf.in_turns
+    monkeypatch.setattr(cf, "in_turns", lambda parts, block, n, *a: turns.append(n) or run(parts, block, n, *a))
+    sim = cf.item_similarity(pairs, 6, entries=1200, copies=2)
+    assert sorted(map(tuple, sim.collect())) == whole
+    assert sorted(map(tuple, cf.recommend(pairs, sim, 3, entries=100, copies=2).collect())) == shown
+    assert min(turns) > 1
+    with_baskets = [d for d in tmp_path.iterdir() if {"e"} == set(spark.read.parquet(str(d)).columns)]
+    assert not with_baskets
+
+
+def test_copies_of_label_runs_are_not_broadcast(spark):
+    from larkfield.operators import evaluation as ev
+    items = spark.createDataFrame([(i, i % 3) for i in range(90)], "item_id long, label int")
+    found = ev.label_pairs(items, items.withColumnRenamed("item_id", "query_id"))
+    assert sum(len(r.ids) for r in found.collect()) == 90 * 30
+    assert "rightHint=(strategy=merge)" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_are_not_shuffled_to_meet_the_gate(spark):
+    from larkfield.operators import search
+    scores = spark.range(200).select((F.col("id") % 20).alias("query_id"), F.col("id").alias("item_id"), ((F.col("id") % 20) / 20 + 0.001).alias("score"))
+    found = search.gated(scores, 0.5, 0.4, scores.filter("query_id = 9").select("query_id"))
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.query_id for r in found.collect()} == {9, *range(10, 20)}
+
+
+def test_signals_of_items_and_queries_that_come_twice(spark):
+    """Joint sums give what the channels give on their own, pair by pair."""
+    from larkfield.operators import search
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words, k=4)), rng.sample(words, 2), rng.choice(["en", "fr", None]), rng.choice(["a", "b"]), " ".join(rng.choices(words, k=12))) for i in range(50)]
+    docs = spark.createDataFrame(docs + docs[:5] + [(None, *docs[6][1:])], "item_id long, title string, topics array<string>, category string, type string, description string")
+    asked = [(q, " ".join(rng.choices(words, k=3)) + (" en" if q % 2 else " w999")) for q in range(6)]
+    asked = spark.createDataFrame(asked + asked[:2], "query_id long, query string")
+    lex = search.Lexicon(categories=("en", "fr"), max_features=500)
+    key = ["query_id", "item_id"]
+    got = {}
+    for r in search.signals(docs, asked, lex, 2, char=True).collect():
+        got.setdefault((r.query_id, r.item_id), []).append(r)
+    for name, own in (("tfidf", search.tfidf_scores(docs, asked, lex)), ("bm25", search.bm25_scores(docs, asked, lex)), ("char", search.char_scores(docs, asked)),
+                      ("topic_jaccard", search.topic_scores(docs, asked, lex)), ("topic_contain", search.topic_scores(docs, asked, lex)), ("title_overlap", search.title_scores(docs, asked, lex))):
+        want = {(r.query_id, r.item_id): r[name] for r in own.select(*key, name).collect() if r.item_id is not None}
+        if name != "char":
+            assert set(want) <= set(got), name
+        for pair, rows in got.items():
+            assert [r[name] for r in rows] == pytest.approx([want.get(pair, 0.0)] * len(rows), abs=1e-12), (name, pair)
+    assert all(len(rows) == (2 if i < 5 else 1) * (2 if q < 2 else 1) for (q, i), rows in got.items())
+    best = search.lexical_search(docs, asked, lex, 3).collect()
+    assert {(r.query_id, r.rank) for r in best} >= {(q, 1) for q in range(6)}
